@@ -12,11 +12,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS = 512
 _LOCAL_ROOT: list[str] = []
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package even where only the driver's path has it."""
+    """Let Python workers import this package even where only the driver's path has it, and bound an Arrow batch.
+
+    Texts run to hundreds of kilobytes, so a batch of the default 10,000 rows could outgrow a worker.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
@@ -75,7 +80,7 @@ def text_views(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return body, off - off[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose text is about ``most_bytes``; a longer row stands alone."""
     _, off = text_views(batch.column(column))
     i, n = 0, batch.num_rows

@@ -9,12 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from incrementa.llm.common import load
 from incrementa.llm.exact import exact_groups
 from incrementa.llm.packing import pack_documents
+from incrementa.llm.quality import score_quality
 from incrementa.llm.simhash import simhash_groups
 from incrementa.llm.tokenfile import read_token_file, write_token_file
+from incrementa.llm.toxicity import score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_file(spark, write_token_file(load(spark, sf_dir, "documents"), end_id=2))
 
@@ -27,6 +33,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(load(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(load(spark, sf_dir, "documents"), width=3, radius=3)
 
@@ -42,7 +52,14 @@ FROM documents
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_token_file": op2_token_file, "op3_pattern_packing": op3_pattern_packing, "op4_exact_dedup": op4_exact_dedup, "op7_simhash": op7_simhash}
+    return {
+        "op1_toxicity": op1_toxicity,
+        "op2_token_file": op2_token_file,
+        "op3_pattern_packing": op3_pattern_packing,
+        "op4_exact_dedup": op4_exact_dedup,
+        "op6_quality": op6_quality,
+        "op7_simhash": op7_simhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
