@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from incrementa.llm.common import load
+from incrementa.llm.decontam import contamination
 from incrementa.llm.exact import exact_groups
 from incrementa.llm.packing import pack_documents
 from incrementa.llm.quality import score_quality
@@ -41,6 +42,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(load(spark, sf_dir, "documents"), width=3, radius=3)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), window=13, share=0.8)
+
+
 OP4_SQL = """
 SELECT doc_id,
        max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
@@ -59,6 +64,7 @@ def queries() -> dict[str, Query]:
         "op4_exact_dedup": op4_exact_dedup,
         "op6_quality": op6_quality,
         "op7_simhash": op7_simhash,
+        "op10_decontamination": op10_decontamination,
     }
 
 

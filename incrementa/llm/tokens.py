@@ -1,8 +1,8 @@
 """Whole-text tokenisation with a public vocabulary: ids as bytes, one string per document.
 
-A text made of common Latin characters is cut at its spaces where that is a pre-token border;
-every distinct piece is encoded by the ``tokenizers`` library a single time per worker
-(byte-level BPE never merges across pre-tokens). Any other text goes to the library whole. The
+A text made of common Latin characters is split once into pre-tokens and every distinct
+pre-token is encoded by the ``tokenizers`` library a single time per worker (byte-level BPE
+never merges across pre-tokens); any other text goes to the library whole. The
 worker's dictionary is emptied when it reaches ``CACHE`` entries, which costs time only.
 Strings of special tokens inside a text are ordinary text.
 """
@@ -14,13 +14,11 @@ import os
 import numpy as np
 import regex
 
-CACHE = 900_000
+CACHE = 500_000
 #: fixed value: the pre-token pattern of the byte-level BPE vocabulary
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SPLIT = regex.compile(PRE_TOKEN)
 _PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-ɏ]*+")
-#: where a space may stand inside a pre-token
-_SPACED = regex.compile(r"[\t\n\r ] ")
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -75,26 +73,15 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        plain, other, split = [], [], []
+        plain, other = [], []
         for i, text in enumerate(texts):
-            if not text:
-                continue
-            if not _PLAIN.fullmatch(text):
-                other.append(i)
-                continue
-            plain.append(i)
-            if _SPACED.search(text):
-                split.append(_SPLIT.findall(text))
-            else:
-                first, *more = text.split(" ")
-                split.append(([first] if first else []) + [" " + w for w in more])
+            if text:
+                (plain if _PLAIN.fullmatch(text) else other).append(i)
+        split = [_SPLIT.findall(texts[i]) for i in plain]
         if len(self.known) > CACHE:
             self.known.clear()
         known = self.known
-        fresh = list({w for words in split for w in words if w not in known})
-        parts = [_SPLIT.findall(w) for w in fresh]
-        self._learn(list({w for words in parts for w in words if w not in known}))
-        known.update((w, b"".join(map(known.__getitem__, words))) for w, words in zip(fresh, parts) if len(words) > 1)
+        self._learn(list({w for words in split for w in words if w not in known}))
         for i, words in zip(plain, split):
             out[i] = b"".join(map(known.__getitem__, words))
         for i, ids in zip(other, self._library([texts[i] for i in other]) if other else []):
