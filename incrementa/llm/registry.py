@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from incrementa.llm import pii, secrets
 
 from incrementa.llm.common import load
 from incrementa.llm.decontam import contamination
@@ -12,6 +15,7 @@ from incrementa.llm.exact import exact_groups
 from incrementa.llm.packing import pack_documents
 from incrementa.llm.quality import score_quality
 from incrementa.llm.simhash import simhash_groups
+from incrementa.llm.spans import marked
 from incrementa.llm.tokenfile import read_token_file, write_token_file
 from incrementa.llm.toxicity import score_toxicity
 
@@ -34,6 +38,17 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(load(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.sanitise(load(spark, sf_dir, "documents"), reach=80, support=3, threshold=0.8)
+    base = [marked(F.col(k), k) for k in pii.PATTERNS]
+    return found.select(
+        "doc_id",
+        *(F.size(k).cast("long").alias(f"n_{k}") for k in pii.PATTERNS),
+        F.sha2(F.concat_ws(",", *base), 256).alias("base_sha256"),
+        F.concat_ws(",", *base, marked(F.col("terms"), "term")).alias("spans"),
+    )
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), threshold=0.7)
 
@@ -42,6 +57,17 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(load(spark, sf_dir, "documents"), width=3, radius=3)
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(load(spark, sf_dir, "documents"))
+    kinds = list(secrets.PATTERNS)
+    return found.select(
+        "doc_id",
+        *(F.size(k).cast("long").alias(f"n_{k}") for k in kinds),
+        F.sha2(secrets.joined(kinds), 256).alias("base_sha256"),
+        secrets.joined([*kinds, "random"]).alias("spans"),
+    )
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), window=13, share=0.8)
 
@@ -62,8 +88,10 @@ def queries() -> dict[str, Query]:
         "op2_token_file": op2_token_file,
         "op3_pattern_packing": op3_pattern_packing,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_pii": op5_pii,
         "op6_quality": op6_quality,
         "op7_simhash": op7_simhash,
+        "op8_secrets": op8_secrets,
         "op10_decontamination": op10_decontamination,
     }
 

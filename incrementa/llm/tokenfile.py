@@ -36,13 +36,18 @@ _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6])[None, :] & 3).asty
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """(control bytes, data bytes) of unsigned 32-bit values."""
     values = np.ascontiguousarray(values, "<u4")
-    size = (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
+    # values of two bytes at most, as ranks of small vocabularies are, are cut from half as many bytes
+    narrow = not len(values) or int(values.max()) <= 0xFFFF
+    size = (values > 0xFF).astype(np.uint8)
+    if not narrow:
+        size += (values > 0xFFFF).astype(np.uint8) + (values > 0xFFFFFF)
     four = np.zeros(-(-len(values) // 4) * 4, np.uint8)
     four[: len(values)] = size
     four = four.reshape(-1, 4)
     control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
-    used = np.arange(4, dtype=np.uint8)[None, :] <= size[:, None]
-    return control.tobytes(), values.view(np.uint8).reshape(-1, 4)[used].tobytes()
+    each = values.astype("<u2" if narrow else "<u4").view(np.uint8).reshape(-1, 2 if narrow else 4)
+    used = np.arange(each.shape[1], dtype=np.uint8)[None, :] <= size[:, None]
+    return control.tobytes(), each[used].tobytes()
 
 
 def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
@@ -80,21 +85,27 @@ def read_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def encode_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
+    """Ids of each document, in order; a last row holds the task's counts of all ids."""
     encoder = Encoder.of(path)
     end = np.array([end_id], encoder.dtype).tobytes()
-    part, seq = TaskContext.get().partitionId(), 0
+    part, seq, total = TaskContext.get().partitionId(), 0, np.zeros(max(encoder.vocabulary, end_id + 1), np.int64)
+    names = ["doc_id", "part", "seq", "ids", "counts"]
     for whole in batches:
         for batch in slices(whole, "text"):
             ids = [x + end for x in encoder.encode(batch.column("text").to_pylist())]
-            yield pa.record_batch([batch.column("doc_id"), pa.array([part] * len(ids), pa.int32()), pa.array(np.arange(seq, seq + len(ids))), pa.array(ids, pa.binary())], ["doc_id", "part", "seq", "ids"])
-            seq += len(ids)
+            n = len(ids)
+            total += np.bincount(np.frombuffer(b"".join(ids), encoder.dtype), minlength=len(total))
+            yield pa.record_batch([batch.column("doc_id"), pa.array([part] * n, pa.int32()), pa.array(np.arange(seq, seq + n)), pa.array(ids, pa.binary()), pa.nulls(n, pa.binary())], names)
+            seq += n
+    if seq:
+        yield pa.record_batch([pa.nulls(1, pa.int64()), pa.array([part], pa.int32()), pa.array([-1], pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names)
 
 
-def count_batches(batches: Iterator[pa.RecordBatch], dtype: str, vocabulary: int) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(vocabulary, np.int64)
+def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(0, np.int64)
     for batch in batches:
-        for x in batch.column("ids"):
-            total += np.bincount(np.frombuffer(x.as_buffer(), dtype), minlength=vocabulary)
+        for x in batch.column("counts").to_pylist():
+            total = np.frombuffer(x, "<i8") + (total if len(total) else 0)
     seen = np.flatnonzero(total)
     yield pa.record_batch([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["id", "n"])
 
@@ -132,13 +143,13 @@ def write_token_file(docs: DataFrame, tokenizer: str | None = None, end_id: int
     dtype, vocabulary = encoder.dtype.str, max(encoder.vocabulary, end_id + 1)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ranged = docs.repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    raw = settle(ranged.mapInArrow(lambda it: encode_batches(it, tokenizer, end_id), "doc_id long, part int, seq long, ids binary"), "ids")
-    counts = raw.select("ids").mapInArrow(lambda it: count_batches(it, dtype, vocabulary), "id int, n long")
+    raw = settle(ranged.mapInArrow(lambda it: encode_batches(it, tokenizer, end_id), "doc_id long, part int, seq long, ids binary, counts binary"), "ids", "lz4")
+    counts = raw.select("counts").where("counts is not null").mapInArrow(count_batches, "id int, n long")
     # at most one row an id of the vocabulary reaches the driver
     order = counts.groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").select("id").toPandas()["id"].to_numpy(np.uint32)
     rank = np.zeros(vocabulary, np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
-    raw.mapInArrow(lambda it: block_batches(it, dtype, rank), "part int, first_seq long, n_tokens long, block binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    raw.where("seq >= 0").select("doc_id", "part", "seq", "ids").mapInArrow(lambda it: block_batches(it, dtype, rank), "part int, first_seq long, n_tokens long, block binary").write.option("compression", "none").parquet(f"{path}/blocks")
     spark.createDataFrame([(order.astype("<u4").tobytes(), end_id)], "ids binary, end_id int").coalesce(1).write.parquet(f"{path}/ranks")
     return path
 

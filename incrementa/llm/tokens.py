@@ -1,8 +1,8 @@
 """Whole-text tokenisation with a public vocabulary: ids as bytes, one string per document.
 
-A text made of common Latin characters is split once into pre-tokens and every distinct
-pre-token is encoded by the ``tokenizers`` library a single time per worker (byte-level BPE
-never merges across pre-tokens); any other text goes to the library whole. The
+A text made of common Latin characters is cut at its spaces, or at all pre-tokens where spaces
+stand inside one; every distinct piece is encoded by the ``tokenizers`` library a single time per
+worker (byte-level BPE never merges across pre-tokens). Any other text goes to the library whole. The
 worker's dictionary is emptied when it reaches ``CACHE`` entries, which costs time only.
 Strings of special tokens inside a text are ordinary text.
 """
@@ -10,15 +10,18 @@ Strings of special tokens inside a text are ordinary text.
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import regex
 
-CACHE = 500_000
+CACHE = 1_200_000
 #: fixed value: the pre-token pattern of the byte-level BPE vocabulary
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SPLIT = regex.compile(PRE_TOKEN)
-_PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-ɏ]*+")
+_ODD = re.compile(r"[^\t\n\r\x20-\x7e\xa1-ɏ]")
+#: marks a piece that no space precedes; never in a text that is split
+_ALONE = "\0"
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -55,35 +58,45 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, fresh: list[str]) -> None:
-        """Encode pre-tokens that are new; those of a space and letters as one text, cut at their ends."""
-        words = [w for w in fresh if w[0] == " " and w[1:].isalpha()]
-        rest = [w for w in fresh if not (w[0] == " " and w[1:].isalpha())]
-        self.known.update(zip(rest, self._library(rest)))
-        for i in range(0, len(words), 4096):
-            some = words[i : i + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, self.dtype)
+    def _learn(self, pieces: list[str]) -> None:
+        """Ids of new pieces: those that follow a space as one text, cut at their ends; the others singly."""
+        single = [p for p in pieces if p[:1] == _ALONE or not p]
+        self.known.update(zip(single, self._library([p[1:] or " " * (not p) for p in single])))
+        pieces = [p for p in pieces if p and p[0] != _ALONE]
+        for i in range(0, len(pieces), 4096):
+            some = pieces[i : i + 4096]
+            text = " " + " ".join(some)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
             ends = np.cumsum(self.width[ids])
-            want = np.cumsum([len(w.encode()) for w in some])
+            body = np.frombuffer(text.encode(), np.uint8)
+            want = np.append(np.flatnonzero(body == 32)[1:], len(body))
             cut = np.searchsorted(ends, want) + 1
-            if not np.array_equal(ends[cut - 1], want):
-                raise ValueError("a token crosses the border of two words")
-            raw, size, cut = ids.tobytes(), self.dtype.itemsize, [0, *cut.tolist()]
-            self.known.update((w, raw[a * size : b * size]) for w, a, b in zip(some, cut[:-1], cut[1:]))
+            if len(want) != len(some) or not np.array_equal(ends[cut - 1], want):
+                raise ValueError("a token crosses the border of two pieces")
+            raw, cut = ids.tobytes(), (cut * self.dtype.itemsize).tolist()
+            self.known.update(zip(some, map(raw.__getitem__, map(slice, [0, *cut[:-1]], cut))))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        plain, other = [], []
+        plain, other, split = [], [], []
         for i, text in enumerate(texts):
-            if text:
-                (plain if _PLAIN.fullmatch(text) else other).append(i)
-        split = [_SPLIT.findall(texts[i]) for i in plain]
+            if not text:
+                continue
+            if _ODD.search(text):
+                other.append(i)
+                continue
+            plain.append(i)
+            if "  " in text or "\n " in text or "\t " in text or "\r " in text:
+                split.append([_ALONE + w for w in _SPLIT.findall(text)])
+            else:
+                words = text.split(" ")
+                words[0] = _ALONE + words[0]
+                split.append(words)
         if len(self.known) > CACHE:
             self.known.clear()
-        known = self.known
-        self._learn(list({w for words in split for w in words if w not in known}))
+        self._learn(list(set().union(*split) - self.known.keys()))
         for i, words in zip(plain, split):
-            out[i] = b"".join(map(known.__getitem__, words))
+            out[i] = b"".join(map(self.known.__getitem__, words))
         for i, ids in zip(other, self._library([texts[i] for i in other]) if other else []):
             out[i] = ids
         return out
