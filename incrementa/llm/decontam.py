@@ -131,8 +131,8 @@ def agreement(a: np.ndarray, b: np.ndarray, window: int, share: float) -> tuple[
     return (k, int(n[k])) if n[k] >= np.ceil(share * w) else None
 
 
-def match_batches(batches: Iterator[pa.RecordBatch], seeds: Seeds, window: int, share: float) -> Iterator[pa.RecordBatch]:
-    """Rows of every document: found items (ids, sorted) and the spans that show them, in tokens."""
+def matches(batches: Iterator[pa.RecordBatch], seeds: Seeds, window: int, share: float) -> Iterator[tuple[pa.RecordBatch, list[set]]]:
+    """Parts of the batches, with each document's set of (item id, first token, end, matches)."""
     for whole in batches:
         for batch in slices(whole, "text"):
             body, off = text_views(batch.column("text"))
@@ -155,11 +155,22 @@ def match_batches(batches: Iterator[pa.RecordBatch], seeds: Seeds, window: int,
                     if b > a and (best := agreement(h[a:b], seeds.token[q : q + b - a], min(window, int(seeds.first[item + 1] - seeds.first[item])), share)):
                         start = a - int(first[doc]) + best[0]
                         found[doc].add((int(seeds.ids[item]), start, start + min(window, b - a), best[1]))
-            rows = [sorted(f) for f in found]
-            yield pa.record_batch(
-                [batch.column("doc_id"), pa.array([sorted({x[0] for x in f}) for f in rows], pa.list_(pa.int64())), pa.array([[f"{i}:{a}:{b}:{n}" for i, a, b, n in f] for f in rows], pa.list_(pa.string()))],
-                ["doc_id", "item_ids", "spans"],
-            )
+            yield batch, found
+
+
+def match_batches(batches: Iterator[pa.RecordBatch], seeds: Seeds, window: int, share: float) -> Iterator[pa.RecordBatch]:
+    """Rows of every document: found items (ids, sorted) and the spans that show them, in tokens."""
+    for batch, found in matches(batches, seeds, window, share):
+        rows = [sorted(f) for f in found]
+        yield pa.record_batch(
+            [batch.column("doc_id"), pa.array([sorted({x[0] for x in f}) for f in rows], pa.list_(pa.int64())), pa.array([[f"{i}:{a}:{b}:{n}" for i, a, b, n in f] for f in rows], pa.list_(pa.string()))],
+            ["doc_id", "item_ids", "spans"],
+        )
+
+
+def clean_batches(batches: Iterator[pa.RecordBatch], seeds: Seeds, window: int, share: float) -> Iterator[pa.RecordBatch]:
+    for batch, found in matches(batches, seeds, window, share):
+        yield batch.filter(pa.array([not f for f in found], pa.bool_()))
 
 
 def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Seeds]:
@@ -188,3 +199,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
         found = found.where("more is null").join(extra, "doc_id", "left").select("doc_id", F.array_union("spans", F.coalesce("added", F.array().cast("array<string>"))).alias("spans"))
         found = found.withColumn("item_ids", F.array_sort(F.array_distinct(F.transform("spans", lambda x: F.split_part(x, F.lit(":"), F.lit(1)).cast("long")))))
     return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", F.array_sort("spans").alias("spans"))
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float = 0.8, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows of ``docs``, all columns, that hold no benchmark passage; texts are not shuffled."""
+    prepare(docs.sparkSession)
+    for seeds in benchmark_blocks(benchmark, block_bytes):
+        docs = docs.mapInArrow(lambda it, seeds=seeds: clean_batches(it, seeds, window, share), docs.schema)
+    return docs

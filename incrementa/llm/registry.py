@@ -14,7 +14,7 @@ from incrementa.llm.decontam import contamination
 from incrementa.llm.exact import exact_groups
 from incrementa.llm.packing import pack_documents
 from incrementa.llm.quality import score_quality
-from incrementa.llm.simhash import simhash_groups
+from incrementa.llm.simhash import exact_scheme, simhash_groups
 from incrementa.llm.spans import marked
 from incrementa.llm.tokenfile import read_token_file, write_token_file
 from incrementa.llm.toxicity import score_toxicity
@@ -54,7 +54,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_groups(load(spark, sf_dir, "documents"), width=3, radius=3)
+    return simhash_groups(load(spark, sf_dir, "documents"), exact_scheme(width=3, radius=3))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +72,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), window=13, share=0.8)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 OP4_SQL = """
 SELECT doc_id,
        max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
@@ -92,6 +98,7 @@ def queries() -> dict[str, Query]:
         "op6_quality": op6_quality,
         "op7_simhash": op7_simhash,
         "op8_secrets": op8_secrets,
+        "pipeline": pipeline,
         "op10_decontamination": op10_decontamination,
     }
 

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from incrementa.llm.common import prepare
 from incrementa.llm.learn import fit_logistic, held_out, probability, training_sample
@@ -37,6 +38,7 @@ SIGNS = {"@": "a", "$": "s", "!": "i"}
 EXCEPTIONS = ("trash can", "trash bin", "trash collection", "clown fish", "clownfish", "rodeo clown", "sore loser board", "pond scum", "soap scum", "scum line", "stupidly simple")
 LONGEST_STEM, SHORTEST_STEM, MOST_TERMS = 9, 4, 400
 LEAST_RATIO = 20.0
+SCORE = "__toxicity"
 
 _SIGN = re.compile(r"(?<=[^\W\d_])[@$!](?=[^\W\d_])")
 
@@ -154,12 +156,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...]
     return lexicon, fit_logistic(points[["a", "b", "c"]].to_numpy(float), points["label"].to_numpy(float))
 
 
-def score_batches(batches: Iterator[pa.RecordBatch], column: str, lexicon: dict[str, float], weights: np.ndarray, exceptions: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+def score_batches(batches: Iterator[pa.RecordBatch], lexicon: dict[str, float], weights: np.ndarray, exceptions: tuple[str, ...], dropped: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
+    """The batches' columns but ``dropped``, and SCORE."""
     m = Matcher.of(lexicon, exceptions)
     for batch in batches:
-        x = m.features(batch.column(column).to_pylist())
-        names = batch.schema.names
-        yield pa.record_batch([*(batch.column(c) for c in names if c != column), pa.array(probability(x, weights))], [*(c for c in names if c != column), "score"])
+        x = m.features(batch.column("text").to_pylist())
+        names = [c for c in batch.schema.names if c not in dropped]
+        yield pa.record_batch([*(batch.column(c) for c in names), pa.array(probability(x, weights))], [*names, SCORE])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, exceptions: tuple[str, ...] = EXCEPTIONS) -> DataFrame:
@@ -167,5 +170,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, e
     prepare(docs.sparkSession)
     lexicon, weights = fit_toxicity(docs, labels, exceptions)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = texts.mapInArrow(lambda it: score_batches(it, "text", lexicon, weights, exceptions), "doc_id long, score double")
-    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = texts.mapInArrow(lambda it: score_batches(it, lexicon, weights, exceptions, ("text",)), f"doc_id long, {SCORE} double")
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= threshold).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, exceptions: tuple[str, ...] = EXCEPTIONS) -> DataFrame:
+    """Rows of ``docs``, all columns, that score under ``threshold``; texts are not shuffled."""
+    prepare(docs.sparkSession)
+    lexicon, weights = fit_toxicity(docs, labels, exceptions)
+    schema = T.StructType([*docs.schema.fields, T.StructField(SCORE, T.DoubleType())])
+    return docs.mapInArrow(lambda it: score_batches(it, lexicon, weights, exceptions), schema).where(F.col(SCORE) < threshold).drop(SCORE)

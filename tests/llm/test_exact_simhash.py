@@ -7,7 +7,7 @@ import xxhash
 
 from incrementa.llm.common import components, numpy_components
 from incrementa.llm.exact import exact_groups
-from incrementa.llm.simhash import close_pairs, near_groups, simhash_groups
+from incrementa.llm.simhash import close_pairs, exact_scheme, near_groups, shingle_hashes, similar_scheme, simhash_groups
 
 
 def brute_groups(rows):
@@ -77,15 +77,15 @@ def test_links_with_split_tiles(spark, monkeypatch):
     prints = np.unique(np.concatenate([c ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (60, 2), dtype=np.uint64), axis=1) for c in centre]))
     ids = list(range(len(prints)))
     monkeypatch.setattr("incrementa.llm.simhash.TILE", 16)
-    frame = spark.createDataFrame([(i, int(np.int64(p.view(np.int64)))) for i, p in zip(ids, prints)], "doc_id long, fp long")
-    got = dict((r.doc_id, r.component_id) for r in near_groups(frame).collect())
+    frame = spark.createDataFrame([(i, int(np.int64(p.view(np.int64)))) for i, p in zip(ids, prints)], "doc_id long, f0 long")
+    got = dict((r.doc_id, r.component_id) for r in near_groups(frame, exact_scheme()).collect())
     assert [got[i] for i in ids] == brute_components([int(p) for p in prints], ids)
 
 
 def test_close_pairs_skips_nothing():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 64, 700, dtype=np.uint64)
-    i, j = close_pairs(x, x, 2)
+    i, j = close_pairs(x[:, None], x[:, None], 2)
     assert set(zip(i.tolist(), j.tolist())) == {(a, b) for a in range(700) for b in range(700) if int(x[a] ^ x[b]).bit_count() <= 2}
 
 
@@ -94,3 +94,20 @@ def test_components_chain(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in (*range(1, 41), 90, 100)) and got[201] == 200
     assert numpy_components(5, np.array([0, 3]), np.array([4, 4])).tolist() == [0, 1, 2, 0, 0]
+
+
+def test_similar_scheme_meets_the_threshold(spark):
+    import random
+
+    rng, rows = random.Random(12), []
+    for g in range(60):
+        words = [f"w{rng.randrange(9000)}" for _ in range(rng.randint(80, 600))]
+        rows.append((10 * g, " ".join(words)))
+        for c in range(1, 4):
+            edited = [w if rng.random() > 0.01 * c else "edited" + str(rng.random()) for w in words]
+            rows.append((10 * g + c, " ".join(edited)))
+    got = {r.doc_id: r.component_id for r in simhash_groups(spark.createDataFrame(rows, "doc_id long, text string"), similar_scheme()).collect()}
+    sets = {i: set(shingle_hashes(t.encode(), 5)) for i, t in rows}
+    sure = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.88 * len(sets[i] | sets[j])]
+    assert len(sure) > 40 and sum(got[i] == got[j] for i, j in sure) >= 0.97 * len(sure)
+    assert all(got[i] // 10 == i // 10 for i in got)
