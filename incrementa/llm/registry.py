@@ -14,6 +14,7 @@ from incrementa.llm.decontam import contamination
 from incrementa.llm.exact import exact_groups
 from incrementa.llm.packing import pack_documents
 from incrementa.llm.quality import score_quality
+from incrementa.llm.repeats import without_repeats
 from incrementa.llm.simhash import exact_scheme, simhash_groups
 from incrementa.llm.spans import marked
 from incrementa.llm.tokenfile import read_token_file, write_token_file
@@ -68,6 +69,10 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(load(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), window=13, share=0.8)
 
@@ -98,6 +103,7 @@ def queries() -> dict[str, Query]:
         "op6_quality": op6_quality,
         "op7_simhash": op7_simhash,
         "op8_secrets": op8_secrets,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "pipeline": pipeline,
         "op10_decontamination": op10_decontamination,
     }
