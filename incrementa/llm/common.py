@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 BATCH_ROWS = 512
 _LOCAL_ROOT: list[str] = []
+_SETTLED: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def prepare(spark: SparkSession) -> None:
@@ -52,7 +54,16 @@ def settle(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _SETTLED[out] = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a settled table once all that was made of it has been written."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(_SETTLED.pop(df))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

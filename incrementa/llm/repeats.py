@@ -1,7 +1,7 @@
 """Repeated 50-byte strings across documents, by suffix sorting within shards and merging between them.
 
 1. Documents go to shards by a hash of doc_id. Each 50-byte window has an anchor, the least hash of
-   the 20-byte strings in it; equal windows have equal anchors. A shard's distinct anchors are sorted.
+   the 28-byte strings in it; equal windows have equal anchors. A shard's distinct anchors are sorted.
 2. Anchors of all shards are merged bucket by bucket; binary search in the merged list tells every
    shard which of its anchors occur in a second document. Only windows with such an anchor can repeat.
 3. Those windows, as runs with a common anchor, are sent to the bucket of their anchor. There equal
@@ -32,10 +32,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from incrementa.llm.common import prepare, settle, text_views
+from incrementa.llm.common import discard, prepare, settle, text_views
 
-LENGTH, GRAM = 50, 20
-SHARD_BYTES = 6 << 20
+LENGTH, GRAM = 50, 28
+SHARD_BYTES = 4 << 20
 _T = np.random.default_rng(91).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _C = (np.random.default_rng(92).integers(0, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)).tolist()
 _ONE = np.uint64(1)
@@ -49,7 +49,7 @@ def gram_hashes(body: np.ndarray) -> np.ndarray:
         h = h[:-m] * np.uint64(_C[k]) + h[m:]
         by[2 * m] = h
     n = len(body) - GRAM + 1
-    h = by[16][:n] * np.uint64(_C[5]) + by[4][16 : 16 + n]
+    h = by[16][:n] * np.uint64(_C[5]) + by[8][16 : 16 + n] * np.uint64(_C[7]) + by[4][24 : 24 + n]
     h ^= h >> np.uint64(29)
     h *= np.uint64(_C[6])
     h ^= h >> np.uint64(32)
@@ -64,7 +64,7 @@ def window_anchors(body: np.ndarray) -> np.ndarray:
     for k in (1, 2, 4, 8):
         m = np.minimum(m[:-k], m[k:])
     width = LENGTH - GRAM + 1
-    return np.minimum(m[: len(body) - LENGTH + 1], m[width - 16 : width - 16 + len(body) - LENGTH + 1])
+    return np.minimum(m[: len(body) - LENGTH + 1], m[width - 16 : width - 16 + len(body) - LENGTH + 1])  # 16 <= width <= 32
 
 
 def runs(body: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -301,12 +301,14 @@ def without_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFram
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-int(total) // shard_bytes))
-    bits = max(0, (int(total) // (2 * shard_bytes)).bit_length())
+    bits = (2 * int(total) // shard_bytes).bit_length()
     docs = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
     wide = "bucket long, shard long, x0 binary"
     anchors = release(settle(docs.groupBy("shard").applyInArrow(lambda t: anchor_table(t, bits), wide), "anchors", "none"))
     keys = release(settle(anchors.groupBy("bucket").applyInArrow(merge_bucket, "shard long, keys binary"), "keys", "none"))
+    discard(anchors)
     found = release(settle(docs.groupBy("shard").cogroup(keys.groupBy("shard")).applyInArrow(lambda d, k: candidates(d, k, bits), wide + ", x1 binary, x2 binary, x3 binary"), "runs"))
     judged = found.where("bucket >= 0").select("bucket", "shard", "x0", "x1").groupBy("bucket").applyInArrow(lost_in_bucket, "shard long, spans binary")
     spans = release(settle(judged.unionByName(found.where("bucket < 0").select("shard", F.col("x3").alias("spans"))), "spans"))
+    discard(found)
     return docs.groupBy("shard").cogroup(spans.groupBy("shard")).applyInArrow(cleaned, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
