@@ -15,7 +15,7 @@ import re
 import numpy as np
 import regex
 
-CACHE = 1_200_000
+CACHE = 1_000_000
 #: fixed value: the pre-token pattern of the byte-level BPE vocabulary
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SPLIT = regex.compile(PRE_TOKEN)
