@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 from pathlib import Path
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,9 +135,9 @@ def read_npz(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
     schema = "slice_id string, j int, i int, " + ", ".join(f"{c} double" for c in FIELDS)
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in batches:
-            for path, content in zip(frame["path"], frame["content"]):
+            for path, content in zip(frame.column("path").to_pylist(), frame.column("content").to_pylist()):
                 with np.load(io.BytesIO(content), allow_pickle=False) as z:
                     arrays = {k: z[k].astype(float) for k in FIELDS if k in z.files}
                 shapes = {a.shape for a in arrays.values()}
@@ -147,11 +147,11 @@ def read_npz(spark: SparkSession, paths: str | list[str]) -> DataFrame:
                 for start in range(0, rows, 256):  # a few rows of the grid at a time
                     stop = min(rows, start + 256)
                     jj, ii = np.divmod(np.arange(start * cols, stop * cols, dtype=np.int64), cols)
-                    data = {"slice_id": Path(path).name, "j": jj.astype("int32"), "i": ii.astype("int32")}
-                    yield pd.DataFrame(data | {k: arrays[k][start:stop].ravel() if k in arrays else np.nan for k in FIELDS})
+                    cells = [arrays[k][start:stop].ravel() if k in arrays else np.full(len(jj), np.nan) for k in FIELDS]
+                    yield pa.record_batch([pa.array([Path(path).name] * len(jj)), pa.array(jj.astype("int32")), pa.array(ii.astype("int32")), *map(pa.array, cells)], ["slice_id", "j", "i", *FIELDS])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(paths)
-    return files.select("path", "content").mapInPandas(unpack, schema)
+    return files.select("path", "content").mapInArrow(unpack, schema)
 
 
 def check_npz_path(path: str | Path) -> Path:
