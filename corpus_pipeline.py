@@ -18,8 +18,12 @@ from incrementa.llm.toxicity import without_toxic
 
 
 def keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``ids``; a row without an id cannot be named and stays."""
-    named = docs.where("doc_id is not null").join(settle(ids.select("doc_id").where("doc_id is not null").distinct(), "kept"), "doc_id", "left_semi")
+    """Rows of ``docs`` whose doc_id is in ``ids``; a row without an id cannot be named and stays.
+
+    The ids grow with the documents, so the join is a merge at every size.
+    """
+    kept = settle(ids.select("doc_id").where("doc_id is not null").distinct(), "kept")
+    named = docs.where("doc_id is not null").join(kept.hint("merge"), "doc_id", "left_semi")
     return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
