@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,8 @@ SHARD_BYTES = 4 << 20
 _T = np.random.default_rng(91).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _C = (np.random.default_rng(92).integers(0, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)).tolist()
 _ONE = np.uint64(1)
+#: a run on its way to a bucket: doc_id, document in its shard, place in it, bytes
+HEAD = np.dtype([("who", "<i8"), ("doc", "<i4"), ("place", "<i4"), ("size", "<i4")])
 
 
 def gram_hashes(body: np.ndarray) -> np.ndarray:
@@ -159,9 +162,9 @@ def joined_runs(raw: memoryview, at: list[int], size: list[int], anchor: np.ndar
 
 def candidates(docs: pa.Table, keys: pa.Table, bits: int) -> pa.Table:
     """A shard's runs with a common anchor, by bucket; of equal runs that of the smallest doc_id, with the others' spans set apart."""
-    names = ["bucket", "shard", "x0", "x1", "x2", "x3"]
+    names = ["bucket", "shard", "x0", "x1", "x2"]
     if not docs.num_rows or not keys.num_rows:
-        return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), *[pa.binary()] * 4)], names=names)
+        return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), *[pa.binary()] * 3)], names=names)
     shard = docs.column("shard")[0].as_py()
     ids, body, off = shard_of(docs)
     v, doc, at, n = runs(body, off)
@@ -180,16 +183,17 @@ def candidates(docs: pa.Table, keys: pa.Table, bits: int) -> pa.Table:
     spans = np.stack([doc[lost], place[lost], place[lost] + size[lost]], 1).astype("<i4")
     v, doc, at, size, who, place = (x[lead] for x in (v, doc, at, size, who, place))
     bucket = (v >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(v), np.int64)
-    head = np.stack([who, doc, place, size], 1).astype("<i8")
+    head = np.zeros(len(who), HEAD)
+    head["who"], head["doc"], head["place"], head["size"] = who, doc, place, size
     pieces = [raw[a : a + s] for a, s in zip(at.tolist(), size.tolist())]
     cut = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(bucket) else np.zeros(0, np.int64)
     end = np.append(cut[1:], len(bucket)) if len(cut) else cut
-    rows = [(int(bucket[a]), head[a:b].tobytes(), b"".join(pieces[a:b]), v[a:b].tobytes()) for a, b in zip(cut.tolist(), end.tolist())]
+    rows = [(int(bucket[a]), head[a:b].tobytes(), b"".join(pieces[a:b])) for a, b in zip(cut.tolist(), end.tolist())]
     empty = np.zeros(0, "<i4").tobytes()
     if len(spans):
-        rows.append((-1, b"", b"", b""))
+        rows.append((-1, b"", b""))
     return pa.table(
-        [pa.array([r[0] for r in rows], pa.int64()), pa.array([shard] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary()), pa.array([spans.tobytes() if r[0] == -1 else empty for r in rows], pa.binary())],
+        [pa.array([r[0] for r in rows], pa.int64()), pa.array([shard] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary()), pa.array([spans.tobytes() if r[0] == -1 else empty for r in rows], pa.binary())],
         names=names,
     )
 
@@ -232,9 +236,10 @@ def lost_in_bucket(table: pa.Table) -> pa.Table:
     """Spans that documents of each shard lose, judged over all runs of this bucket."""
     names, kinds = ["shard", "spans"], (pa.int64(), pa.binary())
     rows = sorted(zip(table.column("shard").to_pylist(), table.column("x0").to_pylist(), table.column("x1").to_pylist()))
-    head = [np.frombuffer(x, "<i8").reshape(-1, 4) for _, x, _ in rows]
+    head = [np.frombuffer(x, HEAD) for _, x, _ in rows]
     shard = np.repeat([s for s, _, _ in rows], [len(h) for h in head])
-    who, doc, place, size = np.concatenate(head).T
+    every = np.concatenate(head)
+    who, doc, place, size = (every[c].astype(np.int64) for c in ("who", "doc", "place", "size"))
     raw = b"".join(x for _, _, x in rows)
     at = np.cumsum(size) - size
     by_doc = np.argsort(who, kind="stable")  # the smallest doc_id leads equal runs
@@ -289,9 +294,11 @@ def cleaned(docs: pa.Table, spans: pa.Table) -> pa.Table:
 
 
 def release(df: DataFrame) -> DataFrame:
-    """Lets Spark's cleaner drop the shuffle files of what has been written; it acts on collected references."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    """Lets Spark's cleaner drop the shuffle files of what has been written; it acts on collected references, those of Python first."""
+    for _ in range(2):
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
     return df
 
 
@@ -307,8 +314,8 @@ def without_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFram
     anchors = release(settle(docs.groupBy("shard").applyInArrow(lambda t: anchor_table(t, bits), wide), "anchors", "none"))
     keys = release(settle(anchors.groupBy("bucket").applyInArrow(merge_bucket, "shard long, keys binary"), "keys", "none"))
     discard(anchors)
-    found = release(settle(docs.groupBy("shard").cogroup(keys.groupBy("shard")).applyInArrow(lambda d, k: candidates(d, k, bits), wide + ", x1 binary, x2 binary, x3 binary"), "runs"))
+    found = release(settle(docs.groupBy("shard").cogroup(keys.groupBy("shard")).applyInArrow(lambda d, k: candidates(d, k, bits), wide + ", x1 binary, x2 binary"), "runs"))
     judged = found.where("bucket >= 0").select("bucket", "shard", "x0", "x1").groupBy("bucket").applyInArrow(lost_in_bucket, "shard long, spans binary")
-    spans = release(settle(judged.unionByName(found.where("bucket < 0").select("shard", F.col("x3").alias("spans"))), "spans"))
+    spans = release(settle(judged.unionByName(found.where("bucket < 0").select("shard", F.col("x2").alias("spans"))), "spans"))
     discard(found)
     return docs.groupBy("shard").cogroup(spans.groupBy("shard")).applyInArrow(cleaned, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
