@@ -96,10 +96,10 @@ def names(spark):
 
 
 @query("src_7", f"""WITH r AS (SELECT path, regexp_extract(path, 'slice_x([123])_.*?_beta([0-9]+(\\.[0-9]+)?)', 1, 'i') AS a, regexp_extract(path, 'slice_x([123])_.*?_beta([0-9]+(\\.[0-9]+)?)', 2, 'i') AS b FROM {NAME_ROWS})
- SELECT path, CASE WHEN a <> '' THEN CAST(a AS INTEGER) END AS axis, CASE WHEN b <> '' THEN CAST(b AS DOUBLE) END AS beta FROM r""")
+ SELECT path, CAST(CASE WHEN a <> '' THEN CAST(a AS INTEGER) ELSE -1 END AS INTEGER) AS axis, CASE WHEN b <> '' THEN CAST(b AS DOUBLE) ELSE -1e0 END AS beta FROM r""")
 def src_7(spark, sf):
     axis, beta = sl.metadata(F.col("path"))
-    return names(spark).select("path", axis.alias("axis"), beta.alias("beta"))
+    return names(spark).select("path", F.coalesce(axis, F.lit(-1)).alias("axis"), F.coalesce(beta, F.lit(-1.0)).alias("beta"))
 
 
 @query("src_8", f"SELECT path FROM {NAME_ROWS}")
