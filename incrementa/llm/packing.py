@@ -165,7 +165,7 @@ def piece_batches(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int
     for whole in batches:
         for batch in slices(whole, "text"):
             row, piece, start, length, crc = [], [], [], [], []
-            for i, x in enumerate(encoder.encode(batch.column("text").to_pylist())):
+            for i, x in enumerate(encoder.encode(batch.column("text"))):
                 ids = memoryview(np.frombuffer(x + end, encoder.dtype).astype("<u4").tobytes())
                 n = len(ids) // 4
                 at = [0, *range(n % capacity or capacity, n + 1, capacity)]

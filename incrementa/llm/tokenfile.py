@@ -92,7 +92,7 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int) ->
     names = ["doc_id", "part", "seq", "ids", "counts"]
     for whole in batches:
         for batch in slices(whole, "text"):
-            ids = [x + end for x in encoder.encode(batch.column("text").to_pylist())]
+            ids = [x + end for x in encoder.encode(batch.column("text"))]
             n = len(ids)
             total += np.bincount(np.frombuffer(b"".join(ids), encoder.dtype), minlength=len(total))
             yield pa.record_batch([batch.column("doc_id"), pa.array([part] * n, pa.int32()), pa.array(np.arange(seq, seq + n)), pa.array(ids, pa.binary()), pa.nulls(n, pa.binary())], names)

@@ -13,6 +13,8 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 CACHE = 1_000_000
@@ -76,27 +78,51 @@ class Encoder:
             raw, cut = ids.tobytes(), (cut * self.dtype.itemsize).tolist()
             self.known.update(zip(some, map(raw.__getitem__, map(slice, [0, *cut[:-1]], cut))))
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def _cut(self, texts: pa.Array, rows: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the given rows one after the other, how many each has); rows are cut at spaces and looked up by distinct piece."""
+        lists = pc.split_pattern(texts.take(pa.array(rows, pa.int64())), " ")
+        begin = np.asarray(lists.offsets)
+        coded = lists.values.slice(begin[0], begin[-1] - begin[0]).dictionary_encode()
+        begin, index = begin - begin[0], np.asarray(coded.indices).astype(np.int64)
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # much quicker than to_pylist()
+        first = [_ALONE + pieces[k] for k in index[begin[:-1]].tolist()]  # no space before the first
+        index[begin[:-1]] = np.arange(len(pieces), len(pieces) + len(first))
+        pieces += first
+        self._learn(list(set(pieces) - self.known.keys()))
+        blobs = list(map(self.known.__getitem__, pieces))
+        size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // self.dtype.itemsize
+        start = np.cumsum(size) - size
+        size, start = size[index], start[index]
+        shift = np.repeat(start - (np.cumsum(size) - size), size)
+        ids = np.frombuffer(b"".join(blobs), self.dtype)[np.arange(len(shift)) + shift]
+        return ids, np.add.reduceat(size, begin[:-1])
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        texts = column.to_numpy(zero_copy_only=False).tolist()
         out: list[bytes] = [b""] * len(texts)
-        plain, other, split = [], [], []
+        plain, spaced, other = [], [], []
         for i, text in enumerate(texts):
             if not text:
                 continue
             if _ODD.search(text):
                 other.append(i)
-                continue
-            plain.append(i)
-            if "  " in text or "\n " in text or "\t " in text or "\r " in text:
-                split.append([_ALONE + w for w in _SPLIT.findall(text)])
+            elif "  " in text or "\n " in text or "\t " in text or "\r " in text:
+                spaced.append(i)
             else:
-                words = text.split(" ")
-                words[0] = _ALONE + words[0]
-                split.append(words)
+                plain.append(i)
         if len(self.known) > CACHE:
             self.known.clear()
-        self._learn(list(set().union(*split) - self.known.keys()))
-        for i, words in zip(plain, split):
-            out[i] = b"".join(map(self.known.__getitem__, words))
+        if plain:
+            ids, size = self._cut(column, plain)
+            raw, end = ids.tobytes(), np.cumsum(size) * self.dtype.itemsize
+            for i, a, b in zip(plain, [0, *end[:-1].tolist()], end.tolist()):
+                out[i] = raw[a:b]
+        if spaced:
+            split = [[_ALONE + w for w in _SPLIT.findall(texts[i])] for i in spaced]
+            self._learn(list(set().union(*split) - self.known.keys()))
+            for i, words in zip(spaced, split):
+                out[i] = b"".join(map(self.known.__getitem__, words))
         for i, ids in zip(other, self._library([texts[i] for i in other]) if other else []):
             out[i] = ids
         return out
