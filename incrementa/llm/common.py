@@ -33,7 +33,7 @@ def prepare(spark: SparkSession) -> None:
 
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor sees: ``spark.checkpoint.dir``; a temporary one only where unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
     if not _LOCAL_ROOT:
