@@ -81,7 +81,8 @@ def runs(body: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     at = np.flatnonzero(new)
     stop = valid.copy()
     stop[:-1] &= ~valid[1:] | new[1:]
-    return v[at], doc_of_start[at], at, np.flatnonzero(stop) - at + 1
+    # least hashes are small; an odd factor spreads them evenly over the buckets
+    return v[at] * np.uint64(_C[0]), doc_of_start[at], at, np.flatnonzero(stop) - at + 1
 
 
 def shard_of(table: pa.Table) -> tuple[list, np.ndarray, np.ndarray]:
