@@ -130,3 +130,16 @@ def magnitude_histogram(framed: DataFrame, channels: list[str] | None = None, ed
 def product_histogram(framed: DataFrame, channels: list[str] | None = None, edges: list[float] | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
     """(channel, ell_bin, product_bin, count), sparse."""
     return _counted(framed, channels or list(PRODUCTS), [*extra, "ell_bin"], edges or product_edges(), "product_bin")
+
+
+def all_histograms(framed: DataFrame, sf_edges: list[float] | None = None, other_edges: list[float] | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Both families in one pass over the samples: (channel, ell_bin, theta_bin, phi_bin, value_bin, count), angles -1 for products."""
+    channels, first = [*MAGNITUDES, *PRODUCTS], len(MAGNITUDES)
+    names = F.array(*(F.lit(c) for c in channels))
+    keys = [*extra, "ell_bin"]
+    rows = with_perpendiculars(framed, channels).select(*keys, "theta_bin", "phi_bin", F.posexplode(F.array(*(channel_value(c) for c in channels))).alias("k", "value"))
+    angled = F.col("k") < first
+    bins = F.when(angled, log_bin(F.col("value"), sf_edges or value_edges())).otherwise(log_bin(F.col("value"), other_edges or product_edges()))
+    rows = rows.select(*keys, "k", *(F.when(angled, F.col(c)).otherwise(F.lit(-1)).alias(c) for c in ("theta_bin", "phi_bin")), bins.alias("value_bin")).where("value_bin >= 0")
+    counted = rows.groupBy("k", *keys, "theta_bin", "phi_bin", "value_bin").agg(F.count("*").alias("count"))
+    return counted.select(F.get(names, F.col("k")).alias("channel"), *keys, "theta_bin", "phi_bin", "value_bin", "count")

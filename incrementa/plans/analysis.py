@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from incrementa.functions.binning import phi_edges, product_edges, theta_edges, value_edges
 from incrementa.functions.physics import alfven, elsasser
-from incrementa.operators.channels import MAGNITUDES, PRODUCTS, angle_bins, increments, local_frame, magnitude_histogram, product_histogram, vector_columns, vectors_of
+from incrementa.operators.channels import MAGNITUDES, PRODUCTS, all_histograms, angle_bins, increments, local_frame, magnitude_histogram, product_histogram, vector_columns, vectors_of
 from incrementa.operators.displacements import displacement_list, largest_scale, scale_edges
 from incrementa.operators.sampling import affine_samples, gather, with_scale
 from incrementa.operators.statistics import raw_increments
@@ -17,10 +17,13 @@ from incrementa.sources.slices import check_dense, filled
 
 
 class Result(NamedTuple):
+    """Either family as its own lazy plan, and ``counts``: both from one pass, for when both are written."""
+
     magnitudes: DataFrame
     products: DataFrame
     displacements: DataFrame
     edges: DataFrame
+    counts: DataFrame
 
 
 def with_derived(slices: DataFrame) -> DataFrame:
@@ -51,7 +54,7 @@ def analyse_slice(slices: DataFrame, *, n_displacements: int = 1000, n_ell_bins:
     disp = displacement_list(slices.sparkSession, ell, n_displacements, seed)
     samples = affine_samples(with_scale(disp, ell), rows, columns, n_random_subsamples)
     framed = framed_samples(with_derived(slices), samples, rows, columns, axis, stencil_width)
-    return Result(magnitude_histogram(framed), product_histogram(framed), disp, edge_table(slices, ell))
+    return Result(magnitude_histogram(framed), product_histogram(framed), disp, edge_table(slices, ell), all_histograms(framed))
 
 
 def analyse_slices(slices: DataFrame, rows: int, columns: int, *, n_displacements: int = 1000, n_ell_bins: int = 128, n_random_subsamples: int = 1000, stencil_width: int = 2, axis: int = 3, seed: int = 0) -> Result:
@@ -61,7 +64,7 @@ def analyse_slices(slices: DataFrame, rows: int, columns: int, *, n_displacement
     every = slices.select("slice_id").distinct().crossJoin(F.broadcast(with_scale(disp, ell)))  # the displacement list is bounded by its request
     samples = affine_samples(every, rows, columns, n_random_subsamples)
     framed = framed_samples(with_derived(slices), samples, rows, columns, axis, stencil_width, extra=("slice_id",))
-    return Result(magnitude_histogram(framed), product_histogram(framed), disp, edge_table(slices, ell))
+    return Result(magnitude_histogram(framed), product_histogram(framed), disp, edge_table(slices, ell), all_histograms(framed))
 
 
 def simple_increments(slices: DataFrame, *, n_displacements: int = 1000, n_ell_bins: int = 128, n_samples: int = 100, first: int = 20, seed: int = 0) -> DataFrame:

@@ -759,10 +759,8 @@ BOTH = f"{FRAMED}, {o.hist(list(ch.MAGNITUDES))}, {o.prod(list(ch.PRODUCTS))} SE
 
 @query("api_1", BOTH)
 def api_1(spark, sf):
-    """All 28 channels: one pass over the samples for each family."""
-    rows = framed(spark, sf)
-    mags = ch.magnitude_histogram(rows).withColumnRenamed("sf_bin", "value_bin")
-    return mags.unionByName(ch.product_histogram(rows).select("channel", "ell_bin", F.lit(-1).alias("theta_bin"), F.lit(-1).alias("phi_bin"), F.col("product_bin").alias("value_bin"), "count"))
+    """All 28 channels in one pass over the samples."""
+    return ch.all_histograms(framed(spark, sf))
 
 
 for _axis in (1, 2):

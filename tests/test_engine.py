@@ -238,6 +238,7 @@ def test_whole_analyses(spark, tmp_path):
         assert simple_increments(df, n_displacements=40, n_ell_bins=3, n_samples=10).where("dv is null").count() == 0
     total = lambda h: h.agg(F.sum("count")).first()[0]
     assert total(two.magnitudes) == 2 * total(one.magnitudes) > 0 and total(two.products) == 2 * total(one.products)
+    assert total(one.counts) == total(one.magnitudes) + total(one.products)
     assert {r.channel for r in one.magnitudes.select("channel").distinct().collect()} == {"D_V", "D_B", "D_RHO", "D_VA", "D_ZPLUS", "D_ZMINUS"}
     cf.write_result({"hist_mag": one.magnitudes, "edges": one.edges}, {"axis": 3}, str(tmp_path / "r"))
     assert total(cf.read_result(spark, str(tmp_path / "r"), "hist_mag")) == total(one.magnitudes)
