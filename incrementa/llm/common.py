@@ -101,6 +101,20 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 2 << 20) -> Ite
         i = j
 
 
+def heaps(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 5 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches joined until their text is about ``most_bytes``, and cut where it is more."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += int(text_views(batch.column(column))[1][-1])
+        if size >= most_bytes // 2:
+            yield from slices(pa.Table.from_batches(held).combine_chunks().to_batches()[0], column, most_bytes)
+            held, size = [], 0
+    if held and (joined := pa.Table.from_batches(held).combine_chunks().to_batches()):
+        yield from slices(joined[0], column, most_bytes)
+
+
 def numpy_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest reachable index of each of ``n`` nodes over undirected links (a, b)."""
     label = np.arange(n)

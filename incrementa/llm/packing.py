@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from incrementa.llm.common import prepare, settle, slices
+from incrementa.llm.common import heaps, prepare, settle
 from incrementa.llm.tokens import Encoder, vocabulary_path
 
 ROUNDS = 150
@@ -162,29 +162,28 @@ def piece_batches(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int
     encoder = Encoder.of(tokenizer)
     part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
     end = np.array([end_id], encoder.dtype).tobytes()
-    for whole in batches:
-        for batch in slices(whole, "text"):
-            row, piece, start, length, crc = [], [], [], [], []
-            for i, x in enumerate(encoder.encode(batch.column("text"))):
-                ids = memoryview(np.frombuffer(x + end, encoder.dtype).astype("<u4").tobytes())
-                n = len(ids) // 4
-                at = [0, *range(n % capacity or capacity, n + 1, capacity)]
-                for k, (a, b) in enumerate(zip(at[:-1], at[1:])):
-                    row.append(i)
-                    piece.append(k)
-                    start.append(a)
-                    length.append(b - a)
-                    crc.append(zlib.crc32(ids[4 * a : 4 * b]))
-            size = np.array(length, np.int64)
-            order = np.argsort(size, kind="stable")
-            ranked = size[order]
-            rank = np.empty(len(size), np.int64)
-            rank[order] = np.arange(len(size)) - np.searchsorted(ranked, ranked) + seen[ranked]
-            seen += np.bincount(size, minlength=capacity + 1)
-            yield pa.record_batch(
-                [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size), pa.array(crc, pa.int64()), pa.array([part] * len(row), pa.int32()), pa.array(rank)],
-                ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"],
-            )
+    for batch in heaps(batches, "text"):
+        row, piece, start, length, crc = [], [], [], [], []
+        for i, x in enumerate(encoder.encode(batch.column("text"))):
+            ids = memoryview(np.frombuffer(x + end, encoder.dtype).astype("<u4").tobytes())
+            n = len(ids) // 4
+            at = [0, *range(n % capacity or capacity, n + 1, capacity)]
+            for k, (a, b) in enumerate(zip(at[:-1], at[1:])):
+                row.append(i)
+                piece.append(k)
+                start.append(a)
+                length.append(b - a)
+                crc.append(zlib.crc32(ids[4 * a : 4 * b]))
+        size = np.array(length, np.int64)
+        order = np.argsort(size, kind="stable")
+        ranked = size[order]
+        rank = np.empty(len(size), np.int64)
+        rank[order] = np.arange(len(size)) - np.searchsorted(ranked, ranked) + seen[ranked]
+        seen += np.bincount(size, minlength=capacity + 1)
+        yield pa.record_batch(
+            [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size), pa.array(crc, pa.int64()), pa.array([part] * len(row), pa.int32()), pa.array(rank)],
+            ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"],
+        )
 
 
 def place_batches(batches: Iterator[pa.RecordBatch], key: np.ndarray, sequence: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from incrementa.llm.common import fresh_path, partitions, prepare, settle, slices
+from incrementa.llm.common import fresh_path, heaps, partitions, prepare, settle
 from incrementa.llm.tokens import Encoder, vocabulary_path
 
 MAGIC = 0x31424B54
@@ -90,13 +90,12 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int) ->
     end = np.array([end_id], encoder.dtype).tobytes()
     part, seq, total = TaskContext.get().partitionId(), 0, np.zeros(max(encoder.vocabulary, end_id + 1), np.int64)
     names = ["doc_id", "part", "seq", "ids", "counts"]
-    for whole in batches:
-        for batch in slices(whole, "text"):
-            ids = [x + end for x in encoder.encode(batch.column("text"))]
-            n = len(ids)
-            total += np.bincount(np.frombuffer(b"".join(ids), encoder.dtype), minlength=len(total))
-            yield pa.record_batch([batch.column("doc_id"), pa.array([part] * n, pa.int32()), pa.array(np.arange(seq, seq + n)), pa.array(ids, pa.binary()), pa.nulls(n, pa.binary())], names)
-            seq += n
+    for batch in heaps(batches, "text"):
+        ids = [x + end for x in encoder.encode(batch.column("text"))]
+        n = len(ids)
+        total += np.bincount(np.frombuffer(b"".join(ids), encoder.dtype), minlength=len(total))
+        yield pa.record_batch([batch.column("doc_id"), pa.array([part] * n, pa.int32()), pa.array(np.arange(seq, seq + n)), pa.array(ids, pa.binary()), pa.nulls(n, pa.binary())], names)
+        seq += n
     if seq:
         yield pa.record_batch([pa.nulls(1, pa.int64()), pa.array([part], pa.int32()), pa.array([-1], pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names)
 
