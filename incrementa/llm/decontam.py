@@ -5,7 +5,7 @@ some positions, so that a substituted token spoils only the seeds that look at i
 benchmark are a hash set of bounded size: items are taken in as many blocks as the bound asks for
 and each block is held against all documents. Around every hit, document and item are laid side by
 side on the hit's diagonal and their tokens compared; a document is contaminated where a window of
-at most ``window`` tokens agrees in at least ``share`` of its places.
+``window`` tokens, or of all of a shorter item's, agrees in at least ``share`` of its places.
 
 Edge cases: null or empty text holds nothing; items of fewer than ``SHORTEST`` tokens never match
 (single common words would flag everything), short items are matched whole or but for one token;
@@ -121,9 +121,9 @@ def make_seeds(ids: list[int], texts: list[str | None]) -> Seeds:
 
 
 def agreement(a: np.ndarray, b: np.ndarray, window: int, share: float) -> tuple[int, int] | None:
-    """(start, matches) of the best window in which equal-length token runs agree in at least ``share``; none otherwise."""
-    w = min(window, len(a))
-    if w < SHORTEST:
+    """(start, matches) of the best window of ``window`` places in which the runs agree in at least ``share``; none otherwise."""
+    w = window
+    if len(a) < w:
         return None
     c = np.concatenate([[0], np.cumsum(a == b)])
     n = c[w:] - c[:-w]
