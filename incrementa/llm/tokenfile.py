@@ -29,6 +29,8 @@ from incrementa.llm.tokens import Encoder, vocabulary_path
 
 MAGIC = 0x31424B54
 BLOCK_IDS = 1 << 20
+#: entries of a worker's dictionary of pre-tokens, about 150 MB when full
+PIECES = 1_000_000
 #: bytes used by each of the four ids of a control byte
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6])[None, :] & 3).astype(np.uint8) + np.uint8(1)
 
@@ -86,7 +88,7 @@ def read_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def encode_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     """Ids of each document, in order; a last row holds the task's counts of all ids."""
-    encoder = Encoder.of(path)
+    encoder = Encoder.of(path, PIECES)
     end = np.array([end_id], encoder.dtype).tobytes()
     part, seq, total = TaskContext.get().partitionId(), 0, np.zeros(max(encoder.vocabulary, end_id + 1), np.int64)
     names = ["doc_id", "part", "seq", "ids", "counts"]

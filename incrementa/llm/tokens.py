@@ -3,7 +3,7 @@
 A text made of common Latin characters is cut at its spaces, or at all pre-tokens where spaces
 stand inside one; every distinct piece is encoded by the ``tokenizers`` library a single time per
 worker (byte-level BPE never merges across pre-tokens). Any other text goes to the library whole. The
-worker's dictionary is emptied when it reaches ``CACHE`` entries, which costs time only.
+worker's dictionary is emptied when it reaches its size in entries, which costs time only.
 Strings of special tokens inside a text are ordinary text.
 """
 
@@ -46,15 +46,18 @@ class Encoder:
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.vocabulary <= 1 << 16 else np.dtype("<u4")
         self.known: dict[str, bytes] = {}
+        self.cache = CACHE
         #: bytes of each token; a byte-level vocabulary writes one character for each byte
         self.width = np.zeros(self.vocabulary + 1, np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.width[i] = len(token)
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
+    def of(cls, path: str, cache: int = CACHE) -> Encoder:
+        """The worker's encoder of a vocabulary; ``cache``: entries of its dictionary."""
         if path not in cls._made:
             cls._made[path] = cls(path)
+        cls._made[path].cache = cache
         return cls._made[path]
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -111,7 +114,7 @@ class Encoder:
                 spaced.append(i)
             else:
                 plain.append(i)
-        if len(self.known) > CACHE:
+        if len(self.known) > self.cache:
             self.known.clear()
         if plain:
             ids, size = self._cut(column, plain)
