@@ -25,7 +25,6 @@ from __future__ import annotations
 import gc
 import hashlib
 import time
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
