@@ -565,7 +565,6 @@ def raw(spark, sf):
     return st.raw_increments(gathered(spark, sf, ch.vector_columns(["rho", "v", "b"])))
 
 
-R_EDGES = f"lim AS (SELECT min(r) AS lo, max(r) AS hi FROM rawinc)"
 #: fixed values: the scales of the default displacements
 R_LO, R_HI = 1.0, math.sqrt(21 * 21 + 20 * 20)
 PLOT_EDGES = [R_LO, *(R_LO * (R_HI / R_LO) ** (k / 19) for k in range(1, 19)), R_HI]
