@@ -8,9 +8,13 @@ tile pairs whose population counts differ by more than the radius are skipped. A
 than a tile is split over many tasks by (population class, hash), every pair of its tiles that
 can hold a link being compared. Only a spanning set of links leaves a tile.
 
-For similarities that 64 bits cannot tell (a share of 0.8 of five-word shingles), the same tiles
-compare fingerprints of several words. There no covering of bit blocks stays selective, so rows are
-filed under disjoint slices of the bits; the slices' number sets the share of links that is met.
+For a similarity of the sets of shingles (a share of 0.8 of five-word shingles), fingerprints of
+several words over the distinct shingles only find candidates. No covering of bit blocks stays
+selective there, so rows are filed under bands of least hashes; their number sets the share of pairs
+that is met. The radius lies well above the distance expected at the threshold, and a candidate pair
+is linked only where the share of the two sets' shingles, counted exactly, reaches it. A spanning forest of
+candidates is counted first, then every candidate between different components, so no pair is
+left uncounted that could join two groups.
 
 Edge cases: null text is empty text; text without words has fingerprint zero and is linked
 like any other; fewer words than ``width`` make one shingle; repeated rows link through their
@@ -56,11 +60,19 @@ class Scheme(NamedTuple):
     words: int
     radius: int
     tables: tuple[tuple[int, int], ...]
+    similarity: float = 0.0  # of the sets, above 0 only where links are counted exactly
+    bands: int = 0
+    band_rows: int = 0
 
     @property
     def columns(self) -> list[str]:
         return [f"f{k}" for k in range(self.words)]
 
+    @property
+    def extra(self) -> list[str]:
+        """Band keys and the number of distinct shingles, where links are counted exactly."""
+        return [*(f"b{k}" for k in range(self.bands)), "m"] if self.similarity else []
+
 
 def exact_scheme(width: int = 3, radius: int = 3) -> Scheme:
     """One word; every pair of ``radius + 2`` bit blocks is a table, so no pair within the radius is missed."""
@@ -70,15 +82,27 @@ def exact_scheme(width: int = 3, radius: int = 3) -> Scheme:
     return Scheme(width, 1, radius, tuple((0, span[a] | span[b]) for a, b in combinations(range(blocks), 2)))
 
 
-def similar_scheme(width: int = 5, similarity: float = 0.8, words: int = 5, slice_bits: int = 12) -> Scheme:
-    """Radius at which fingerprints of sets with Jaccard ``similarity`` differ on average.
+def bit_difference(shared: int, left: int, right: int) -> float:
+    """Chance that a bit differs between the prints of two sets with so many shared shingles and others on either side."""
+    few = lambda n: np.array([math.comb(n, k) for k in range(n + 1)]) / 2**n
+    at = lambda n: few(n)[None, :] * (2 * (np.arange(shared + 1)[:, None] + np.arange(n + 1)) > shared + n)
+    a, b = at(left).sum(1), at(right).sum(1)
+    return float((few(shared) * (a * (1 - b) + b * (1 - a))).sum())
+
+
+def similar_scheme(width: int = 5, similarity: float = 0.8, words: int = 5, bands: int = 16, band_rows: int = 4) -> Scheme:
+    """Candidates for sets with Jaccard ``similarity`` or more, which are then counted exactly.
 
-    A slice agrees with probability (1 - angle / pi) ** slice_bits, 0.14 at a similarity of 0.8 and
-    12 bits: the 25 slices of five words meet 0.977 of the pairs right at the threshold, 0.996 at 0.85.
+    A band agrees with probability similarity ** band_rows, 0.41 at 0.8 and four rows: sixteen bands
+    meet 0.9998 of the pairs right at the threshold. The radius is four standard deviations above
+    the mean distance at the threshold, for whichever small sets, where ties widen it, are farthest apart.
     """
-    angle = math.acos(2 * similarity / (1 + similarity))
-    masks = [((1 << slice_bits) - 1) << at for at in range(0, 64 - slice_bits + 1, slice_bits)]
-    return Scheme(width, words, int(64 * words * angle / math.pi), tuple((w, m) for w in range(words) for m in masks))
+    worst = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    for shared in range(1, 41):
+        apart = int(shared / similarity - shared + 1e-9)
+        worst = max([worst, *(bit_difference(shared, u, v) for u in range(apart + 1) for v in range(u, apart + 1 - u))])
+    n = 64 * words
+    return Scheme(width, words, math.ceil(n * worst + 4 * math.sqrt(n * worst * (1 - worst))), (), similarity, bands, band_rows)
 
 
 def vote(hashes: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
@@ -100,6 +124,20 @@ def rehashed(hashes: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def band_keys(hashes: np.ndarray, count: np.ndarray, scheme: Scheme) -> list[np.ndarray]:
+    """For every band, one key of each document: its least hashes under ``band_rows`` mixes; 0 for an empty set."""
+    full = count > 0
+    at = (np.cumsum(count) - count)[full]
+    out = []
+    for k in range(scheme.bands):
+        key = np.zeros(len(count), np.uint64)
+        for r in range(scheme.band_rows if len(at) else 0):
+            least = np.minimum.reduceat(rehashed(hashes, 16 + k * scheme.band_rows + r), at)
+            key[full] = rehashed(key[full] + least, 1)
+        out.append(key.view(np.int64))
+    return out
+
+
 def fingerprint_batches(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text", 1 << 20):
@@ -107,20 +145,50 @@ def fingerprint_batches(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> It
             raw, hashes, count = body.tobytes(), [], []
             for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
                 found = shingle_hashes(raw[a:b], scheme.width)
+                if scheme.similarity:
+                    found = list(dict.fromkeys(found))
                 hashes += found
                 count.append(len(found))
             h, doc = np.array(hashes, np.uint64), np.repeat(np.arange(len(count)), count)
-            prints = [vote(rehashed(h, k), doc, len(count)).view(np.int64) for k in range(scheme.words)]
-            yield pa.record_batch([batch.column("doc_id"), *map(pa.array, prints)], ["doc_id", *scheme.columns])
+            made = [vote(rehashed(h, k), doc, len(count)).view(np.int64) for k in range(scheme.words)]
+            if scheme.similarity:
+                made += [*band_keys(h, np.array(count), scheme), np.array(count, np.int64)]
+            yield pa.record_batch([batch.column("doc_id"), *map(pa.array, made)], ["doc_id", *scheme.columns, *scheme.extra])
 
 
 def fingerprints(docs: DataFrame, scheme: Scheme) -> DataFrame:
     """(doc_id, f0, ...) for every row; the fingerprint's bits as signed longs."""
     prepare(docs.sparkSession)
-    schema = ", ".join(["doc_id long", *(f"{c} long" for c in scheme.columns)])
+    schema = ", ".join(["doc_id long", *(f"{c} long" for c in [*scheme.columns, *scheme.extra])])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda it: fingerprint_batches(it, scheme), schema)
 
 
+def set_batches(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in slices(whole, "text", 1 << 20):
+            body, off = text_views(batch.column("text"))
+            raw = body.tobytes()
+            sets = [np.unique(np.array(shingle_hashes(raw[a:b], scheme.width), np.uint64)).view(np.int64) for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
+            yield pa.record_batch([batch.column("doc_id"), lists], ["node", "shingles"])
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, scheme: Scheme) -> DataFrame:
+    """(node, shingles) of the rows whose doc_id is a ``wanted(node)``, equal rows once."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = texts.join(wanted.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return settle(rows.mapInArrow(lambda it: set_batches(it, scheme), "node long, shingles array<long>"), "sets")
+
+
+def counted(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose sets of shingles have Jaccard ``similarity`` or more."""
+    x, y = (sets.select(F.col("node").alias(c), F.col("shingles").alias(n)) for c, n in (("a", "x"), ("b", "y")))
+    # common >= similarity * (x + y - common)
+    enough = F.size(F.array_intersect("x", "y")) * (1 + similarity) >= similarity * (F.size("x") + F.size("y")) - 1e-9
+    return settle(pairs.join(x, "a").join(y, "b").where(enough).select("a", "b"), "counted")
+
+
 def distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Bits that differ, over the last axis of words."""
     out = np.bitwise_count(x[..., 0] ^ y[..., 0]).astype(np.int16)
@@ -146,8 +214,27 @@ def close_pairs(x: np.ndarray, y: np.ndarray, radius: int) -> tuple[np.ndarray,
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
+def spanning(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a spanning forest of the pairs (i, j) of ``n`` nodes, of least distances ``d``."""
+    order = np.argsort(d, kind="stable")
+    i, j, label, live, taken = i[order], j[order], np.arange(n), np.arange(len(i)), [np.zeros(0, np.int64)]
+    while len(live := live[label[i[live]] != label[j[live]]]):
+        best = np.full(n, len(i))
+        np.minimum.at(best, label[i[live]], live)
+        np.minimum.at(best, label[j[live]], live)
+        pick = np.unique(best[best < len(i)])
+        taken.append(pick)
+        label = numpy_components(n, label[i[pick]], label[j[pick]])[label]
+    t = np.concatenate(taken)
+    return i[t], j[t]
+
+
 def tile_links(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
-    """Rows arrive sorted by tile (t, k, p, q); yields a spanning set of links (a, b) between nodes."""
+    """Rows arrive sorted by tile (t, k, p, q); yields a spanning set of links (a, b) between nodes.
+
+    Where links are counted exactly, these are candidates: a spanning forest of them, or all
+    between different components where the rows have a ``root``.
+    """
     held: list[pa.RecordBatch] = []
     radius = scheme.radius
 
@@ -177,6 +264,16 @@ def tile_links(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa
                     j_all.append(second[v + j])
         i = np.concatenate(i_all) if i_all else np.zeros(0, np.int64)
         j = np.concatenate(j_all) if j_all else np.zeros(0, np.int64)
+        if scheme.similarity:
+            m = table.column("m").to_numpy()
+            fit = (np.minimum(m[i], m[j]) >= scheme.similarity * np.maximum(m[i], m[j]) - 1e-9) & (node[i] != node[j])
+            if rooted := "root" in table.column_names:
+                root = table.column("root").to_numpy()
+                fit &= root[i] != root[j]
+            i, j = i[fit], j[fit]
+            if not rooted:
+                i, j = spanning(n, i, j, distance(fp[i], fp[j]))
+            return pa.record_batch([pa.array(np.maximum(node[i], node[j])), pa.array(np.minimum(node[i], node[j]))], ["a", "b"])
         root = numpy_components(n, i, j)
         far = np.flatnonzero(root != np.arange(n))
         return pa.record_batch([pa.array(node[far]), pa.array(node[root[far]])], ["a", "b"])
@@ -201,30 +298,47 @@ def tile_links(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa
 
 
 def links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
-    """Spanning links (a, b) among ``nodes(f0, ..., node)`` that share a bucket and differ in at most the radius."""
+    """Spanning links (a, b) among ``nodes(f0, ..., node)`` that share a bucket and differ in at most the radius.
+
+    Where links are counted exactly, their candidates: see :func:`tile_links`.
+    """
     cols = scheme.columns
+    held = [*cols, *(c for c in ("m", "root") if c in nodes.columns), "node"]
     signed = [(w, m - (1 << 64) if m >> 63 else m) for w, m in scheme.tables]
-    filed = nodes.select(*cols, "node", F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col(cols[w]).bitwiseAND(F.lit(m)).alias("k")) for t, (w, m) in enumerate(signed)))).alias("x")).select("x.t", "x.k", *cols, "node")
+    keys = [F.col(cols[w]).bitwiseAND(F.lit(m)) for w, m in signed] or [F.col(f"b{k}") for k in range(scheme.bands)]
+    filed = nodes.select(*held, F.explode(F.array(*(F.struct(F.lit(t).alias("t"), k.alias("k")) for t, k in enumerate(keys)))).alias("x")).select("x.t", "x.k", *held)
     size = settle(filed.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     kept = filed.join(size, ["t", "k"])
     # tile of a row in a large bucket: (population class of radius + 1 counts, hash); a class meets itself and its neighbours
     parts = F.ceil(F.col("n") / F.lit(TILE)).cast("int")
     cls = F.floor(sum((F.bit_count(c) for c in cols), F.lit(0)) / F.lit(scheme.radius + 1)).cast("int")
     own = cls * parts + F.pmod(F.xxhash64(*cols), parts).cast("int")
-    lone = kept.where(F.col("n") <= TILE).select("t", "k", F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(2).alias("side"), *cols, "node")
-    met = kept.where(F.col("n") > TILE).select("t", "k", *cols, "node", own.alias("own"), F.explode(F.sequence(F.greatest(F.lit(0), (cls - 1) * parts), (cls + 2) * parts - 1)).alias("other"))
-    met = met.select("t", "k", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), *cols, "node")
+    lone = kept.where(F.col("n") <= TILE).select("t", "k", F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(2).alias("side"), *held)
+    met = kept.where(F.col("n") > TILE).select("t", "k", *held, own.alias("own"), F.explode(F.sequence(F.greatest(F.lit(0), (cls - 1) * parts), (cls + 2) * parts - 1)).alias("other"))
+    met = met.select("t", "k", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), *held)
     tiles = lone.unionByName(met).repartition("t", "k", "p", "q").sortWithinPartitions("t", "k", "p", "q")
     return tiles.mapInArrow(lambda it: tile_links(it, scheme), "a long, b long")
 
 
-def near_groups(prints: DataFrame, scheme: Scheme) -> DataFrame:
-    """(doc_id, f0, ..., component_id) for every row of settled ``prints(doc_id, f0, ...)``."""
-    cols = scheme.columns
+def similar_links(nodes: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
+    """Links (a, b) that join all ``nodes`` connected by candidate pairs of the scheme's similarity."""
+    first = settle(links(nodes, scheme).distinct(), "candidates")
+    wanted = settle(first.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+    sets = shingle_sets(docs, wanted, scheme)
+    sure = counted(first, sets, scheme.similarity)
+    labelled = nodes.join(wanted, "node", "left_semi").join(components(sure), "node", "left")
+    labelled = settle(labelled.withColumn("root", F.coalesce("root", "node")), "labelled")
+    rest = settle(links(labelled, scheme).distinct().join(first, ["a", "b"], "left_anti"), "rest")
+    return sure.unionByName(counted(rest, sets, scheme.similarity))
+
+
+def near_groups(prints: DataFrame, scheme: Scheme, docs: DataFrame | None = None) -> DataFrame:
+    """(doc_id, f0, ..., component_id) for every row of settled ``prints(doc_id, f0, ...)``; ``docs`` are asked where links are counted exactly."""
+    cols = [*scheme.columns, *scheme.extra]
     nodes = settle(prints.groupBy(*cols).agg(F.min("doc_id").alias("node")).where("node is not null"), "nodes")
-    roots = components(links(nodes, scheme))
+    roots = components(similar_links(nodes, docs, scheme) if scheme.similarity else links(nodes, scheme))
     named = settle(nodes.join(roots, "node", "left").select(*cols, F.coalesce("root", "node").alias("component_id")), "named")
-    return prints.join(named, cols, "left").select("doc_id", *cols, "component_id")
+    return prints.join(named, cols, "left").select("doc_id", *scheme.columns, "component_id")
 
 
 def simhash_groups(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
@@ -232,4 +346,4 @@ def simhash_groups(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
     scheme = scheme or exact_scheme()
     prints = settle(fingerprints(docs, scheme), "prints")
     digits = F.concat(*(F.lower(F.lpad(F.hex(c), 16, "0")) for c in scheme.columns))
-    return near_groups(prints, scheme).select("doc_id", digits.alias("fingerprint"), "component_id")
+    return near_groups(prints, scheme, docs).select("doc_id", digits.alias("fingerprint"), "component_id")

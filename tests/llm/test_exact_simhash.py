@@ -111,3 +111,26 @@ def test_similar_scheme_meets_the_threshold(spark):
     sure = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.88 * len(sets[i] | sets[j])]
     assert len(sure) > 40 and sum(got[i] == got[j] for i, j in sure) >= 0.97 * len(sure)
     assert all(got[i] // 10 == i // 10 for i in got)
+
+
+def test_similar_links_are_exact(spark):
+    import random
+
+    rng, rows = random.Random(21), []
+    for g in range(160):
+        n = rng.choice([9, 14, 30, 90, 300])
+        words = [f"w{rng.randrange(9000)}" for _ in range(n)]
+        at = rng.randint(1, n - 1)
+        # every similarity from about 0.65 to 0.95, by words added behind, before or in the middle
+        more = [f"more{rng.random()}" for _ in range(max(1, round(n * rng.uniform(0.02, 0.5))))]
+        other = rng.choice([words + more, more + words, words[:at] + more + words[at:]])
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(other))]
+    rows += [(1000, "tail " + "same words over and over " * 40), (1001, "same words over and over " * 4 + "tail")]
+    got = {r.doc_id: r.component_id for r in simhash_groups(spark.createDataFrame(rows, "doc_id long, text string"), similar_scheme()).collect()}
+    sets = {i: set(shingle_hashes(t.encode(), 5)) for i, t in rows}
+    share = {i: len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in sets if i % 2 == 0}
+    near = [x for x in share.values() if 0.8 <= x < 0.85]
+    far = [x for x in share.values() if 0.7 <= x < 0.8]
+    assert len(near) > 8 and len(far) > 8
+    assert {i: got[i + 1] == got[i] for i in share} == {i: x >= 0.8 for i, x in share.items()}
+    assert all(got[i] in (i, i - i % 2) for i in got)
