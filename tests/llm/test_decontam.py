@@ -1,5 +1,6 @@
 import random
 import re
+from itertools import combinations
 
 import numpy as np
 
@@ -60,3 +61,19 @@ def test_agreement():
     b[[2, 9, 15]] = 99
     assert agreement(a, b, 13, 0.8) == (3, 11) or agreement(a, b, 13, 0.8)[1] >= 11
     assert agreement(a, b + np.uint64(1), 13, 0.8) is None
+
+
+def test_no_allowed_substitution_is_missed(spark):
+    """Every pattern of substitutions that the threshold allows, in items of every length up to a window and one beyond."""
+    rng = random.Random(3)
+    items = [(n, " ".join(f"item{n}word{k}" for k in range(n))) for n in range(SHORTEST, 15)]
+    rows, want = [], []
+    for n, text in items:
+        w = min(n, 13)
+        for spoilt in combinations(range(w), int(w - np.ceil(0.8 * w))):
+            q = [f"other{rng.randrange(10**9)}" if k in spoilt else x for k, x in enumerate(text.split())][:w]
+            rows.append((len(rows), " ".join(["before", *q, "behind"])))
+            want.append([n])
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r.item_ids for r in contamination(docs, bench).collect()}
+    assert len(rows) > 279 and [i for i, _ in rows if got[i] != want[i]] == []
