@@ -84,7 +84,8 @@ def disclosing(docs: DataFrame, near: DataFrame, support: int, threshold: float)
     pairs = settle(seen.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support), "pairs")
     entities = near.select("entity", "text_hash").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     # document frequencies over the whole corpus, equal texts once; combined before the shuffle
-    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    texts = settle(texts.dropDuplicates(["text_hash"]).select("text"), "texts")
     words = texts.select(F.explode(F.array_distinct(found(F.lower("text"), TERM))).alias("term"))
     # written, so that no join is pushed below the counting
     terms = settle(words.groupBy("term").agg(F.count("*").alias("n_term")), "frequencies")

@@ -97,3 +97,12 @@ def test_random_tokens(spark, no_docs):
     assert sum(h != [] for h in hit[60:]) <= 6
     assert "[RANDOM]" in next(got[i].clean for i in range(60) if hit[i])
     assert secrets.scan_secrets(no_docs).collect() == []
+
+
+def test_copies_do_not_hide_a_term(spark):
+    rng = random.Random(9)
+    rows = [(i, sentence(rng, 40)) for i in range(600)]
+    rows += [(1000 + i, f"{sentence(rng, 4)} Quendalina wrote from quen@dal.org {sentence(rng, 4)}") for i in range(5)]
+    rows += [(2000 + i, rows[-1][1]) for i in range(400)]
+    got = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("Quendalina" not in got[i].clean for i, _ in rows if i >= 1000)
