@@ -1,14 +1,16 @@
 """Personal data: fixed patterns, and information-theoretic sanitisation of what gives it away.
 
-Emails, network addresses, payment cards and phone numbers are found by pattern. Around each such
-entity stand terms; over the whole corpus, counting equal texts once, it is estimated how strongly
-a term reveals the entity: pointwise mutual information, as a share of the entity's own information
-content. Terms at or over the disclosure threshold that stand near the entity are spans of kind
-``term`` and are removed with it. Only DataFrame functions are used.
-
-Edge cases: null text is empty; a text without matches has no spans; repeated rows are judged each,
-equal texts count once as evidence; a term next to entities seen in fewer than ``support`` texts is
-never evidence; an empty table gives an empty result. Other columns are ignored.
+Emails, network addresses, payment cards and phone numbers are found by pattern. An entity to protect
+is such a value, the name part or the domain of an email, or the presence of a kind. Over the whole
+corpus, counting equal texts once, it is estimated how strongly a term anywhere in a text reveals an
+entity of that text: pointwise mutual information, as a share of the entity's own information content.
+The text itself is left out of its evidence (else every word that stands once would give all away), and low
+counts are smoothed by ``support`` texts in which the entity is as frequent as anywhere. Terms at or over the disclosure threshold are spans of kind ``term`` and are removed wherever they stand in a
+text with the entity. Only DataFrame functions are used.
+
+Edge cases: null text is empty; a text without matches has no spans, whatever its terms; repeated rows are
+judged each, equal texts count once as evidence; an empty table gives an empty result. Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -51,57 +53,63 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return settle(rows.select("rid", "doc_id", *PATTERNS, F.when(touched, F.col("text")).alias("text"), F.when(touched, F.xxhash64("text")).alias("text_hash")), "base")
 
 
+def terms_of(text: Column) -> Column:
+    """The distinct terms of a text, in lower case."""
+    return F.array_distinct(F.transform(found(text, TERM), lambda t: F.lower(t)))
+
+
 def entities_of(kind: str) -> Column:
-    """Spans of a kind with the kind's name and the value in lower case."""
-    return F.transform(kind, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value")))
-
-
-def contexts(base: DataFrame, reach: int) -> DataFrame:
-    """(rid, text_hash, entity, term, start, end): terms whole within ``reach`` code points of an entity, outside all base spans."""
-    all_spans = F.concat(*(entities_of(k) for k in PATTERNS))
-    hit = base.where("text is not null").select("rid", "text_hash", "text", all_spans.alias("spans")).select("*", F.explode("spans").alias("e"))
-    begin = F.greatest(F.lit(0), F.col("e.start") - reach)
-    hit = hit.select(
-        "rid", "text_hash", "spans", F.concat_ws(":", "e.kind", "e.value").alias("entity"), "e.end",
-        begin.alias("at"), F.substring("text", begin + 1, F.col("e.start") - begin).alias("before"), F.substring("text", F.col("e.end") + 1, F.lit(reach)).alias("after"),
-        (F.length("text") > F.col("e.end") + reach).alias("cut"),
-    )  # a word cut by the window's edge is left out
-    partial = F.when(F.col("at") > 0, F.length(F.regexp_extract("before", r"^\S*", 0))).otherwise(0)
-    hit = hit.select("rid", "text_hash", "spans", "entity", F.posexplode(F.array(
-        F.struct((F.col("at") + partial).alias("at"), F.substring("before", partial + 1, F.lit(reach)).alias("text")),
-        F.struct(F.col("end").alias("at"), F.when(F.col("cut"), F.regexp_replace("after", r"\S*$", "")).otherwise(F.col("after")).alias("text")),
-    )).alias("side", "w"))
-    hit = hit.select("rid", "text_hash", "spans", "entity", "w.at", F.col("w.text").alias("text"), found(F.col("w.text"), TERM).alias("m"))
-    hit = hit.select("rid", "text_hash", "spans", "entity", "at", F.explode(placed(F.col("text"), F.col("m"), TERM)).alias("t"))
-    hit = hit.select("rid", "text_hash", "spans", "entity", F.lower("t.value").alias("term"), (F.col("at") + F.col("t.start")).alias("start"), (F.col("at") + F.col("t.end")).alias("end"))
-    clear = ~F.exists("spans", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
-    return settle(hit.where(clear).select("rid", "text_hash", "entity", "term", "start", "end"), "contexts")
-
-
-def disclosing(docs: DataFrame, near: DataFrame, support: int, threshold: float) -> DataFrame:
+    """Names of what a text's spans of a kind tell: the values in lower case, parts of emails, the kind."""
+    value = lambda name, part: F.transform(kind, lambda s: F.concat(F.lit(f"{name}:"), part(F.lower(s["value"]))))
+    parts = [value(kind, lambda v: v)]
+    if kind == "email":
+        parts += [value("name", lambda v: F.substring_index(v, "@", 1)), value("domain", lambda v: F.substring_index(v, "@", -1))]
+    return F.concat(*parts, F.when(F.size(kind) > 0, F.array(F.lit(f"kind:{kind}"))).otherwise(F.array().cast("array<string>")))
+
+
+def holdings(base: DataFrame) -> DataFrame:
+    """(rid, text_hash, entities, words) of every row with a span: its entities' names and the terms of its whole text."""
+    entities = F.array_distinct(F.concat(*(entities_of(k) for k in PATTERNS)))
+    return settle(base.where("text is not null").select("rid", "text_hash", entities.alias("entities"), terms_of(F.col("text")).alias("words")), "holdings")
+
+
+def disclosing(docs: DataFrame, held: DataFrame, support: int, threshold: float) -> DataFrame:
     """(entity, term) pairs in which the term gives the entity away."""
-    seen = near.select("entity", "term", "text_hash").distinct()
-    pairs = settle(seen.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support), "pairs")
-    entities = near.select("entity", "text_hash").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    once = held.dropDuplicates(["text_hash"])
+    seen = once.select(F.explode("entities").alias("entity"), "words")
+    pairs = settle(seen.select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("both")).where("both > 1"), "pairs")  # one text alone is no evidence: its information is 0 or less
+    entities = seen.groupBy("entity").agg(F.count("*").alias("n_entity"))
     # document frequencies over the whole corpus, equal texts once; combined before the shuffle
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    texts = settle(texts.dropDuplicates(["text_hash"]).select("text"), "texts")
-    words = texts.select(F.explode(F.array_distinct(found(F.lower("text"), TERM))).alias("term"))
+    total = float(max(texts.select("text_hash").distinct().count(), 2))
+    words = texts.dropDuplicates(["text_hash"]).select(F.explode(terms_of(F.col("text"))).alias("term"))
     # written, so that no join is pushed below the counting
     terms = settle(words.groupBy("term").agg(F.count("*").alias("n_term")), "frequencies")
-    total = texts.count()
     scored = pairs.join(entities, "entity").join(terms, "term")
-    pmi = F.log2(F.col("both") * F.lit(float(max(total, 1))) / (F.col("n_term") * F.col("n_entity")))
-    content = F.log2(F.lit(float(max(total, 2))) / F.col("n_entity"))
+    share = F.col("n_entity") / total
+    pmi = F.log2((F.col("both") - 1 + support * share) / (F.col("n_term") - 1 + support) / share)  # from the other texts
+    content = -F.log2(share)
     return settle(scored.where((content > 0) & (pmi >= threshold * content)).select("entity", "term"), "disclosing")
 
 
-def sanitise(docs: DataFrame, reach: int = 80, support: int = 3, threshold: float = 0.8) -> DataFrame:
+def revealed(base: DataFrame, held: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(rid, terms): places of the terms that give away an entity of their text, outside all base spans."""
+    told = pairs.groupBy("entity").agg(F.collect_list("term").alias("told"))
+    words = held.select("rid", F.explode("entities").alias("entity")).join(told, "entity").groupBy("rid").agg(F.flatten(F.collect_list("told")).alias("told"))
+    words = words.join(held, "rid").select("rid", F.explode(F.array_intersect("words", "told")).alias("term"))
+    words = settle(words.groupBy("rid").agg(F.collect_set("term").alias("words")), "revealing")
+    spans = F.concat(*PATTERNS)
+    rows = base.where("text is not null").join(words, "rid").select("rid", "text", "words", spans.alias("spans"))
+    rows = rows.select("rid", "words", "spans", placed(F.col("text"), found(F.col("text"), TERM), TERM).alias("t"))
+    clear = lambda t: F.array_contains("words", F.lower(t["value"])) & ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
+    return settle(rows.select("rid", F.transform(F.filter("t", clear), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))).alias("terms")), "terms")
+
+
+def sanitise(docs: DataFrame, support: int = 3, threshold: float = 0.8) -> DataFrame:
     """One row per input row: doc_id, the base spans by kind, ``terms`` (start, end), ``clean``: the text without what it gives away (null where nothing was found)."""
     base = base_spans(docs)
-    near = contexts(base, reach)
-    pairs = disclosing(docs, near, support, threshold)
-    terms = settle(near.join(pairs, ["entity", "term"]).groupBy("rid").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms")), "terms")
+    held = holdings(base)
+    terms = revealed(base, held, disclosing(docs, held, support, threshold))
     rows = base.join(terms, "rid", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int>>")))
     kinds = [*PATTERNS, "terms"]
     every = F.concat(*(named(F.col(k), k.removesuffix("s")) for k in kinds))

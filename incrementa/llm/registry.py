@@ -40,7 +40,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.sanitise(load(spark, sf_dir, "documents"), reach=80, support=3, threshold=0.8)
+    found = pii.sanitise(load(spark, sf_dir, "documents"), support=3, threshold=0.8)
     base = [marked(F.col(k), k) for k in pii.PATTERNS]
     return found.select(
         "doc_id",

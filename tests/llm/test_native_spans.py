@@ -106,3 +106,18 @@ def test_copies_do_not_hide_a_term(spark):
     rows += [(2000 + i, rows[-1][1]) for i in range(400)]
     got = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all("Quendalina" not in got[i].clean for i, _ in rows if i >= 1000)
+
+
+def test_terms_anywhere_in_the_text(spark):
+    rng = random.Random(10)
+    rows = [(i, sentence(rng, 40)) for i in range(900)]
+    # beyond the neighbourhood of the value
+    rows += [(1000 + i, f"Quendalina {sentence(rng, 60)} quen@dal.org {sentence(rng, 9)}") for i in range(5)]
+    # the domain recurs, no value does
+    rows += [(2000 + i, f"{sentence(rng, 30)} p{i}@hidden.net {sentence(rng, 60)} Hiddenworks") for i in range(5)]
+    rows += [(3000, f"{sentence(rng, 9)} onceonly someone@else.com")]
+    got = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    terms = lambda i, t: {t[s.start : s.end] for s in got[i].terms}
+    assert all("Quendalina" in terms(i, t) for i, t in rows if 1000 <= i < 2000)
+    assert all("Hiddenworks" in terms(i, t) for i, t in rows if 2000 <= i < 3000)
+    assert terms(*rows[-1]) == set() and all(got[i].clean is None for i in range(900))
