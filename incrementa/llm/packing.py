@@ -29,6 +29,8 @@ from incrementa.llm.common import heaps, prepare, settle
 from incrementa.llm.tokens import Encoder, vocabulary_path
 
 ROUNDS = 150
+#: bytes of text whose distinct pieces are looked up together
+HEAP_BYTES = 8 << 20
 
 Plan = list[tuple[tuple[int, ...], int]]
 
@@ -162,7 +164,7 @@ def piece_batches(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int
     encoder = Encoder.of(tokenizer)
     part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
     end = np.array([end_id], encoder.dtype).tobytes()
-    for batch in heaps(batches, "text"):
+    for batch in heaps(batches, "text", HEAP_BYTES):
         row, piece, start, length, crc = [], [], [], [], []
         for i, x in enumerate(encoder.encode(batch.column("text"))):
             ids = memoryview(np.frombuffer(x + end, encoder.dtype).astype("<u4").tobytes())

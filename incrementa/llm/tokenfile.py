@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from incrementa.llm.common import fresh_path, heaps, partitions, prepare, settle
 from incrementa.llm.tokens import Encoder, vocabulary_path
 
-MAGIC = 0x31424B54
+MAGIC = 0x32424B54
 BLOCK_IDS = 1 << 20
-#: entries of a worker's dictionary of pre-tokens, about 150 MB when full
-PIECES = 1_000_000
+#: bytes of text whose distinct pieces are looked up together
+HEAP_BYTES = 5 << 20
 #: bytes used by each of the four ids of a control byte
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6])[None, :] & 3).astype(np.uint8) + np.uint8(1)
 
@@ -69,30 +69,31 @@ def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
 def write_block(doc_ids: list[int | None], docs: list[np.ndarray]) -> bytes:
     lengths = np.array([len(d) for d in docs], "<u4")
     control, data = pack(np.concatenate(docs))
-    ids = np.array([-(1 << 63) if d is None else d for d in doc_ids], "<i8")
-    head = np.array([MAGIC, len(docs), lengths.sum(), len(control), len(data), 0], "<u4")
+    ids = np.array([d or 0 for d in doc_ids], "<i8")
+    # null doc_ids come first in a file, so their number tells which they are
+    head = np.array([MAGIC, len(docs), lengths.sum(), len(control), len(data), sum(d is None for d in doc_ids)], "<u4")
     return b"".join((head.tobytes(), ids.tobytes(), lengths.tobytes(), control, data))
 
 
-def read_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc_ids, lengths, ranks of all ids) of a block."""
-    magic, n, total, n_control, n_data, _ = np.frombuffer(block, "<u4", 6).tolist()
+def read_block(block: bytes) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
+    """(doc_ids, how many of the first are null, lengths, ranks of all ids) of a block."""
+    magic, n, total, n_control, n_data, nulls = np.frombuffer(block, "<u4", 6).tolist()
     if magic != MAGIC:
         raise ValueError("not a token block")
     ids = np.frombuffer(block, "<i8", n, 24)
     lengths = np.frombuffer(block, "<u4", n, 24 + 8 * n)
     at = 24 + 12 * n
     control = np.frombuffer(block, np.uint8, n_control, at)
-    return ids, lengths, unpack(control, np.frombuffer(block, np.uint8, n_data, at + n_control), total)
+    return ids, nulls, lengths, unpack(control, np.frombuffer(block, np.uint8, n_data, at + n_control), total)
 
 
 def encode_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     """Ids of each document, in order; a last row holds the task's counts of all ids."""
-    encoder = Encoder.of(path, PIECES)
+    encoder = Encoder.of(path)
     end = np.array([end_id], encoder.dtype).tobytes()
     part, seq, total = TaskContext.get().partitionId(), 0, np.zeros(max(encoder.vocabulary, end_id + 1), np.int64)
     names = ["doc_id", "part", "seq", "ids", "counts"]
-    for batch in heaps(batches, "text"):
+    for batch in heaps(batches, "text", HEAP_BYTES):
         ids = [x + end for x in encoder.encode(batch.column("text"))]
         n = len(ids)
         total += np.bincount(np.frombuffer(b"".join(ids), encoder.dtype), minlength=len(total))
@@ -158,14 +159,14 @@ def write_token_file(docs: DataFrame, tokenizer: str | None = None, end_id: int
 def decode_batches(batches: Iterator[pa.RecordBatch], order: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, seq, block in zip(batch.column("part"), batch.column("first_seq"), batch.column("block")):
-            doc_ids, lengths, ranks = read_block(block.as_buffer())
+            doc_ids, nulls, lengths, ranks = read_block(block.as_buffer())
             ids = order[ranks].astype("<u4")
             end = np.cumsum(lengths, dtype=np.int64)
             raw = memoryview(ids.tobytes())
             crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(end.tolist(), lengths.tolist())]
             n = len(doc_ids)
             yield pa.record_batch(
-                [pa.array(doc_ids, mask=doc_ids == -(1 << 63)), pa.array([part.as_py()] * n, pa.int32()), pa.array([seq.as_py()] * n, pa.int64()), pa.array(end - lengths), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())],
+                [pa.array(doc_ids, mask=np.arange(n) < nulls), pa.array([part.as_py()] * n, pa.int32()), pa.array([seq.as_py()] * n, pa.int64()), pa.array(end - lengths), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())],
                 ["doc_id", "part", "first_seq", "inside", "n_tokens", "ids_crc32"],
             )
 

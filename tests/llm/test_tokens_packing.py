@@ -2,15 +2,19 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
+from tokenizers import Tokenizer
 
 from incrementa.llm.packing import best_fit, pack_documents, plan_packing
 from incrementa.llm.tokenfile import pack, read_token_file, unpack, write_token_file
 from incrementa.llm.tokens import Encoder, vocabulary_path
 
 
+LIBRARY = Tokenizer.from_file(vocabulary_path())
+
+
 def library(text):
-    t = Encoder.of(vocabulary_path()).tokenizer
-    return t.encode(text or "", add_special_tokens=False).ids
+    return LIBRARY.encode(text or "", add_special_tokens=False).ids
 
 
 def crc(ids):
@@ -26,10 +30,33 @@ def test_codes_round_trip():
         assert np.array_equal(unpack(np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8), n), v)
 
 
+ODD_TEXTS = [
+    "a  b   c\n\n d\t e ", " <|endoftext|> x", "it's we'll 12 3.4  ", " lead", "x \n", "\n", "\na", "a\n", " a\n", "a \nb", "a\n\nb", "a\tb", "a\r\nb",
+    "x.\ny,\nÉa.", "ab.c, d.. e?! f,", "éa. ªº, ²³.", "a,b. 12. 3,", "日本 語. ok", "\0a b", "\x01a \x02b", "one,", "É,", ".", ",", "a.\n.b", "Ġa Ġ", "aĠ, Ġ.", "\x7f a", "é\u00ada x", "ā ă. Ą,", "\xa0 b", "done.<|endoftext|>\nnext", "<|endoftext|>",
+]
+
+
 def test_encoder_is_the_library(edge_rows):
-    texts = [t for _, t in edge_rows] + ["a  b   c\n\n d\t e ", " <|endoftext|> x", "it's we'll 12 3.4  ", " lead", "x \n"]
-    got = [np.frombuffer(b, "<u2").tolist() for b in Encoder.of(vocabulary_path()).encode(texts)]
-    assert got == [library(t) for t in texts]
+    texts = [t for _, t in edge_rows] + ODD_TEXTS
+    encoder = Encoder.of(vocabulary_path())
+    for _ in range(2):
+        assert [np.frombuffer(b, encoder.dtype).tolist() for b in encoder.encode(texts)] == [library(t) for t in texts]
+
+
+def test_small_dictionary_is_the_library(edge_rows):
+    texts = [t for _, t in edge_rows] + ODD_TEXTS
+    encoder = Encoder(vocabulary_path())
+    encoder.cache = 20
+    for at in [*range(0, len(texts), 7), *range(0, len(texts), 7)]:
+        assert [np.frombuffer(b, encoder.dtype).tolist() for b in encoder.encode(texts[at : at + 7])] == [library(t) for t in texts[at : at + 7]]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json"])
+def test_words_of_every_letter(name):
+    letters = "".join(chr(c) for c in range(0xA1, 0x250))
+    texts = [f"{c}a {c} b{c}, {c}. {c}{c}" for c in letters]
+    encoder = Encoder(vocabulary_path(name))
+    assert [np.frombuffer(b, encoder.dtype).tolist() for b in encoder.encode(texts)] == [library(t) for t in texts]
 
 
 def test_token_file(spark, edge_docs, edge_rows, no_docs):
