@@ -4,7 +4,7 @@ from itertools import combinations
 
 import numpy as np
 
-from incrementa.llm.decontam import SHORTEST, agreement, contamination, tokens
+from incrementa.llm.decontam import SHORTEST, agreement, contamination, tokens, without_contaminated
 
 from .conftest import sentence
 
@@ -49,7 +49,12 @@ def test_against_brute(spark, edge_docs, edge_rows, no_docs):
     bench = spark.createDataFrame([(i, t, "z") for i, t in items], "item_id long, text string, doc_id string")
     got = sorted((r.doc_id, r.item_ids) for r in contamination(docs, bench).collect())
     assert got == sorted((i, brute(t, items)) for i, t in rows)
-    assert sorted((r.doc_id, r.item_ids) for r in contamination(docs, bench, block_bytes=300).collect()) == got
+    whole = sorted((r.doc_id, r.item_ids, r.spans) for r in contamination(docs, bench).collect())
+    assert sorted((r.doc_id, r.item_ids, r.spans) for r in contamination(docs, bench, block_bytes=0).collect()) == whole
+    kept = [i for i, found in got if not found]
+    for most in (0, 1 << 20):
+        clean = without_contaminated(docs, bench, block_bytes=most)
+        assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == kept
     assert contamination(no_docs, bench).collect() == []
     assert not any(r.contaminated for r in contamination(edge_docs, bench.limit(0)).collect())
     assert contamination(edge_docs, bench).count() == len(edge_rows)
@@ -75,5 +80,35 @@ def test_no_allowed_substitution_is_missed(spark):
             rows.append((len(rows), " ".join(["before", *q, "behind"])))
             want.append([n])
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    got = {r.doc_id: r.item_ids for r in contamination(docs, bench).collect()}
-    assert len(rows) > 279 and [i for i, _ in rows if got[i] != want[i]] == []
+    for most in (1 << 20, 0):
+        got = {r.doc_id: r.item_ids for r in contamination(docs, bench, block_bytes=most).collect()}
+        assert len(rows) > 279 and [i for i, _ in rows if got[i] != want[i]] == []
+
+
+def test_rows_are_judged_each(spark):
+    """Rows without an id, with the same id and with id -1; items without an id."""
+    rng = random.Random(5)
+    items = [(1, sentence(rng, 30)), (None, "alpha beta gamma delta epsilon zeta eta theta"), (2, sentence(rng, 20))]
+    rows = [(None, items[0][1]), (None, "nothing at all here"), (-1, items[1][1]), (7, "clean"), (7, items[0][1] + " " + items[1][1]), (7, items[2][1]), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted([(None, [1]), (None, []), (-1, [None]), (7, []), (7, [1, None]), (7, [2]), (8, [])], key=repr)
+    for most in (1 << 20, 100, 0):
+        assert sorted(((r.doc_id, r.item_ids) for r in contamination(docs, bench, block_bytes=most).collect()), key=repr) == want
+        assert sorted((r.doc_id or 0, r.text or "") for r in without_contaminated(docs, bench, block_bytes=most).collect()) == [(0, "nothing at all here"), (7, "clean"), (8, "")]
+
+
+def test_every_length_to_forty(spark):
+    """Substitutions at random, at the threshold and beyond it, in items of up to forty tokens."""
+    rng = random.Random(9)
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in range(SHORTEST, 41)]
+    rows = []
+    for n, text in items:
+        for _ in range(12):
+            q = [f"o{rng.randrange(10**9)}" if rng.random() < 0.25 else x for x in text.split()]
+            rows.append((len(rows), " ".join(["before", *q, "behind"])))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {i: brute(t, [items[i // 12]]) for i, t in rows}
+    assert 30 < sum(map(bool, want.values())) < len(rows) - 30
+    for most in (1 << 20, 0):
+        assert {r.doc_id: r.item_ids for r in contamination(docs, bench, block_bytes=most).collect()} == want
