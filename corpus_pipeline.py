@@ -3,28 +3,46 @@
 Every stage works on all that its predecessor kept and its decisions take effect: toxic documents
 go, one of each group of equal and of near-equal texts stays, documents with benchmark passages
 go, and what is left is packed. All but the last return the columns of ``documents``.
+
+Edge cases: a stage decides about rows, not ids. Where doc_ids repeat or are null, rows are numbered by
+doc_id (null first) and text, and the numbers stand in for ids: one row of each group stays all the same.
+Null texts are empty and thus equal; an empty table goes through as one; extra columns are carried along.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from incrementa.llm.common import load, prepare, settle
+from incrementa.llm.common import load, partitions, prepare, settle
 from incrementa.llm.decontam import without_contaminated
 from incrementa.llm.exact import exact_groups
 from incrementa.llm.packing import pack_documents
 from incrementa.llm.simhash import simhash_groups, similar_scheme
 from incrementa.llm.toxicity import without_toxic
 
+ROW = "__row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a unique number of each row: its doc_id, or where ids repeat or are missing its place by doc_id and text, in a settled copy."""
+    number = F.col("doc_id").cast("long")
+    if docs.groupBy(number.alias("n")).count().where("n is null or count > 1").isEmpty():
+        return docs.withColumn(ROW, number)
+    order = [number.asc_nulls_first(), F.xxhash64("text")]
+    placed = docs.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order, "text")
+    return settle(placed.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def keep(rows: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Those of ``rows`` whose number is a ``numbers(doc_id)``. The numbers grow with the documents, so the join is a merge at every size."""
+    kept = settle(numbers.select(F.col("doc_id").alias(ROW)), "kept")
+    return rows.join(kept.hint("merge"), ROW, "left_semi").drop(ROW)
 
-def keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``ids``; a row without an id cannot be named and stays.
 
-    The ids grow with the documents, so the join is a merge at every size.
-    """
-    kept = settle(ids.select("doc_id").where("doc_id is not null").distinct(), "kept")
-    named = docs.where("doc_id is not null").join(kept.hint("merge"), "doc_id", "left_semi")
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+def named(rows: DataFrame) -> DataFrame:
+    """(doc_id, text) with the rows' numbers for ids."""
+    return rows.select(F.col(ROW).alias("doc_id"), "text")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,12 +52,15 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row with the largest doc_id of equal texts."""
-    return keep(docs, exact_groups(docs).where("kept"))
+    rows = numbered(docs)
+    return keep(rows, exact_groups(named(rows)).where("kept")).select(*docs.columns)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each group of similar texts: five-word shingles, similarity 0.8 or more."""
-    return keep(docs, simhash_groups(docs, similar_scheme(width=5, similarity=0.8)).where("doc_id = component_id"))
+    rows = numbered(docs)
+    groups = simhash_groups(named(rows), similar_scheme(width=5, similarity=0.8))
+    return keep(rows, groups.where("doc_id = component_id")).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +81,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: learned scores, fingerprints and token ids are beyond SQL; tests hold every stage against brute force
+#: learned scores, fingerprints and token ids are beyond SQL; tests hold every stage against a brute-force version
 ORACLE_SQL = None
 
 

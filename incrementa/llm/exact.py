@@ -68,8 +68,8 @@ def chunk_batches(batches: Iterator[pa.RecordBatch], with_place: bool, bits: int
             data = pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(starts.astype(np.int32).tobytes()), pa.py_buffer(raw)])
             columns = [pa.array(h), pa.array(size.astype(np.int32)), data]
             if with_place:
-                columns += [batch.column("doc_id").take(pa.array(doc)), pa.array((np.arange(len(doc)) - np.searchsorted(doc, doc)).astype(np.int32))]
-            yield pa.record_batch(columns, ["h", "size", "data", "doc_id", "pos"][: len(columns)])
+                columns += [batch.column("rid").take(pa.array(doc)), pa.array((np.arange(len(doc)) - np.searchsorted(doc, doc)).astype(np.int32))]
+            yield pa.record_batch(columns, ["h", "size", "data", "rid", "pos"][: len(columns)])
 
 
 def recipe_batches(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
@@ -83,19 +83,25 @@ def recipe_batches(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.
             size = np.diff(starts)
             mixed = pa.array(np.stack([signed(digest), size], 1).ravel() if len(size) else np.zeros(0, np.int64))
             recipe = pa.ListArray.from_arrays(pa.array(2 * first, pa.int32()), mixed)
-            yield pa.record_batch([batch.column("doc_id"), recipe, pa.array(sha)], ["doc_id", "recipe", "text_sha256"])
+            names = [c for c in ("rid", "doc_id") if c in batch.schema.names]
+            yield pa.record_batch([*map(batch.column, names), recipe, pa.array(sha)], [*names, "recipe", "text_sha256"])
 
 
 def exact_groups(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256; ``hash_bits``: of a chunk's hash."""
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256; ``hash_bits``: of a chunk's hash.
+
+    Where doc_ids repeat, all rows of the largest are ``kept``; number rows beforehand where one has to stay.
+    """
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chunks = docs.select("text").mapInArrow(lambda it: chunk_batches(it, False, hash_bits), "h long, size int, data binary")
     shared = settle(chunks.groupBy("h", "size", "data").agg(F.lit(1).alias("one")).groupBy("h", "size").agg(F.count("*").alias("n")).where("n > 1"), "clashes")
-    recipes = settle(docs.mapInArrow(lambda it: recipe_batches(it, hash_bits), "doc_id long, recipe array<long>, text_sha256 string"), "recipes")
-    key = ["recipe"]
-    if not shared.isEmpty():
-        recipes, key = told_apart(docs, shared, recipes, hash_bits), ["recipe", "told"]
+    if shared.isEmpty():
+        key = ["recipe"]
+        recipes = settle(docs.mapInArrow(lambda it: recipe_batches(it, hash_bits), "doc_id long, recipe array<long>, text_sha256 string"), "recipes")
+    else:
+        key = ["recipe", "told"]
+        recipes = told_apart(docs, shared, hash_bits)
     groups = settle(recipes.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1"), "groups")
     return recipes.join(groups, key, "left").select(
         "doc_id",
@@ -106,10 +112,16 @@ def exact_groups(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
     )
 
 
-def told_apart(docs: DataFrame, shared: DataFrame, recipes: DataFrame, hash_bits: int) -> DataFrame:
-    """Adds ``told``: the numbers of those chunks whose (hash, length) stands for several contents."""
-    placed = docs.mapInArrow(lambda it: chunk_batches(it, True, hash_bits), "h long, size int, data binary, doc_id long, pos int")
+def told_apart(docs: DataFrame, shared: DataFrame, hash_bits: int) -> DataFrame:
+    """Recipes with ``told``: the numbers of a row's chunks whose (hash, length) stands for several contents.
+
+    Rows are numbered in a settled copy, as doc_ids may repeat or be missing.
+    """
+    copy = settle(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), "numbered")
+    recipes = copy.mapInArrow(lambda it: recipe_batches(it, hash_bits), "rid long, doc_id long, recipe array<long>, text_sha256 string")
+    placed = copy.select("rid", "text").mapInArrow(lambda it: chunk_batches(it, True, hash_bits), "h long, size int, data binary, rid long, pos int")
     placed = settle(placed.join(shared.select("h", "size"), ["h", "size"]), "clashing")
-    number = placed.groupBy("h", "size", "data").agg(F.lit(1).alias("one")).select("h", "size", "data", F.row_number().over(W.partitionBy("h", "size").orderBy("data")).alias("number"))
-    told = placed.join(number, ["h", "size", "data"]).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("pos", "number"))).alias("told"))
-    return settle(recipes.join(told, recipes.doc_id.eqNullSafe(told.doc_id), "left").select(recipes.doc_id, "recipe", "text_sha256", F.coalesce("told", F.array().cast("array<struct<pos:int,number:int>>")).alias("told")), "told")
+    contents = placed.groupBy("h", "size", "data").agg(F.lit(1).alias("one"))
+    number = contents.select("h", "size", "data", F.row_number().over(W.partitionBy("h", "size").orderBy("data")).alias("number"))
+    told = placed.join(number, ["h", "size", "data"]).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("pos", "number"))).alias("told"))
+    return settle(recipes.join(told, "rid", "left").select("doc_id", "recipe", "text_sha256", F.coalesce("told", F.array().cast("array<struct<pos:int,number:int>>")).alias("told")), "told")

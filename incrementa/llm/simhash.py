@@ -12,9 +12,10 @@ For a similarity of the sets of shingles (a share of 0.8 of five-word shingles),
 several words over the distinct shingles only find candidates. No covering of bit blocks stays
 selective there, so rows are filed under bands of least hashes; their number sets the share of pairs
 that is met. The radius lies well above the distance expected at the threshold, and a candidate pair
-is linked only where the share of the two sets' shingles, counted exactly, reaches it. A spanning forest of
-candidates is counted first, then every candidate between different components, so no pair is
-left uncounted that could join two groups.
+is linked only where the share of the two sets' shingles, counted exactly, reaches it. Documents whose
+shingles are for the most part their own cannot reach it with any other and fall away first. A spanning
+forest of the remaining candidates is counted, then every candidate between different components, so no
+pair is left uncounted that could join two groups. doc_ids have to be unique and not null there.
 
 Edge cases: null text is empty text; text without words has fingerprint zero and is linked
 like any other; fewer words than ``width`` make one shingle; repeated rows link through their
@@ -63,6 +64,7 @@ class Scheme(NamedTuple):
     similarity: float = 0.0  # of the sets, above 0 only where links are counted exactly
     bands: int = 0
     band_rows: int = 0
+    reach: tuple[int, ...] = ()  # radius by the lesser number of shingles, the last for all larger ones
 
     @property
     def columns(self) -> list[str]:
@@ -95,14 +97,17 @@ def similar_scheme(width: int = 5, similarity: float = 0.8, words: int = 5, band
 
     A band agrees with probability similarity ** band_rows, 0.41 at 0.8 and four rows: sixteen bands
     meet 0.9998 of the pairs right at the threshold. The radius is four standard deviations above
-    the mean distance at the threshold, for whichever small sets, where ties widen it, are farthest apart.
+    the mean distance at the threshold, of sets of that size or larger (ties widen it for small ones).
     """
-    worst = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    n, limit, apart = 64 * words, math.acos(2 * similarity / (1 + similarity)) / math.pi, []
     for shared in range(1, 41):
-        apart = int(shared / similarity - shared + 1e-9)
-        worst = max([worst, *(bit_difference(shared, u, v) for u in range(apart + 1) for v in range(u, apart + 1 - u))])
-    n = 64 * words
-    return Scheme(width, words, math.ceil(n * worst + 4 * math.sqrt(n * worst * (1 - worst))), (), similarity, bands, band_rows)
+        other = int(shared / similarity - shared + 1e-9)
+        apart.append(max(bit_difference(shared, u, v) for u in range(other + 1) for v in range(u, other + 1 - u)))
+    reach = []
+    for size in range(51):
+        mean = max([limit, *apart[max(0, math.ceil(similarity * size - 1e-9) - 1) :]])
+        reach.append(math.ceil(n * mean + 4 * math.sqrt(n * mean * (1 - mean))))
+    return Scheme(width, words, max(reach), (), similarity, bands, band_rows, tuple(reach))
 
 
 def vote(hashes: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
@@ -181,6 +186,22 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, scheme: Scheme) -> DataFram
     return settle(rows.mapInArrow(lambda it: set_batches(it, scheme), "node long, shingles array<long>"), "sets")
 
 
+def able(sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, s) of the ``sets`` that can reach Jaccard ``similarity`` with another of them; s: shingles that another holds too.
+
+    What two sets share is at most the lesser s, which settles most nodes without a pair being made:
+    shared passages make many candidates, whose other shingles stand nowhere else.
+    """
+    for _ in range(2):  # those that fall away take shingles with them
+        held = sets.select("node", F.explode("shingles").alias("h"))
+        alone = held.groupBy("h").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("own"))
+        s = F.size("shingles") - F.coalesce("own", F.lit(0))
+        found = sets.join(alone, "node", "left").withColumn("s", s.cast("long")).where(F.col("s") >= similarity * F.size("shingles") - 1e-9)
+        sets = settle(found.drop("own"), "able")
+        sets, found = sets.drop("s"), sets
+    return found
+
+
 def counted(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs(a, b)`` whose sets of shingles have Jaccard ``similarity`` or more."""
     x, y = (sets.select(F.col("node").alias(c), F.col("shingles").alias(n)) for c, n in (("a", "x"), ("b", "y")))
@@ -266,11 +287,21 @@ def tile_links(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa
         j = np.concatenate(j_all) if j_all else np.zeros(0, np.int64)
         if scheme.similarity:
             m = table.column("m").to_numpy()
-            fit = (np.minimum(m[i], m[j]) >= scheme.similarity * np.maximum(m[i], m[j]) - 1e-9) & (node[i] != node[j])
+            # shared with others, where that is known: what two sets share is at most the lesser
+            most = table.column("s").to_numpy() if "s" in table.column_names else m
+            least = np.minimum(most[i], most[j])
+            fit = (least * (1 + scheme.similarity) >= scheme.similarity * (m[i] + m[j]) - 1e-9) & (node[i] != node[j])
+            fit &= (i < j) | (side[i] != side[j])  # a tile that meets itself tells of each pair twice
+            fit &= distance(fp[i], fp[j]) <= np.array(scheme.reach)[np.minimum(np.minimum(m[i], m[j]), len(scheme.reach) - 1)]
             if rooted := "root" in table.column_names:
                 root = table.column("root").to_numpy()
                 fit &= root[i] != root[j]
             i, j = i[fit], j[fit]
+            if rooted and len(i):  # a pair is told of in the first band that both share
+                bands = np.stack([table.column(f"b{b}").to_numpy() for b in range(scheme.bands)], 1)
+                some = range(0, len(i), 100_000)
+                first = np.concatenate([(bands[i[a : a + 100_000]] == bands[j[a : a + 100_000]]).argmax(axis=1) for a in some]) == t[i]
+                i, j = i[first], j[first]
             if not rooted:
                 i, j = spanning(n, i, j, distance(fp[i], fp[j]))
             return pa.record_batch([pa.array(np.maximum(node[i], node[j])), pa.array(np.minimum(node[i], node[j]))], ["a", "b"])
@@ -303,7 +334,8 @@ def links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
     Where links are counted exactly, their candidates: see :func:`tile_links`.
     """
     cols = scheme.columns
-    held = [*cols, *(c for c in ("m", "root") if c in nodes.columns), "node"]
+    held = [*cols, *(c for c in ("m", "s", "root") if c in nodes.columns), "node"]
+    held += [f"b{k}" for k in range(scheme.bands)] if "root" in held else []
     signed = [(w, m - (1 << 64) if m >> 63 else m) for w, m in scheme.tables]
     keys = [F.col(cols[w]).bitwiseAND(F.lit(m)) for w, m in signed] or [F.col(f"b{k}") for k in range(scheme.bands)]
     filed = nodes.select(*held, F.explode(F.array(*(F.struct(F.lit(t).alias("t"), k.alias("k")) for t, k in enumerate(keys)))).alias("x")).select("x.t", "x.k", *held)
@@ -324,10 +356,11 @@ def similar_links(nodes: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFram
     """Links (a, b) that join all ``nodes`` connected by candidate pairs of the scheme's similarity."""
     first = settle(links(nodes, scheme).distinct(), "candidates")
     wanted = settle(first.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
-    sets = shingle_sets(docs, wanted, scheme)
+    sets = able(shingle_sets(docs, wanted, scheme), scheme.similarity)
+    nodes = settle(nodes.join(sets.select("node", "s"), "node"), "able-nodes")
+    first = settle(links(nodes, scheme).distinct(), "first")
     sure = counted(first, sets, scheme.similarity)
-    labelled = nodes.join(wanted, "node", "left_semi").join(components(sure), "node", "left")
-    labelled = settle(labelled.withColumn("root", F.coalesce("root", "node")), "labelled")
+    labelled = settle(nodes.join(components(sure), "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled")
     rest = settle(links(labelled, scheme).distinct().join(first, ["a", "b"], "left_anti"), "rest")
     return sure.unionByName(counted(rest, sets, scheme.similarity))
 

@@ -28,9 +28,12 @@ def test_exact_against_brute(edge_docs, edge_rows):
     assert got == brute_groups(edge_rows)
 
 
-def test_exact_with_clashing_hashes(edge_docs, edge_rows):
-    got = sorted((tuple(r) for r in exact_groups(edge_docs.where("doc_id is not null"), hash_bits=1).collect()), key=repr)
-    assert got == brute_groups([r for r in edge_rows if r[0] is not None])
+def test_exact_with_clashing_hashes(spark, edge_docs, edge_rows):
+    got = sorted((tuple(r) for r in exact_groups(edge_docs, hash_bits=1).collect()), key=repr)
+    assert got == brute_groups(edge_rows)
+    rows = [(i, t) for i in (5, 5, None, -1) for t in ("abc", "abd", "xyz", "x" * 40000, "y" * 40000, "x" * 20000 + "y" * 20000)]
+    got = sorted((tuple(r) for r in exact_groups(spark.createDataFrame(rows, "doc_id long, text string"), hash_bits=1).collect()), key=repr)
+    assert got == brute_groups(rows)
 
 
 def test_empty_tables(no_docs):
