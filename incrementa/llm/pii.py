@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from incrementa.llm.common import settle
-from incrementa.llm.spans import checked, digits, disjoint, found, luhn, named, placed, replaced
+from incrementa.llm.spans import checked, clear_of, digits, found, luhn, named, placed, replaced
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 _OCTET = "(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9][0-9]?)|0++)"
@@ -96,13 +96,11 @@ def revealed(base: DataFrame, held: DataFrame, pairs: DataFrame) -> DataFrame:
     """(rid, terms): places of the terms that give away an entity of their text, outside all base spans."""
     told = pairs.groupBy("entity").agg(F.collect_list("term").alias("told"))
     words = held.select("rid", F.explode("entities").alias("entity")).join(told, "entity").groupBy("rid").agg(F.flatten(F.collect_list("told")).alias("told"))
-    words = words.join(held, "rid").select("rid", F.explode(F.array_intersect("words", "told")).alias("term"))
-    words = settle(words.groupBy("rid").agg(F.collect_set("term").alias("words")), "revealing")
-    spans = F.concat(*PATTERNS)
-    rows = base.where("text is not null").join(words, "rid").select("rid", "text", "words", spans.alias("spans"))
-    rows = rows.select("rid", "words", "spans", placed(F.col("text"), found(F.col("text"), TERM), TERM).alias("t"))
-    clear = lambda t: F.array_contains("words", F.lower(t["value"])) & ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
-    return settle(rows.select("rid", F.transform(F.filter("t", clear), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))).alias("terms")), "terms")
+    words = settle(words.join(held, "rid").select("rid", F.explode(F.array_intersect("words", "told")).alias("term")), "revealing")
+    rows = base.where("text is not null").join(words.select("rid").distinct(), "rid").select("rid", "text", F.concat(*PATTERNS).alias("spans"))
+    rows = rows.select("rid", F.explode(clear_of(placed(F.col("text"), found(F.col("text"), TERM), TERM), F.col("spans"))).alias("t"))
+    rows = rows.select("rid", F.lower("t.value").alias("term"), "t.start", "t.end").join(words, ["rid", "term"])
+    return settle(rows.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("terms")), "terms")
 
 
 def sanitise(docs: DataFrame, support: int = 3, threshold: float = 0.8) -> DataFrame:
@@ -113,6 +111,5 @@ def sanitise(docs: DataFrame, support: int = 3, threshold: float = 0.8) -> DataF
     rows = base.join(terms, "rid", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int>>")))
     kinds = [*PATTERNS, "terms"]
     every = F.concat(*(named(F.col(k), k.removesuffix("s")) for k in kinds))
-    # where spans of several kinds overlap, text is cut by the first of them
-    apart = disjoint(F.array_sort(every), "struct<start:int,end:int,kind:string>")
-    return rows.select("doc_id", *PATTERNS, "terms", F.when(F.col("text").isNotNull(), replaced(F.col("text"), apart, "kind")).alias("clean"))
+    # what overlapping spans of several kinds cover is named by the first of them
+    return rows.select("doc_id", *PATTERNS, "terms", F.when(F.col("text").isNotNull(), replaced(F.col("text"), F.array_sort(every), "kind")).alias("clean"))

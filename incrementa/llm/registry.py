@@ -47,6 +47,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(F.size(k).cast("long").alias(f"n_{k}") for k in pii.PATTERNS),
         F.sha2(F.concat_ws(",", *base), 256).alias("base_sha256"),
         F.concat_ws(",", *base, marked(F.col("terms"), "term")).alias("spans"),
+        F.sha2("clean", 256).alias("clean_sha256"),
     )
 
 
@@ -66,6 +67,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(F.size(k).cast("long").alias(f"n_{k}") for k in kinds),
         F.sha2(secrets.joined(kinds), 256).alias("base_sha256"),
         secrets.joined([*kinds, "random"]).alias("spans"),
+        F.sha2("clean", 256).alias("clean_sha256"),
     )
 
 

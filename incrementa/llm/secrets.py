@@ -2,9 +2,10 @@
 
 Assignments, access keys and long hexadecimal runs are found by pattern. Other long tokens that mix
 letters and digits are tested, each over the alphabet of its inferred encoding: chi-squared for
-uniform use of the alphabet, runs about its middle, and serial correlation, joined by Fisher's
-method into one p-value of the hypothesis that the token is random. Among the distinct tokens of a
-length class, the Benjamini-Hochberg procedure at that class's level says which are not random; a
+uniform use of the alphabet, runs of one kind of character (a case, digits, signs), and serial
+correlation, joined by Fisher's method into one p-value of the hypothesis that the token is random.
+Among the distinct tokens of a length class, the Benjamini-Hochberg procedure at that class's level says
+which are not random, so that the level bounds the share of random tokens among those dismissed; a
 shorter class has a higher level, as its tests tell less apart. What it does not reject is a span of
 kind ``random``. Only DataFrame functions are used.
 
@@ -20,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from incrementa.llm.common import settle
-from incrementa.llm.spans import checked, disjoint, found, named, placed, replaced
+from incrementa.llm.spans import checked, clear_of, found, named, placed, replaced
 
 #: kinds in the order of listing
 PATTERNS = {
@@ -42,8 +43,10 @@ ALPHABETS = {
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
 #: first length of a class and its false-discovery level
-CLASSES = ((20, 0.5), (24, 0.4), (32, 0.25), (48, 0.1), (64, 0.05))
+CLASSES = ((20, 0.05), (24, 0.05), (32, 0.02), (48, 0.01), (64, 0.01))
 P_STEPS = 400
+_FROM = ALPHABETS["alphanumeric"] + "+/-_"
+_TO = "0" * 10 + "A" * 26 + "a" * 26 + "-" * 4
 
 
 def valid(kind: str, value: Column) -> Column:
@@ -60,12 +63,18 @@ def base_spans(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.select("*", *(found(F.col("text"), p).alias(f"m_{k}") for k, p in every.items()))
     rows = rows.select("rid", "doc_id", "text", *(checked(placed(F.col("text"), F.col(f"m_{k}"), p), k, valid).alias(k) for k, p in every.items()))
-    mixed = F.filter("tokens", lambda t: t["value"].rlike("[0-9]") & t["value"].rlike("[A-Za-z]") & ~F.exists(F.concat(*PATTERNS), lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    rows = rows.withColumn("tokens", mixed)
+    mixed = F.filter("tokens", lambda t: t["value"].rlike("[0-9]") & t["value"].rlike("[A-Za-z]"))
+    rows = rows.withColumn("tokens", clear_of(mixed, F.concat(*PATTERNS)))
     touched = sum((F.size(k) for k in every), F.lit(0)) > 0
     return settle(rows.select("rid", "doc_id", *every, F.when(touched, F.col("text")).alias("text")), "secrets")
 
 
+def _share(alphabet: str, power: int) -> float:
+    """Chance that ``power`` independent characters of the alphabet are of one kind."""
+    kinds = [_TO[_FROM.index(c)] for c in alphabet]
+    return sum((kinds.count(c) / len(kinds)) ** power for c in set(kinds))
+
+
 def two_sided(z: Column) -> Column:
     """Two-sided normal tail of ``z``, by the logistic approximation of the normal distribution."""
     a = F.least(F.abs(z), F.lit(12.0))
@@ -83,17 +92,19 @@ def battery(tokens: DataFrame) -> DataFrame:
     t = t.withColumn("mean", F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / F.col("n"))
     square = F.aggregate(F.array_distinct("v"), F.lit(0.0), lambda s, x: s + F.pow(F.size(F.filter(F.col("v"), lambda y: y == x)).cast("double"), 2))
     pairs = F.zip_with(F.slice("v", F.lit(1), F.col("n").cast("int") - 1), F.slice("v", F.lit(2), F.col("n").cast("int") - 1), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-    high = F.size(F.filter("v", lambda x: x >= F.col("k") / 2)).cast("double")
-    runs = 1 + F.size(F.filter(pairs, lambda p: (p["x"] >= F.col("k") / 2) != (p["y"] >= F.col("k") / 2))).cast("double")
+    kinds = F.split(F.translate("core", _FROM, _TO), "(?!^)(?!$)")
+    steady = F.size(F.filter(F.zip_with(F.slice(kinds, F.lit(1), F.col("n").cast("int") - 1), F.slice(kinds, F.lit(2), F.col("n").cast("int") - 1), lambda x, y: x == y), lambda same: same)).cast("double")
     cross = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + (p["x"] - F.col("mean")) * (p["y"] - F.col("mean")))
     spread = F.aggregate("v", F.lit(0.0), lambda s, x: s + F.pow(x - F.col("mean"), 2))
-    t = t.select("value", "encoding", "n", "k", square.alias("square"), high.alias("high"), runs.alias("runs"), cross.alias("cross"), spread.alias("spread"))
+    t = t.select("value", "encoding", "n", "k", square.alias("square"), steady.alias("steady"), cross.alias("cross"), spread.alias("spread"))
     n, k = F.col("n"), F.col("k")
     z_uniform = (k / n * F.col("square") - n - (k - 1)) / F.sqrt(2 * (k - 1) * (1 - 1 / n))
     p_uniform = F.when(z_uniform > 0, two_sided(z_uniform) / 2).otherwise(1 - two_sided(z_uniform) / 2)
-    mu = 2 * F.col("high") * (n - F.col("high")) / n + 1
-    var = (mu - 1) * (mu - 2) / (n - 1)
-    p_runs = F.when(var > 0, two_sided((F.col("runs") - mu) / F.sqrt(F.when(var > 0, var).otherwise(1.0)))).otherwise(0.0)
+    # neighbours of one kind of character (lower case, upper case, digit, sign): their number tells that of the runs
+    same, thrice = (F.coalesce(*(F.when(F.col("encoding") == name, F.lit(_share(a, power))) for name, a in ALPHABETS.items())) for power in (2, 3))
+    var = (n - 1) * same * (1 - same) + 2 * (n - 2) * (thrice - same * same)
+    z_runs = (F.col("steady") - (n - 1) * same) / F.sqrt(F.when(var > 0, var).otherwise(1.0))
+    p_runs = F.when(var <= 0, 0.5).when(z_runs > 0, two_sided(z_runs) / 2).otherwise(1 - two_sided(z_runs) / 2)
     p_serial = F.when(F.col("spread") > 0, two_sided((F.col("cross") / F.when(F.col("spread") > 0, F.col("spread")).otherwise(1.0) + 1 / (n - 1)) * F.sqrt(n))).otherwise(0.0)
     half = -sum((F.log(F.greatest(p, F.lit(1e-30))) for p in (p_uniform, p_runs, p_serial)), F.lit(0.0))
     return t.select("value", "encoding", "n", F.least(F.lit(1.0), F.exp(-half) * (1 + half + half * half / 2)).alias("p"))
@@ -120,8 +131,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     random = settle(placed_tokens.join(random_tokens(base), "value").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value"))).alias("random")), "placed")
     rows = base.join(random, "rid", "left").withColumn("random", F.coalesce("random", F.array().cast("array<struct<start:int,end:int,value:string>>")))
     rows = rows.withColumn("spans", listed([*PATTERNS, "random"]))
-    apart = disjoint(F.col("spans"), "struct<start:int,place:int,end:int,kind:string>")
-    return rows.select("doc_id", *PATTERNS, "random", F.when(F.col("text").isNotNull(), replaced(F.col("text"), apart, "kind")).alias("clean"))
+    return rows.select("doc_id", *PATTERNS, "random", F.when(F.col("text").isNotNull(), replaced(F.col("text"), F.col("spans"), "kind")).alias("clean"))
 
 
 def listed(kinds: list[str]) -> Column:
