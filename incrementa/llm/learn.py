@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from incrementa.llm.common import settle
+
 #: labelled documents a class that models are fitted on, at most; a documented bound, as the sample goes to the driver's model
 SAMPLE = 4000
 
@@ -16,18 +18,20 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, most: int = SAMPLE) -> DataFrame:
-    """(text, label) of about ``most`` training documents for either class, chosen by hash; the id list, of at most 2 * most rows, is broadcast.
+    """Settled (doc_id, text, label) of the ``most`` training documents of either class whose ids have the least hashes.
 
-    Ids without a document, null labels and repeated labels of an id drop out.
+    Only ids that ``documents`` has count; the choice depends on the rows alone, not on how they are dealt out. The list
+    of ids, at most 2 * most, is broadcast. Null labels drop out; of several labels of an id the larger counts, of several
+    texts the least.
     """
     spark = docs.sparkSession
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").where(~held_out())
-    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
-    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    share = F.when(F.col("label") == 1, F.lit(min(1.0, most / max(1, counts.get(1, 0))))).otherwise(F.lit(min(1.0, most / max(1, counts.get(0, 0)))))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).limit(2 * most).collect()
-    ids = spark.createDataFrame([tuple(r) for r in chosen], "doc_id long, label int")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label")).join(texts.select("doc_id"), "doc_id", "left_semi")
+    known = settle(known, "labelled")
+    chosen = [tuple(r) for y in (0, 1) for r in known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
+    ids = spark.createDataFrame(chosen, "doc_id long, label int")
+    return settle(texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")), "sample")
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60) -> np.ndarray:

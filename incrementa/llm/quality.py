@@ -1,10 +1,11 @@
 """Quality by compression: zstandard dictionaries of good and of bad text.
 
-Two dictionaries are trained on a bounded sample of labelled text. A text is compressed with either,
-in blocks so that the dictionary counts along its whole length, and the normalised difference of
-the compressed sizes is calibrated to a probability by logistic regression.
+Two dictionaries are trained on whole texts of a sample of labelled documents, bounded in rows. A text is
+compressed with either, in blocks so that the dictionary counts along its whole length, and the
+difference of the compressed sizes, normalised by the text's length, is calibrated to a probability by logistic
+regression on the other half of the sample. The model depends on the rows alone, not on their order.
 
-Edge cases: null text is empty; empty text gets the calibrated score of no evidence; repeated rows
+Edge cases: null text is empty; empty text gets the calibrated score of no difference; repeated rows
 score alike; labels without both classes give the base rate; an empty table gives an empty result.
 Other columns are ignored.
 """
@@ -22,9 +23,7 @@ from pyspark.sql import functions as F
 from incrementa.llm.common import prepare, slices, text_views
 from incrementa.llm.learn import fit_logistic, held_out, probability, training_sample
 
-BLOCK, DICTIONARY, LEVEL = 4096, 65536, 3
-#: a document gives the dictionaries at most so many blocks
-BLOCKS_EACH = 8
+BLOCK, DICTIONARY, LEVEL = 1024, 65536, 3
 
 
 class Compressors:
@@ -53,20 +52,19 @@ class Compressors:
         return cls._made[key]
 
     def features(self, body: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Of each text: size difference over sum, difference over length, compressed share, log length."""
+        """Of each text: the difference of its two compressed sizes over its length, positive where it is like good text."""
         raw = memoryview(body.tobytes())
-        out = np.zeros((len(off) - 1, 4))
+        out = np.zeros(len(off) - 1)
         for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
-            blocks = [raw[k : min(k + BLOCK, b)] for k in range(a, b, BLOCK)]
-            good, bad = (sum(len(c.compress(x)) for x in blocks) for c in self.each)
-            n = b - a
-            if n:
-                out[i] = (bad - good) / (bad + good), (bad - good) / n, min(good, bad) / n, np.log1p(n)
+            if b > a:
+                blocks = [raw[k : min(k + BLOCK, b)] for k in range(a, b, BLOCK)]
+                good, bad = (sum(len(c.compress(x)) for x in blocks) for c in self.each)
+                out[i] = (bad - good) / (b - a)
         return out
 
 
 def train_dictionary(texts: list[bytes]) -> bytes:
-    blocks = [t[k : k + BLOCK] for t in texts for k in range(0, min(len(t), BLOCK * BLOCKS_EACH), BLOCK) if len(t[k : k + BLOCK]) >= 8]
+    blocks = [t[k : k + BLOCK] for t in texts for k in range(0, len(t), BLOCK) if len(t[k : k + BLOCK]) >= 8]
     if len(blocks) < 20:
         return b""
     try:
@@ -77,19 +75,18 @@ def train_dictionary(texts: list[bytes]) -> bytes:
 
 def fit_quality(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes, np.ndarray]:
     """(good dictionary, bad dictionary, calibration). Half of the sample makes dictionaries, half calibrates."""
-    sample = training_sample(docs, labels, "quality").select("text", "label", F.pmod(F.xxhash64("text"), F.lit(2)).alias("half"))
-    rows = [(r["text"].encode(), r["label"], r["half"]) for r in sample.where("half = 0").toLocalIterator()]
-    good, bad = (train_dictionary([t for t, y, _ in rows if y == label]) for label in (1, 0))
+    sample = training_sample(docs, labels, "quality").withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)))
+    rows = sorted((r["doc_id"], r["label"], r["text"].encode()) for r in sample.where("half = 0").toLocalIterator())
+    good, bad = (train_dictionary([t for _, y, t in rows if y == label]) for label in (1, 0))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Compressors.of(good, bad)
         for whole in batches:
             for batch in slices(whole, "text"):
-                x = c.features(*text_views(batch.column("text")))
-                yield pa.record_batch([batch.column("label"), *(pa.array(x[:, k]) for k in range(4))], ["label", "a", "b", "c", "d"])
+                yield pa.record_batch([batch.column("doc_id"), batch.column("label"), pa.array(c.features(*text_views(batch.column("text"))))], ["doc_id", "label", "x"])
 
-    points = sample.where("half = 1").select("label", "text").mapInArrow(measured, "label int, a double, b double, c double, d double").toPandas()
-    return good, bad, fit_logistic(points[["a", "b", "c", "d"]].to_numpy(float), points["label"].to_numpy(float))
+    points = sample.where("half = 1").select("doc_id", "label", "text").mapInArrow(measured, "doc_id long, label int, x double").toPandas().sort_values("doc_id")
+    return good, bad, fit_logistic(points[["x"]].to_numpy(float), points["label"].to_numpy(float))
 
 
 def score_batches(batches: Iterator[pa.RecordBatch], good: bytes, bad: bytes, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -97,7 +94,7 @@ def score_batches(batches: Iterator[pa.RecordBatch], good: bytes, bad: bytes, we
     for whole in batches:
         for batch in slices(whole, "text"):
             x = c.features(*text_views(batch.column("text")))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(probability(x, weights))], ["doc_id", "score"])
+            yield pa.record_batch([batch.column("doc_id"), pa.array(probability(x[:, None], weights))], ["doc_id", "score"])
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:

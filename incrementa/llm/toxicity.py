@@ -4,8 +4,10 @@ Folding lower-cases, undoes look-alike letters, diacritics and full-width forms
 digit or sign substitutions inside words; everything else that is no letter becomes a space. The
 lexicon's terms are word beginnings learned from a bounded sample of labelled texts: those far
 more frequent in toxic than in clean texts, the shortest that does it standing for its longer
-forms. A match inside an exception phrase does not count. Weights of matches, as a sum and
-normalised by length in words, are calibrated to a probability by logistic regression.
+forms. A match inside an exception phrase does not count; exceptions are a short list and the pairs of
+words, one of them matched, that the sample's clean texts use and its toxic texts do not. Weights of
+matches, as a sum and normalised by length in words, are calibrated to a probability by logistic regression.
+The model depends on the rows alone, not on their order.
 
 Edge cases: null text is empty; a text without matches, the empty one included, gets the
 calibrated score of no evidence; repeated rows score alike; labels without both classes give the
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,6 +41,8 @@ SIGNS = {"@": "a", "$": "s", "!": "i"}
 EXCEPTIONS = ("trash can", "trash bin", "trash collection", "clown fish", "clownfish", "rodeo clown", "sore loser board", "pond scum", "soap scum", "scum line", "stupidly simple")
 LONGEST_STEM, SHORTEST_STEM, MOST_TERMS = 9, 4, 400
 LEAST_RATIO = 20.0
+#: learned exceptions, at most; clean texts that have to use one
+MOST_EXCEPTIONS, LEAST_USES = 200, 3
 SCORE = "__toxicity"
 
 _SIGN = re.compile(r"(?<=[^\W\d_])[@$!](?=[^\W\d_])")
@@ -126,11 +131,23 @@ class Matcher:
             for end, (size, weight) in self.terms.iter(folded):
                 best[end - size + 1] = weight  # at one start longer terms end later
         if best and len(self.phrases):
+            starts = sorted(best)
             for end, size in self.phrases.iter(folded):
-                for at in [a for a in best if end - size + 1 <= a < end]:
-                    del best[at]
+                for at in starts[bisect_left(starts, end - size + 1) : bisect_left(starts, end)]:
+                    best.pop(at, None)
         return list(best.items())
 
+    def pairs(self, folded: str) -> set[str]:
+        """Pairs of neighbouring words of which one begins with a term."""
+        out = set()
+        for at, _ in self.matches(folded):
+            end = folded.index(" ", at + 1)
+            if at:
+                out.add(folded[folded.rindex(" ", 0, at) + 1 : end])
+            if end + 1 < len(folded):
+                out.add(folded[at + 1 : folded.index(" ", end + 1)])
+        return out
+
     def features(self, texts: list[str | None]) -> np.ndarray:
         """Of each text: log of the summed weight, log of that per thousand words, whether any."""
         out = np.zeros((len(texts), 3))
@@ -141,19 +158,39 @@ class Matcher:
         return out
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS) -> tuple[dict[str, float], np.ndarray]:
-    """(lexicon, calibration) from the training sample."""
+def learn_exceptions(sample: DataFrame, lexicon: dict[str, float], given: tuple[str, ...]) -> tuple[str, ...]:
+    """``given`` phrases and the commonest pairs of words around a match that several clean texts use and no toxic one does."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, counts = Matcher.of(lexicon, given), Counter()
+        for batch in batches:
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
+                counts.update((pair, label) for pair in m.pairs(fold(text or "")))
+        rows = list(counts.items())
+        yield pa.record_batch([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.int32()), pa.array([n for _, n in rows], pa.int64())], ["phrase", "label", "n"])
+
+    if not lexicon:
+        return given
+    each = sample.select("text", "label").mapInArrow(counted, "phrase string, label int, n long").groupBy("phrase")
+    each = each.agg(F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("clean"), F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"))
+    best = each.where((F.col("toxic") == 0) & (F.col("clean") >= LEAST_USES)).orderBy(F.desc("clean"), "phrase").limit(MOST_EXCEPTIONS)
+    return (*given, *(r["phrase"] for r in best.collect()))
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS) -> tuple[dict[str, float], tuple[str, ...], np.ndarray]:
+    """(lexicon, exception phrases, calibration) from the training sample."""
     sample = training_sample(docs, labels, "toxic")
     lexicon = learn_lexicon(sample)
+    exceptions = learn_exceptions(sample, lexicon, exceptions)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Matcher.of(lexicon, exceptions)
         for batch in batches:
             x = m.features(batch.column("text").to_pylist())
-            yield pa.record_batch([batch.column("label"), *(pa.array(x[:, k]) for k in range(3))], ["label", "a", "b", "c"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("label"), *(pa.array(x[:, k]) for k in range(3))], ["doc_id", "label", "a", "b", "c"])
 
-    points = sample.select("label", "text").mapInArrow(measured, "label int, a double, b double, c double").toPandas()
-    return lexicon, fit_logistic(points[["a", "b", "c"]].to_numpy(float), points["label"].to_numpy(float))
+    points = sample.select("doc_id", "label", "text").mapInArrow(measured, "doc_id long, label int, a double, b double, c double").toPandas().sort_values("doc_id")
+    return lexicon, exceptions, fit_logistic(points[["a", "b", "c"]].to_numpy(float), points["label"].to_numpy(float))
 
 
 def score_batches(batches: Iterator[pa.RecordBatch], lexicon: dict[str, float], weights: np.ndarray, exceptions: tuple[str, ...], dropped: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
@@ -168,7 +205,7 @@ def score_batches(batches: Iterator[pa.RecordBatch], lexicon: dict[str, float],
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, exceptions: tuple[str, ...] = EXCEPTIONS) -> DataFrame:
     """One row per document: doc_id, held_out, score (probability of being toxic), predicted."""
     prepare(docs.sparkSession)
-    lexicon, weights = fit_toxicity(docs, labels, exceptions)
+    lexicon, exceptions, weights = fit_toxicity(docs, labels, exceptions)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = texts.mapInArrow(lambda it: score_batches(it, lexicon, weights, exceptions, ("text",)), f"doc_id long, {SCORE} double")
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= threshold).cast("int").alias("predicted"))
@@ -177,6 +214,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, e
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, exceptions: tuple[str, ...] = EXCEPTIONS) -> DataFrame:
     """Rows of ``docs``, all columns, that score under ``threshold``; texts are not shuffled."""
     prepare(docs.sparkSession)
-    lexicon, weights = fit_toxicity(docs, labels, exceptions)
+    lexicon, exceptions, weights = fit_toxicity(docs, labels, exceptions)
     schema = T.StructType([*docs.schema.fields, T.StructField(SCORE, T.DoubleType())])
     return docs.mapInArrow(lambda it: score_batches(it, lexicon, weights, exceptions), schema).where(F.col(SCORE) < threshold).drop(SCORE)
