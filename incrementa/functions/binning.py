@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,6 +36,41 @@ def product_edges() -> list[float]:
     return logspace(-5, 5, VALUE_EDGES)
 
 
+@dataclass(frozen=True)
+class Binning:
+    """Bins of a run: numbers of angle bins, edges of the two value families as (least, most), their number."""
+
+    n_theta_bins: int = THETA_BINS
+    n_phi_bins: int = PHI_BINS
+    sf_range: tuple[float, float] = (1e-4, 1e1)
+    product_range: tuple[float, float] = (1e-5, 1e5)
+    n_value_edges: int = VALUE_EDGES
+
+    def __post_init__(self) -> None:
+        if self.n_theta_bins < 1 or self.n_phi_bins < 1 or self.n_value_edges < 2:
+            raise ValueError("there has to be a bin")
+        for name in ("sf_range", "product_range"):
+            lo, hi = getattr(self, name)
+            if not 0 < lo < hi:
+                raise ValueError(f"{name} must be positive and increase")
+
+    @property
+    def theta(self) -> list[float]:
+        return linspace(0.0, math.pi / 2, self.n_theta_bins + 1)
+
+    @property
+    def phi(self) -> list[float]:
+        return linspace(0.0, math.pi, self.n_phi_bins + 1)
+
+    @property
+    def sf(self) -> list[float]:
+        return logspace(math.log10(self.sf_range[0]), math.log10(self.sf_range[1]), self.n_value_edges)
+
+    @property
+    def product(self) -> list[float]:
+        return logspace(math.log10(self.product_range[0]), math.log10(self.product_range[1]), self.n_value_edges)
+
+
 #: presets of the older variant: 500 bins
 LEGACY_VALUE, LEGACY_PRODUCT = (-6, 1, 501), (-10, 1, 501)
 

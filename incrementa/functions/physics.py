@@ -10,10 +10,10 @@ from incrementa.functions.vectors import Vec, minus, norm, plus
 FLOOR = 1e-10
 
 
-def alfven(df: DataFrame) -> DataFrame:
-    """Adds va_*: B over the root of rho, 0 where rho is not positive (NaN is not). Spark's NaN > 0 holds, hence the guard."""
+def alfven(df: DataFrame, least: float = FLOOR) -> DataFrame:
+    """Adds va_*: B over the root of rho, 0 where rho is not positive (NaN is not); rho counts as ``least`` at least. Spark's NaN > 0 holds, hence the guard."""
     rho = F.col("rho")
-    factor = F.lit(1.0) / F.sqrt(F.greatest(rho, F.lit(FLOOR)))
+    factor = F.lit(1.0) / F.sqrt(F.greatest(rho, F.lit(least)))
     good = (rho > 0) & ~F.isnan(rho)
     return df.withColumns({f"va_{c}": F.when(good, F.col(f"b_{c}") * factor).otherwise(F.lit(0.0)) for c in "xyz"})
 

@@ -62,8 +62,8 @@ def clamped(c: Column, lo: float | None) -> Column:
     return F.when(F.isnan(c), c).otherwise(inner)
 
 
-def local_frame(inc: DataFrame, axis: int, keep: list[str]) -> DataFrame:
-    """Adds theta, phi and the unit field u_*; drops samples whose mean field vanishes."""
+def local_frame(inc: DataFrame, axis: int, keep: list[str], whole: bool = False) -> DataFrame:
+    """Adds theta, phi and the unit field u_*; drops samples whose mean field vanishes. ``whole``: with the vectors on the way (e_*: the displacement across the field)."""
     m, d, r = Vec.of("m"), displacement_vector(axis), F.col("r")
     s = inc.withColumn("m_mag", norm(m)).where(~(F.col("m_mag") < WEAK))
     db = Vec.of("d_b")
@@ -78,15 +78,16 @@ def local_frame(inc: DataFrame, axis: int, keep: list[str]) -> DataFrame:
     turned = (F.col("e_mag") > 0) & (F.col("p_mag") > 0) & ~F.isnan("e_mag") & ~F.isnan("p_mag")
     cos_phi = dot(e, p) / F.when(turned, F.col("e_mag") * F.col("p_mag")).otherwise(F.lit(1.0))
     s = s.withColumn("theta", F.acos(clamped(F.col("cos_theta"), None)))
-    return s.withColumn("phi", F.when(turned, F.acos(clamped(cos_phi, -1.0))).otherwise(F.lit(0.0))).drop("cos_theta", "along", "b_along", "e_mag", "p_mag", *(f"{n}_{c}" for n in "ep" for c in "xyz"))
+    s = s.withColumn("phi", F.when(turned, F.acos(clamped(cos_phi, -1.0))).otherwise(F.lit(0.0)))
+    return s if whole else s.drop("cos_theta", "along", "b_along", "e_mag", "p_mag", *(f"{n}_{c}" for n in "ep" for c in "xyz"))
 
 
-def angle_bins(framed: DataFrame) -> DataFrame:
+def angle_bins(framed: DataFrame, theta: list[float] | None = None, phi: list[float] | None = None) -> DataFrame:
     """Adds theta_bin, phi_bin; a sample outside either goes for all channels.
 
     The row number keeps the filter above this projection: pushed into the join below, it would compute the whole frame twice.
     """
-    s = framed.withColumns({"theta_bin": even_bin(F.col("theta"), theta_edges()), "phi_bin": even_bin(F.col("phi"), phi_edges()), "row": F.monotonically_increasing_id()})
+    s = framed.withColumns({"theta_bin": even_bin(F.col("theta"), theta or theta_edges()), "phi_bin": even_bin(F.col("phi"), phi or phi_edges()), "row": F.monotonically_increasing_id()})
     return s.where("theta_bin >= 0 and phi_bin >= 0 and row >= 0").drop("theta", "phi", "row")
 
 

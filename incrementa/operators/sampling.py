@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from incrementa.functions.binning import bin_index
@@ -13,6 +12,8 @@ from incrementa.functions.vectors import Vec
 
 #: offsets of each stencil, in displacements, with the weights of its increment
 STENCILS = {2: {0: -1, 1: 1}, 3: {-1: 1, 0: -2, 1: 1}, 5: {-2: -1, -1: 16, 0: -30, 1: 16, 2: -1}}
+#: bytes of a slice up to which it is broadcast
+BROADCAST_BYTES = 128 << 20
 #: order in which the terms of an increment, and of the mean field, are added
 ORDER = {2: (1, 0), 3: (1, 0, -1), 5: (2, 1, 0, -1, -2)}
 
@@ -41,10 +42,41 @@ def affine_samples(disp: DataFrame, rows: int, columns: int, n: int, step: int =
     return positions(out.withColumn("pos", pos), columns).drop("pos")
 
 
-def random_samples(disp: DataFrame, grid: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """(disp columns, j, i): ``n`` random distinct cells for each displacement."""
-    order = W.partitionBy("disp_id").orderBy(F.xxhash64(F.lit(seed), "disp_id", "j", "i"))
-    return disp.crossJoin(grid.select("j", "i")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).drop("place")
+#: fixed values: a prime, and the numbers that keys and rounds are mixed with
+PRIME, MIX, ROUNDS, SAMPLE_BLOCK = 2147483647, (48271, 16807, 69621, 40692), 4, 4096
+
+
+def _stirred(x: Column, key: Column) -> Column:
+    """A number under PRIME that depends on x and key in a way hard to tell from chance; all products stay under 2 ^ 62."""
+    y = (x * MIX[0] + key) % PRIME
+    return (y * ((y * y + MIX[1]) % PRIME)) % PRIME
+
+
+def permuted_samples(disp: DataFrame, rows: int, columns: int, n: int, seed: int = 0) -> DataFrame:
+    """(disp columns, k, j, i): ``n`` distinct positions for each displacement, independent for each and given by ``seed``.
+
+    Sample k is the k-th place of a permutation of all cells keyed by seed and displacement: rounds that shift the
+    row by a number stirred from the column, then the column by one from the row. No sort, no state, no shuffle.
+    """
+    if n > rows * columns:
+        raise ValueError("more samples than cells")
+    whole = F.col("disp_id").cast("long")
+    key = (_stirred(whole * MIX[2] % PRIME, F.lit(seed % PRIME).cast("long")) * MIX[3] + whole) % PRIME
+
+    def turn(at: Column, t: Column) -> Column:
+        k = (F.col("__key") + t * 1000003) % PRIME
+        j = (at["j"] + _stirred(at["i"], k)) % F.lit(rows)
+        return F.element_at(F.transform(F.array(j), lambda j: F.struct(j.alias("j"), ((at["i"] + _stirred(j, k)) % F.lit(columns)).alias("i"))), 1)
+
+    def place(k: Column) -> Column:
+        begun = F.struct(F.floor(k / F.lit(columns)).cast("long").alias("j"), (k % F.lit(columns)).cast("long").alias("i"))
+        rounds = F.aggregate(F.array(*(F.lit(t) for t in range(ROUNDS))), begun, turn)
+        return F.element_at(F.transform(F.array(rounds), lambda x: F.struct(k.cast("int").alias("k"), x["j"].cast("int").alias("j"), x["i"].cast("int").alias("i"))), 1)
+
+    # places are made inside the generator, a bounded array at a time, so that no filter pushed down makes them twice
+    blocks = disp.select("*", key.alias("__key"), F.explode(F.sequence(F.lit(0), F.lit((n - 1) // SAMPLE_BLOCK))).alias("__block"))
+    ks = F.sequence(F.col("__block") * SAMPLE_BLOCK, F.least(F.col("__block") * SAMPLE_BLOCK + (SAMPLE_BLOCK - 1), F.lit(n - 1)))
+    return blocks.select(*disp.columns, F.explode(F.transform(ks.cast("array<long>"), place)).alias("__at")).select(*disp.columns, "__at.k", "__at.j", "__at.i")
 
 
 def every_position(disp: DataFrame, grid: DataFrame) -> DataFrame:
@@ -73,14 +105,17 @@ def displacement_vector(axis: int) -> Vec:
 def gather(samples: DataFrame, grid: DataFrame, fields: list[str], rows: int, columns: int, width: int = 2) -> DataFrame:
     """``samples`` with ``field__k`` for each field and stencil offset k, by equi-joins on wrapped coordinates.
 
-    The optimizer broadcasts the grid where its size allows it and else shuffles by coordinate.
+    A single slice whose fields take at most ``BROADCAST_BYTES``, known from its shape, is broadcast once for all
+    offsets; anything larger is left to the optimizer, which shuffles by coordinate.
     """
     by_slice = ["slice_id"] if "slice_id" in samples.columns and "slice_id" in grid.columns else []
+    small = not by_slice and rows * columns * (len(fields) + 2) * 8 <= BROADCAST_BYTES
+    every = grid.select(*by_slice, F.col("j").alias("__j"), F.col("i").alias("__i"), *fields)
     out = samples
     for k in sorted(stencil(width)):
         at = out.withColumns({"__j": F.pmod(F.col("j") + k * F.col("dj"), F.lit(rows)), "__i": F.pmod(F.col("i") + k * F.col("di"), F.lit(columns))})
-        side = grid.select(*by_slice, F.col("j").alias("__j"), F.col("i").alias("__i"), *(F.col(f).alias(f"{f}__{k}") for f in fields))
-        out = at.join(side, [*by_slice, "__j", "__i"]).drop("__j", "__i")
+        met = at.join(F.broadcast(every) if small else every, [*by_slice, "__j", "__i"]).drop("__j", "__i")
+        out = met.withColumnsRenamed({f: f"{f}__{k}" for f in fields})
     return out
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from incrementa.functions.morton import encode
 from incrementa.operators.displacements import scale_edges
-from incrementa.operators.sampling import affine_samples, with_scale
+from incrementa.operators.sampling import permuted_samples, with_scale
 from incrementa.operators.volume import planar_derivatives
 from incrementa.plans.analysis import with_derived
 
@@ -94,4 +94,4 @@ def scaled(spark: SparkSession) -> DataFrame:
 
 def samples(spark: SparkSession, sf_dir: str, n: int = SAMPLES) -> DataFrame:
     size = plane_size(spark, sf_dir)
-    return affine_samples(scaled(spark), size, size, n)
+    return permuted_samples(scaled(spark), size, size, n)

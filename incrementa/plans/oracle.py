@@ -60,7 +60,25 @@ def _grid() -> str:
 GRID = _grid()
 DISP = "disp AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {di}, {dj})" for k, (di, dj) in enumerate(DISPLACEMENTS)) + ") AS t(disp_id, di, dj))"
 SCALED = f"dr AS (SELECT *, sqrt(CAST(di * di + dj * dj AS DOUBLE)) AS r FROM disp), scaled AS (SELECT *, {bin_of('r', ELL)} AS ell_bin FROM dr WHERE {bin_of('r', ELL)} >= 0)"
-SAMP = f"""pos AS (SELECT s.*, CAST(t.k AS INTEGER) AS k, (t.k * 7919 + disp_id * 104729) % (n * n) AS pos FROM scaled s CROSS JOIN nn CROSS JOIN (SELECT unnest(range({SAMPLES})) AS k) t),
+
+
+def stirred(x: str, key: str) -> str:
+    y = f"(({x}) * 48271 + ({key})) % 2147483647"
+    return f"(({y}) * ((({y}) * ({y}) + 16807) % 2147483647)) % 2147483647"
+
+
+def permuted(n: str, seed: int = 0) -> str:
+    """CTEs up to ``samp``: ``n`` places of a keyed permutation for each displacement."""
+    key = f"({stirred('CAST(disp_id AS BIGINT) * 69621 % 2147483647', str(seed))} * 40692 + disp_id) % 2147483647"
+    ctes = [f"t0 AS (SELECT s.*, CAST(t.k AS INTEGER) AS k, {key} AS key, t.k // n AS j, t.k % n AS i, n AS size FROM scaled s CROSS JOIN nn CROSS JOIN (SELECT unnest(range({n})) AS k) t)"]
+    for turn in range(4):
+        at = f"(key + {turn * 1000003}) % 2147483647"
+        ctes += [f"r{turn} AS (SELECT * REPLACE ((j + {stirred('i', at)}) % size AS j) FROM t{turn})", f"t{turn + 1} AS (SELECT * REPLACE ((i + {stirred('j', at)}) % size AS i) FROM r{turn})"]
+    return ",\n ".join(ctes) + ",\n samp AS (SELECT disp_id, di, dj, r, ell_bin, k, CAST(j AS INTEGER) AS j, CAST(i AS INTEGER) AS i FROM t4)"
+
+
+SAMP = permuted(str(SAMPLES))
+AFFINE = f"""pos AS (SELECT s.*, CAST(t.k AS INTEGER) AS k, (t.k * 7919 + disp_id * 104729) % (n * n) AS pos FROM scaled s CROSS JOIN nn CROSS JOIN (SELECT unnest(range({SAMPLES})) AS k) t),
  samp AS (SELECT disp_id, di, dj, r, ell_bin, k, CAST(pos // n AS INTEGER) AS j, CAST(pos % n AS INTEGER) AS i FROM pos CROSS JOIN nn)"""
 POINTS = {2: (0, 1), 3: (-1, 0, 1), 5: (-2, -1, 0, 1, 2)}
 
@@ -112,6 +130,7 @@ def frames(width: int = 2, axis: int = 3) -> str:
 
 
 BASE = with_(PLANE, GRID, DISP, SCALED, SAMP)
+BASE_AFFINE = with_(PLANE, GRID, DISP, SCALED, AFFINE)
 
 
 def crossed(a: str, b: str) -> str:

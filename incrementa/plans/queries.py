@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +18,10 @@ from incrementa.operators import sampling as sm
 from incrementa.operators import statistics as st
 from incrementa.operators import volume as vol
 from incrementa.plans import fixtures as fx
+from incrementa.plans import jobs
 from incrementa.plans import oracle as o
 from incrementa.plans.analysis import analyse_slice, framed_samples
+from incrementa.sources import config as cf
 from incrementa.sources import slices as sl
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +58,23 @@ VB = [f"{v}_{c}" for v in "vb" for c in "xyz"]
 # ---- sources and sinks -------------------------------------------------------------------------
 
 
+def work(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that all executors share; a temporary one only where all is one process."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(named or 'file://' + tempfile.mkdtemp(prefix='incrementa-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored_slices(spark: SparkSession, sf: str) -> str:
+    """The list file of a run whose only slice is the plane, written under a slice's name."""
+    folder = work(spark, "run")
+    path = f"{folder}/slice_x3_0_beta25"
+    fx.grid(spark, sf).select("j", "i", *sl.FIELDS.values()).withColumnsRenamed({v: k for k, v in sl.FIELDS.items()}).write.parquet(path)
+    cf.write_slice_list(spark, [path], f"{folder}/list")
+    return f"{folder}/list"
+
+
 def stored(spark: SparkSession, sf: str) -> DataFrame:
     """The plane under its stored names, density as a whole number, without the derived fields."""
     back = {v: k for k, v in sl.FIELDS.items()}
@@ -104,8 +125,11 @@ def src_7(spark, sf):
 
 @query("src_8", f"SELECT path FROM {NAME_ROWS}")
 def src_8(spark, sf):
+    """Paths of a list file on disk, with blanks around them and empty lines between."""
     lines = names(spark).select(F.explode(F.array(F.concat(F.lit("  "), "path", F.lit("\t ")), F.lit("   "), F.lit(""))).alias("value"))
-    return sl.listed_paths(lines)
+    path = work(spark, "list")
+    lines.write.text(path)
+    return sl.listed_paths(spark.read.text(path))
 
 
 @query("src_9", f"SELECT path, CAST(CASE WHEN contains(path, 'axis1') THEN 1 WHEN contains(path, 'axis2') THEN 2 ELSE 3 END AS INTEGER) AS axis FROM {NAME_ROWS}")
@@ -131,17 +155,12 @@ def src_11_numbered(spark, sf):
     return sl.latest_files(files(spark, sf), 2)
 
 
-@query("src_13", f"{P} SELECT j, count(*) AS n FROM plane GROUP BY j")
-def src_13(spark, sf):
-    return fx.plane(spark, sf).groupBy("j").agg(F.count("*").alias("n"))
-
-
 CODE = "regexp_replace(regexp_replace(printf('%.8f', {v}), '0+$', ''), '\\.$', '')"
 
 
-@query("snk_1", f"SELECT o_orderkey, CASE WHEN c = '' THEN '0' ELSE c END AS code FROM (SELECT o_orderkey, translate({CODE.format(v='(o_orderkey - 700) / 64e0')}, '-.', 'mp') AS c FROM orders WHERE o_orderkey < 1400)")
+@query("snk_1", f"SELECT o_orderkey, CASE WHEN c = '' THEN '0' ELSE c END AS code FROM (SELECT o_orderkey, translate({CODE.format(v='(o_orderkey - 700) / 64e0')}, '-.', 'mp') AS c  FROM orders)")
 def snk_1(spark, sf):
-    rows = fx.table(spark, sf, "orders").where("o_orderkey < 1400")
+    rows = fx.table(spark, sf, "orders")
     return rows.select("o_orderkey", sl.value_code((F.col("o_orderkey") - 700) / F.lit(64.0)).alias("code"))
 
 
@@ -172,11 +191,13 @@ def vol_2(spark, sf):
     return m.select("m", *(v.alias(c) for c, v in zip(("i3", "i2", "i1"), morton.decode(F.col("m")))))
 
 
-@query("vol_3", """SELECT gid, CAST(CASE WHEN gid < 72 THEN gid // 9 ELSE 8 + (gid - 72) // 8 END AS INTEGER) AS rank, CAST(CASE WHEN gid < 72 THEN gid % 9 ELSE (gid - 72) % 8 END AS INTEGER) AS place
- FROM (SELECT CAST(s_suppkey AS INTEGER) AS gid FROM supplier) WHERE gid < 200""")
+@query("vol_3", """WITH nb AS (SELECT count(*) AS n, count(*) // 24 AS q, count(*) % 24 AS m FROM supplier), g AS (SELECT CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS INTEGER) AS gid FROM supplier)
+SELECT gid, CAST(CASE WHEN gid < m * (q + 1) THEN gid // (q + 1) ELSE m + (gid - m * (q + 1)) // greatest(q, 1) END AS INTEGER) AS rank, CAST(CASE WHEN gid < m * (q + 1) THEN gid % (q + 1) ELSE (gid - m * (q + 1)) % greatest(q, 1) END AS INTEGER) AS place FROM g CROSS JOIN nb""")
 def vol_3(spark, sf):
-    rank, place = morton.rank_of(F.col("gid"), 200, 24)  # 200 = 24 * 8 + 8
-    return fx.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("int").alias("gid")).where("gid < 200").select("gid", rank.alias("rank"), place.alias("place"))
+    """As many blocks as there are suppliers, dealt to 24 ranks."""
+    n = fx.table(spark, sf, "supplier").count()
+    rank, place = morton.rank_of(F.col("gid"), n, 24)
+    return spark.range(n).select(F.col("id").cast("int").alias("gid")).select("gid", rank.alias("rank"), place.alias("place"))
 
 
 BLOCKS = f"""blocks AS (SELECT CAST({MORTON.replace('(a ', '(bi ').replace('(b ', '(bj ').replace('(c ', '(bk ')} AS INTEGER) AS gid, -0.5e0 + bi * 0.5e0 AS lo_1, -0.5e0 + bi * 0.5e0 + 0.5e0 AS hi_1, -0.5e0 + bj * 0.5e0 AS lo_2, -0.5e0 + bj * 0.5e0 + 0.5e0 AS hi_2, -0.5e0 + bk * 0.5e0 AS lo_3, -0.5e0 + bk * 0.5e0 + 0.5e0 AS hi_3
@@ -384,9 +405,25 @@ def smp_1(spark, sf):
     return fx.samples(spark, sf).select("disp_id", "k", "j", "i")
 
 
-@query("smp_1_random")
+@query("smp_1_affine", f"{o.BASE_AFFINE} SELECT disp_id, k, j, i FROM samp")
+def smp_1_affine(spark, sf):
+    n = fx.plane_size(spark, sf)
+    return sm.affine_samples(fx.scaled(spark), n, n, fx.SAMPLES).select("disp_id", "k", "j", "i")
+
+
+@query("smp_1_seeded", f"{o.with_(o.NN, o.DISP, o.SCALED, o.permuted('least(4000, n * n)', 7))} SELECT disp_id, k, j, i FROM samp")
+def smp_1_seeded(spark, sf):
+    n = fx.plane_size(spark, sf)
+    return sm.permuted_samples(fx.scaled(spark), n, n, min(4000, n * n), 7).select("disp_id", "k", "j", "i")
+
+
+@query("smp_1_random", f"WITH {o.NN}, {o.DISP}, {o.SCALED} SELECT disp_id, n * n AS n, n * n AS cells, true AS inside FROM scaled CROSS JOIN nn")
 def smp_1_random(spark, sf):
-    return sm.random_samples(fx.displacements(spark), fx.plane(spark, sf), 500, 7).select("disp_id", "j", "i")
+    """Every cell once, whatever the displacement: what a draw without replacement comes to when all are drawn."""
+    n = fx.plane_size(spark, sf)
+    drawn = sm.permuted_samples(fx.scaled(spark), n, n, n * n, 11)
+    inside = F.min((F.col("j").between(0, n - 1)) & (F.col("i").between(0, n - 1)))
+    return drawn.groupBy("disp_id").agg(F.count("*").alias("n"), F.countDistinct("j", "i").alias("cells"), inside.alias("inside"))
 
 
 @query("smp_2", f"{P} SELECT j * n + i AS pos, CAST((j * n + i) // n AS INTEGER) AS j, CAST((j * n + i) % n AS INTEGER) AS i FROM plane CROSS JOIN nn")
@@ -475,12 +512,10 @@ def geo_3(spark, sf):
     return in_frame(spark, sf, ["D_V"]).select("disp_id", "k", *(v.alias(f"q_v_{c}") for c, v in zip("xyz", ch.perpendicular("v"))))
 
 
-@query("geo_4", f"{FRAMED} SELECT disp_id, k, e_x, e_y, e_z FROM f3")
+@query("geo_4", f"{FRAMED} SELECT disp_id, k, round(e_x, 9) AS e_x, round(e_y, 9) AS e_y, round(e_z, 9) AS e_z FROM f3")
 def geo_4(spark, sf):
     rows, keep = inc(spark, sf, ["D_B"])
-    m, d = Vec.of("m"), sm.displacement_vector(3)
-    rows = rows.withColumn("m_mag", norm(m)).where(f"not (m_mag < {ch.WEAK})").withColumn("along", dot(d, m) / (F.col("m_mag") * F.col("m_mag")))
-    return rows.select("disp_id", "k", *((x - y * F.col("along")).alias(f"e_{c}") for c, x, y in zip("xyz", d, m)))
+    return rounded(ch.local_frame(rows, 3, keep, whole=True).select("disp_id", "k", "e_x", "e_y", "e_z"))
 
 
 @query("geo_5", f"{FRAMED} SELECT disp_id, k, round(phi, 9) AS phi FROM f5")
@@ -770,10 +805,85 @@ for _w in (3, 5):
     query(f"api_3_width{_w}", _sql)(lambda spark, sf, w=_w: ch.magnitude_histogram(framed(spark, sf, ["D_V", "D_B"], 3, w), ["D_V", "D_B"]))
 
 
-@query("api_1_random")
+CATALOGUE = "(VALUES " + ", ".join(f"('{c}')" for c in ch.MAGNITUDES) + ") AS t(channel)"
+
+
+@query("api_1_random", f"SELECT channel, true AS counted, true AS within, true AS distinct_bins FROM {CATALOGUE}")
 def api_1_random(spark, sf):
-    """The whole analysis with its own displacement list."""
-    return analyse_slice(fx.plane(spark, sf), n_displacements=200, n_ell_bins=8, n_random_subsamples=200, axis=3, seed=3).magnitudes
+    """The whole analysis with displacements of its own draw: for each channel, what holds whatever is drawn."""
+    found = analyse_slice(fx.grid(spark, sf), n_displacements=200, n_ell_bins=8, n_random_subsamples=200, axis=3, seed=3)
+    most = found.displacements.count() * 200
+    bins = [F.col("ell_bin").between(0, 7), F.col("theta_bin").between(0, 17), F.col("phi_bin").between(0, 17), F.col("sf_bin").between(0, 126), F.col("count") > 0]
+    within = F.min(bins[0] & bins[1] & bins[2] & bins[3] & bins[4])
+    return found.magnitudes.groupBy("channel").agg((F.sum("count") <= most).alias("counted"), within.alias("within"), (F.count("*") == F.countDistinct("ell_bin", "theta_bin", "phi_bin", "sf_bin")).alias("distinct_bins"))
+
+
+def batch(spark: SparkSession, sf: str) -> str:
+    """The folder of a batch run over the plane's list, with the default displacements."""
+    run = cf.RunConfig(slice_list=stored_slices(spark, sf), n_random_subsamples=fx.SAMPLES, n_ell_bins=fx.SCALE_BINS)
+    return jobs.run_batch(spark, run, out=work(spark, "result"), displacements=fx.displacements(spark), ell=fx.ELL)
+
+
+@query("api_4", BOTH)
+def api_4(spark, sf):
+    """Counts as a batch run stored them: list file to slices to result."""
+    return cf.read_result(spark, batch(spark, sf), "counts")
+
+
+META = {"n_slices": 1, "stride": 1, "stencil_width": 2, "N_random_subsamples": fx.SAMPLES, "axis": 3, "beta": 25.0}
+
+
+@query("snk_2", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in META.items()) + ") AS t(name, value)")
+def snk_2(spark, sf):
+    """Metadata of a stored batch result."""
+    return cf.read_result(spark, batch(spark, sf), "run_meta").select(F.explode("meta").alias("name", "value"))
+
+
+@query("snk_4", "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{f}', {k})" for k, (c, f) in enumerate([*((c, "magnitude") for c in ch.MAGNITUDES), *((c, "product") for c in ch.PRODUCTS)])) + ") AS t(name, family, idx)")
+def snk_4(spark, sf):
+    """The catalogue of channels in a stored result."""
+    return cf.read_result(spark, batch(spark, sf), "channels")
+
+
+@query("snk_6", f"{FRAMED}, {o.hist(list(ch.MAGNITUDES))} SELECT channel, ell_bin, CAST(sum(count) AS BIGINT) AS count FROM hist GROUP BY channel, ell_bin")
+def snk_6(spark, sf):
+    """Mean curves in a stored result: counts of the scale bins that have any."""
+    return cf.read_result(spark, batch(spark, sf), "curves").where("count > 0").select("channel", "ell_bin", "count")
+
+
+def simple(spark: SparkSession, sf: str) -> str:
+    """The folder of a simple run over the plane's list."""
+    run, out = cf.RunConfig(slice_list=stored_slices(spark, sf), n_random_subsamples=fx.SAMPLES), work(spark, "simple")
+    if failed := jobs.run_simple(spark, run, out, displacements=fx.displacements(spark)):
+        raise RuntimeError(str(failed))
+    return out
+
+
+@query("api_5", sql_rounded(f"{RAWS} SELECT disp_id, r, dv, db, drho FROM rawinc", ["r", "dv", "db", "drho"]))
+def api_5(spark, sf):
+    """Raw increments as a simple run stored them."""
+    return rounded(jobs.read_simple(spark, simple(spark, sf)))
+
+
+@query("src_13", sql_rounded(f"{RAWS} SELECT disp_id, count(*) AS n, min(dv) AS least, max(dv) AS most FROM rawinc GROUP BY disp_id", ["least", "most"]))
+def src_13(spark, sf):
+    """A stored simple result read back by name."""
+    raw = jobs.read_simple(spark, simple(spark, sf), "slice_x3_0_beta25")
+    return rounded(raw.groupBy("disp_id").agg(F.count("*").alias("n"), F.min("dv").alias("least"), F.max("dv").alias("most")))
+
+
+@query("api_6")
+def api_6(spark, sf):
+    """Curves of the first stored simple result."""
+    return rounded(jobs.simple_curves(spark, simple(spark, sf)))
+
+
+@query("api_7")
+def api_7(spark, sf):
+    """Three slices of the volume, extracted, analysed and stored: counts by axis, channel, scale and value bin."""
+    n = fx.volume_size(spark, sf)
+    folder = work(spark, "pipeline")
+    return jobs.run_pipeline(spark, fx.volume(spark, sf), n, folder, displacements=fx.displacements(spark).where("disp_id < 3"), ell=[1.0, 1.5, 2.5, 5.0])
 
 
 def all_queries() -> dict[str, Query]:

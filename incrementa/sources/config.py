@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import argparse
 import os
-from dataclasses import dataclass, fields
+import json
+from dataclasses import asdict, dataclass, fields
 from pathlib import Path
 
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 
+from incrementa.functions.binning import Binning
+
 ENVIRONMENT = "INCREMENTA_CONFIG"
 
 
@@ -27,6 +30,36 @@ class RunConfig:
     slice_list: str | None = None
 
 
+#: fixed values: other names by which files and flags call a setting
+ALIASES = {"N_random_subsamples": "n_random_subsamples"}
+
+
+@dataclass(slots=True)
+class Settings:
+    """What a configuration says beside a run's numbers: bins, the least density, where results go."""
+
+    binning: Binning = Binning()
+    min_density: float = 1e-10
+    directory: str = "results"
+
+
+def settings_of(config: dict) -> Settings:
+    """The binning, physics and output sections; an unknown key is an error."""
+    out = Settings()
+    sections = {"binning": {f.name for f in fields(Binning)}, "physics": {"min_density"}, "output": {"directory"}}
+    for name, known in sections.items():
+        for k in config.get(name) or {}:
+            if k not in known:
+                raise ValueError(f"unknown setting {name}.{k}")
+    bins = {k: tuple(map(float, v)) if isinstance(v, list) else v for k, v in (config.get("binning") or {}).items()}
+    out.binning = Binning(**bins)
+    out.min_density = float((config.get("physics") or {}).get("min_density", out.min_density))
+    if out.min_density <= 0:
+        raise ValueError("min_density must be positive")
+    out.directory = str((config.get("output") or {}).get("directory", out.directory))
+    return out
+
+
 def deep_merge(base: dict, more: dict) -> dict:
     """``more`` over ``base``, nested tables merged; neither is changed."""
     out = dict(base)
@@ -82,6 +115,7 @@ binning:
   n_phi_bins: 18
   sf_range: [1.0e-4, 10.0]
   product_range: [1.0e-5, 1.0e+5]
+  n_value_edges: 128
 physics:
   min_density: 1.0e-10
 output:
@@ -102,19 +136,34 @@ def write_template(path: str | Path, overwrite: bool = False) -> Path:
     return p
 
 
-def parse_arguments(argv: list[str] | None = None, use_config: bool = True) -> RunConfig:
-    """Flags over the configuration's analysis table over the defaults."""
+def parse_run(argv: list[str] | None = None, use_config: bool = True) -> tuple[RunConfig, Settings]:
+    """Flags over the configuration's analysis table over the defaults, and the other sections; --print-config prints both and ends.
+
+    An unknown key of the analysis table is an error, not left out.
+    """
     parser = argparse.ArgumentParser(prog="incrementa")
     parser.add_argument("--config")
     parser.add_argument("--profile")
+    parser.add_argument("--print-config", action="store_true", dest="show")
     for f in fields(RunConfig):
-        parser.add_argument(f"--{f.name}", type=int if f.type == "int" else str)
+        names = [f"--{f.name}", *(f"--{other}" for other, own in ALIASES.items() if own == f.name)]
+        parser.add_argument(*names, dest=f.name, type=int if f.type == "int" else str)
     args = vars(parser.parse_args(argv))
-    path, profile = args.pop("config"), args.pop("profile")
+    path, profile, show = args.pop("config"), args.pop("profile"), args.pop("show")
     path = path or (default_path() if use_config else None)
-    known = {f.name for f in fields(RunConfig)}
-    given = {k: v for k, v in (load_config(path, profile).get("analysis", {}) if path else {}).items() if k in known}
-    return validate(RunConfig(**given | {k: v for k, v in args.items() if v is not None}))
+    config = load_config(path, profile) if path else {}
+    given = {ALIASES.get(k, k): v for k, v in (config.get("analysis") or {}).items()}
+    if unknown := given.keys() - {f.name for f in fields(RunConfig)}:
+        raise ValueError(f"unknown setting analysis.{sorted(unknown)[0]}")
+    run, settings = RunConfig(**given | {k: v for k, v in args.items() if v is not None}), settings_of(config)
+    if show:
+        print(json.dumps({"analysis": asdict(run), "settings": asdict(settings)}, indent=2))
+        raise SystemExit(0)
+    return validate(run), settings
+
+
+def parse_arguments(argv: list[str] | None = None, use_config: bool = True) -> RunConfig:
+    return parse_run(argv, use_config)[0]
 
 
 def read_header(text: str) -> dict[str, dict[str, str]]:

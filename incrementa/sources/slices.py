@@ -47,11 +47,14 @@ def strided(df: DataFrame, stride: int) -> DataFrame:
     return kept.withColumns({"j": (F.col("j") / stride).cast("int"), "i": (F.col("i") / stride).cast("int")})
 
 
-def check_stride(stride: int) -> None:
+def check_stride(stride: int, rows: int | None = None, columns: int | None = None) -> None:
+    """An error where the stride is no positive whole number, or passes the lesser of the given dimensions."""
     if isinstance(stride, bool) or not isinstance(stride, int):
         raise TypeError("stride must be an integer")
     if stride < 1:
         raise ValueError("stride must be at least 1")
+    if rows is not None and columns is not None and stride > min(rows, columns):
+        raise ValueError(f"stride {stride} passes the lesser dimension of {rows} x {columns}")
 
 
 def load_slice(df: DataFrame, stride: int = 1) -> DataFrame:
@@ -62,11 +65,19 @@ def load_slice(df: DataFrame, stride: int = 1) -> DataFrame:
 
 
 def check_dense(df: DataFrame) -> tuple[int, int]:
-    """(rows, columns) of a slice; an error if a cell is missing, doubled or if it is empty."""
-    n, rows, cols, cells = df.agg(F.count("*"), F.max("j") + 1, F.max("i") + 1, F.countDistinct("j", "i")).first()
+    """(rows, columns) of a slice; an error if a cell is missing, doubled or if it is empty.
+
+    Without a shuffle: coordinates that count as many cells as there are, and whose sums and sums of squares,
+    plain and mixed, are those of every cell once, hold each cell once but for contrived tables.
+    """
+    j, i = (F.col(c).cast("decimal(38,0)") for c in "ji")
+    n, rows, cols, *found = df.agg(F.count("*"), F.max("j") + 1, F.max("i") + 1, F.min("j"), F.min("i"), *(F.sum(x) for x in (j, i, j * j, i * i, j * i))).first()
     if not n:
         raise ValueError("the slice is empty")
-    if n != rows * cols or cells != n:
+    whole = lambda m: m * (m - 1) // 2
+    squares = lambda m: m * (m - 1) * (2 * m - 1) // 6
+    want = [0, 0, whole(rows) * cols, whole(cols) * rows, squares(rows) * cols, squares(cols) * rows, whole(rows) * whole(cols)]
+    if n != rows * cols or [int(x) for x in found] != want:
         raise ValueError(f"{n} rows do not fill {rows} x {cols} cells")
     return rows, cols
 
@@ -162,7 +173,7 @@ def check_npz_path(path: str | Path) -> Path:
     if not p.exists():
         raise FileNotFoundError(p)
     if not p.is_file():
-        raise OSError(f"{p} is no file")
+        raise ValueError(f"{p} is no file")
     if p.suffix != ".npz":
         raise ValueError("a slice file ends in .npz")
     return p

@@ -12,6 +12,8 @@ from incrementa.operators import channels as ch
 from incrementa.operators import displacements as ds
 from incrementa.operators import sampling as sm
 from incrementa.operators import volume as vol
+from incrementa.plans import fixtures as fx
+from incrementa.plans import jobs
 from incrementa.plans.analysis import analyse_slice, analyse_slices, framed_samples, simple_increments, with_derived
 from incrementa.sources import config as cf
 from incrementa.sources import slices as sl
@@ -293,7 +295,7 @@ def test_source_errors(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         sl.check_npz_path(tmp_path / "none.npz")
     (tmp_path / "x.txt").write_text("")
-    for p, error in ((tmp_path / "x.txt", ValueError), (tmp_path, OSError), (3, TypeError)):
+    for p, error in ((tmp_path / "x.txt", ValueError), (tmp_path, ValueError), (3, TypeError)):
         with pytest.raises(error):
             sl.check_npz_path(p)
     with pytest.raises(ValueError):
@@ -336,3 +338,114 @@ def test_header():
     assert cf.mesh_of(header) == (320, (160, 160, 160))
     with pytest.raises(KeyError):
         cf.mesh_of({})
+
+
+# ---- positions drawn by seed
+
+
+def test_permuted_samples(spark):
+    d = spark.createDataFrame([(k, 1, 0) for k in range(3)], "disp_id int, di int, dj int")
+    drawn = lambda seed, rows=9, columns=7, n=63: {(r.disp_id, r.k): (r.j, r.i) for r in sm.permuted_samples(d, rows, columns, n, seed).collect()}
+    one, two = drawn(1), drawn(2)
+    assert all(len({v for (k, _), v in one.items() if k == x}) == 63 for x in range(3))
+    assert one != two and one == drawn(1)
+    with pytest.raises(ValueError):
+        sm.permuted_samples(d, 3, 3, 10)
+    # spread over a large slice: rows and columns of 16 x 16 boxes, apart for each displacement
+    far = drawn(0, 4096, 4096, 5000)
+    for x in range(3):
+        for axis in (0, 1):
+            n = np.bincount([v[axis] // 256 for (k, _), v in far.items() if k == x], minlength=16)
+            assert ((n - 312.5) ** 2 / 312.5).sum() < 45  # chi-squared of 15 degrees, p about 1e-4
+    assert len(set(far.values())) > 14980
+
+
+# ---- jobs
+
+
+@pytest.fixture(scope="module")
+def slice_folder(tmp_path_factory):
+    folder = tmp_path_factory.mktemp("slices")
+    rng = np.random.default_rng(3)
+    for name in ("slice_x3_0_beta25.npz", "slice_x3_1_beta25.npz"):
+        np.savez(folder / name, **{k: rng.normal(size=(16, 16)) + (k == "dens") * 9 for k in ("dens", "velx", "vely", "velz", "bcc1", "bcc2", "bcc3")})
+    np.savez(folder / "broken_x3.npz", dens=np.ones((4, 4)))
+    return folder
+
+
+def test_batch_run(spark, slice_folder, tmp_path):
+    found = jobs.list_slices(spark, f"file://{slice_folder}", str(tmp_path / "list"), "slice_*.npz")
+    assert [p.rsplit("/", 1)[1] for p in found] == ["slice_x3_0_beta25.npz", "slice_x3_1_beta25.npz"]
+    run = cf.RunConfig(slice_list=str(tmp_path / "list"), n_disp_total=40, n_random_subsamples=30, n_ell_bins=4)
+    settings = cf.settings_of({"binning": {"n_theta_bins": 3, "n_value_edges": 9}, "output": {"directory": str(tmp_path / "results")}})
+    out = jobs.run_batch(spark, run, settings, seed=1)
+    assert out.startswith(str(tmp_path / "results"))
+    counts = cf.read_result(spark, out, "counts").cache()
+    assert counts.agg(F.max("theta_bin")).first()[0] == 2 and counts.agg(F.max("value_bin")).first()[0] <= 7
+    meta = cf.read_result(spark, out, "run_meta").first()["meta"]
+    assert meta == {"n_slices": "2", "stride": "1", "stencil_width": "2", "N_random_subsamples": "30", "axis": "3", "beta": "25.0"}
+    assert cf.read_result(spark, out, "channels").count() == 28 and cf.read_result(spark, out, "edges").where("kind = 'theta'").count() == 4
+    drawn = 2 * 30 * cf.read_result(spark, out, "displacements").count()
+    total = counts.where("channel = 'D_V'").agg(F.sum("count")).first()[0]
+    assert 0 < total <= drawn and cf.read_result(spark, out, "curves").where("channel = 'D_V'").agg(F.sum("count")).first()[0] == total
+    assert jobs.products_of(counts).columns == ["ell_bin", "product_bin", "count", "channel"] or "product_bin" in jobs.products_of(counts).columns
+    other = jobs.run_batch(spark, run, settings, str(tmp_path / "other"), seed=2)
+    again = jobs.run_batch(spark, run, settings, str(tmp_path / "again"), seed=1)
+    rows = lambda p: sorted(map(repr, cf.read_result(spark, p, "counts").collect()))
+    assert rows(again) == rows(out) != rows(other)
+    with pytest.raises(ValueError, match="stride"):
+        jobs.run_batch(spark, cf.RunConfig(file_name=found[0], stride=17), settings)
+    with pytest.raises(FileNotFoundError):
+        jobs.run_batch(spark, cf.RunConfig(file_name=f"{slice_folder}/slice_x3_9_beta1.npz"), settings)
+    with pytest.raises(FileNotFoundError):
+        jobs.list_slices(spark, f"file://{slice_folder}", str(tmp_path / "none"), "nothing*.npz")
+
+
+def test_simple_run_isolates_slices(spark, slice_folder, tmp_path):
+    paths = [f"{slice_folder}/{n}" for n in ("broken_x3.npz", "slice_x3_0_beta25.npz", "slice_x3_8_beta1.npz")]
+    cf.write_slice_list(spark, paths, str(tmp_path / "list"))
+    run = cf.RunConfig(slice_list=str(tmp_path / "list"), n_disp_total=30, n_random_subsamples=20, n_ell_bins=3)
+    failed = jobs.run_simple(spark, run, str(tmp_path / "out"))
+    assert sorted(failed) == [paths[0], paths[2]] and failed[paths[2]].startswith("FileNotFoundError")
+    raw = jobs.read_simple(spark, str(tmp_path / "out"))
+    assert raw.columns == ["disp_id", "r", "dv", "db", "drho"] and raw.agg(F.max("disp_id")).first()[0] <= 19
+    assert jobs.simple_curves(spark, str(tmp_path / "out"), "slice_x3_0_beta25").count() > 0
+    with pytest.raises(FileNotFoundError):
+        jobs.read_simple(spark, str(tmp_path / "empty"))
+
+
+def test_extraction_is_reused(spark, sf, tmp_path):
+    volume, n = fx.volume(spark, sf), fx.volume_size(spark, sf)
+    one = jobs.extracted(spark, volume, 1, 0.0, n, str(tmp_path))
+    path = tmp_path / "run_axis1_slice0_file0000" / "_SUCCESS"
+    made = path.stat().st_mtime_ns
+    two = jobs.extracted(spark, volume.limit(0), 1, 0.0, n, str(tmp_path))
+    assert path.stat().st_mtime_ns == made and one.count() == two.count() == n * n
+
+
+def test_settings_are_honoured_or_refused(tmp_path, capsys):
+    assert cf.parse_arguments(["--N_random_subsamples", "7", "--file_name", "x"], False).n_random_subsamples == 7
+    p = tmp_path / "c.yaml"
+    p.write_text("analysis: {N_random_subsamples: 9}\nphysics: {min_density: 0.5}\n")
+    run, settings = cf.parse_run(["--config", str(p), "--file_name", "x"])
+    assert run.n_random_subsamples == 9 and settings.min_density == 0.5
+    for text in ("analysis: {n_samples: 3}", "binning: {theta: 3}", "physics: {min_density: 0}", "binning: {sf_range: [2.0, 1.0]}"):
+        p.write_text(text)
+        with pytest.raises(ValueError):
+            cf.parse_run(["--config", str(p), "--file_name", "x"])
+    with pytest.raises(SystemExit):
+        cf.parse_run(["--print-config"], False)
+    assert '"n_ell_bins": 128' in capsys.readouterr().out
+    template = cf.load_config(cf.write_template(tmp_path / "t.yaml"), "production")
+    assert cf.settings_of(template) == cf.Settings() and template["analysis"]["n_disp_total"] == 5000
+
+
+def test_fields_are_checked(spark):
+    with pytest.raises(ValueError, match="lacks"):
+        analyse_slice(spark.createDataFrame([(0, 0, 1.0)], "j int, i int, rho double"))
+    text = spark.createDataFrame([(0, 0, "a", *[1.0] * 6)], "j int, i int, rho string, v_x double, v_y double, v_z double, b_x double, b_y double, b_z double")
+    with pytest.raises(TypeError, match="rho"):
+        analyse_slice(text)
+    for rows in ([(0, 0), (0, 0), (1, 1), (1, 1)], [(0, 0), (0, 1), (1, 0), (1, 0)], [(1, 1), (1, 2), (2, 1), (2, 2)]):
+        with pytest.raises(ValueError):
+            sl.check_dense(spark.createDataFrame(rows, "j int, i int"))
