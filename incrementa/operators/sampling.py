@@ -75,6 +75,8 @@ def permuted_samples(disp: DataFrame, rows: int, columns: int, n: int, seed: int
 
     # places are made inside the generator, a bounded array at a time, so that no filter pushed down makes them twice
     blocks = disp.select("*", key.alias("__key"), F.explode(F.sequence(F.lit(0), F.lit((n - 1) // SAMPLE_BLOCK))).alias("__block"))
+    # the list comes in one partition; its rows are few, what is made of them is not
+    blocks = blocks.repartition(int(disp.sparkSession.conf.get("spark.sql.shuffle.partitions")), "disp_id", "__block")
     ks = F.sequence(F.col("__block") * SAMPLE_BLOCK, F.least(F.col("__block") * SAMPLE_BLOCK + (SAMPLE_BLOCK - 1), F.lit(n - 1)))
     return blocks.select(*disp.columns, F.explode(F.transform(ks.cast("array<long>"), place)).alias("__at")).select(*disp.columns, "__at.k", "__at.j", "__at.i")
 
