@@ -27,6 +27,7 @@ import time
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +40,8 @@ FEW = 4096
 _T = np.random.default_rng(91).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _C = (np.random.default_rng(92).integers(0, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)).tolist()
 _ONE = np.uint64(1)
-#: a run on its way to a bucket: doc_id, document in its shard, place in it, bytes
-HEAD = np.dtype([("who", "<i8"), ("doc", "<i4"), ("place", "<i4"), ("size", "<i4")])
+#: a shard's message to a bucket, see ``message``
+SENT = ["bucket", "shard", "x0", "x1", "x2", "x3", "x4", "x5"]
 
 
 def gram_hashes(body: np.ndarray) -> np.ndarray:
@@ -243,10 +244,9 @@ def candidates(docs: pa.Table, keys: pa.Table, bits: int) -> pa.Table:
     """A shard's windows with a common anchor, by bucket, as runs of bytes and the windows' suffix order.
 
     The shard's suffix array over them tells equal ones; those that a smaller doc_id of the shard holds too are
-    lost here, and set apart in bucket -1.
+    lost here, and told of in a bucket of the shard's own, below zero.
     """
-    names = ["bucket", "shard", "x0", "x1", "x2"]
-    none = pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), *[pa.binary()] * 3)], names=names)
+    none = pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), *[pa.binary()] * 6)], names=SENT)
     if not docs.num_rows or not keys.num_rows:
         return none
     shard = docs.column("shard")[0].as_py()
@@ -288,8 +288,7 @@ def candidates(docs: pa.Table, keys: pa.Table, bits: int) -> pa.Table:
     bucket = ((v >> np.uint64(64 - bits)) if bits else v * np.uint64(0)).astype(wide)
     by = np.argsort(bucket[run[a]], kind="stable")
     a, b = a[by], b[by]
-    head = np.zeros(len(a), HEAD)
-    head["who"], head["doc"], head["place"], head["size"] = who[a], doc[run[a]], start[a] - off[doc[run[a]]], b - a + LENGTH
+    heads = (who[a], doc[run[a]], start[a] - off[doc[run[a]]], b - a + LENGTH)
     number = np.zeros(len(start), np.int64)
     number[spread(a, b - a + 1)] = np.arange(len(lead))
     order = order[~lost[order]]
@@ -300,15 +299,12 @@ def candidates(docs: pa.Table, keys: pa.Table, bits: int) -> pa.Table:
     wcut, wend = bounds(bucket[run[order]].astype(np.int64))
     froms, tos = start[a].tolist(), (start[b] + LENGTH).tolist()
     rows = [
-        (int(bucket[run[a[i]]]), head[i:j].tobytes(), b"".join([raw[x:y] for x, y in zip(froms[i:j], tos[i:j])]), packed(ordered[p:q] - p))
+        (int(bucket[run[a[i]]]), *message(*(x[i:j] for x in heads), b"".join([raw[x:y] for x, y in zip(froms[i:j], tos[i:j])]), ordered[p:q] - p))
         for i, j, p, q in zip(cut, end, wcut, wend)
     ]
     if len(spans):
-        rows.append((-1, b"", b"", spans.tobytes()))
-    return pa.table(
-        [pa.array([r[0] for r in rows], pa.int64()), pa.array([shard] * len(rows), pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))],
-        names=names,
-    )
+        rows.append((-1 - shard, spans.tobytes(), *[b""] * 5))
+    return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([shard] * len(rows), pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 7))], names=SENT)
 
 
 def level_ends(level: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -318,12 +314,19 @@ def level_ends(level: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def packed(numbers: np.ndarray) -> bytes:
-    """Window numbers in two bytes each where there are few enough, else in four."""
-    return numbers.astype("<u2" if len(numbers) <= 1 << 16 else "<u4").tobytes()
+    """Numbers byte by byte, all lowest bytes first, compressed: what is small or alike takes little."""
+    return zstandard.compress(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes(), 1)
+
+
+def unpacked(raw: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel().astype(np.int64)
 
 
-def unpacked(raw: bytes, count: int) -> np.ndarray:
-    return np.frombuffer(raw, "<u2" if count <= 1 << 16 else "<u4").astype(np.int64)
+def message(who: np.ndarray, doc: np.ndarray, place: np.ndarray, size: np.ndarray, text: bytes, order: np.ndarray) -> tuple[bytes, ...]:
+    """Runs of one shard for one bucket: doc_id (as steps), document in the shard, place in it and bytes of each; text; the windows' suffix order."""
+    heads = [packed(np.diff(x, prepend=0).astype(k)) for x, k in ((who, "<i8"), (doc, "<i4"))] + [packed(x.astype("<i4")) for x in (place, size)]
+    return (*heads, zstandard.compress(text, 1), packed(order.astype("<u4")))
 
 
 def merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -381,23 +384,26 @@ def least_owners(lists: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 def lost_in_bucket(table: pa.Table) -> pa.Table:
     """Spans that documents of each shard lose, judged over all windows of this bucket."""
     names, kinds = ["shard", "spans"], (pa.int64(), pa.binary())
-    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("shard", "x0", "x1", "x2"))))
+    if (own := table.column("bucket")[0].as_py()) < 0:
+        return pa.table([pa.array([-1 - own], kinds[0]), table.column("x0").combine_chunks()], names=names)
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in SENT[1:])))
     lists, told = [], []
-    for shard, heads, raw, ordered in rows:
-        head = np.frombuffer(heads, HEAD)
-        size = head["size"].astype(np.int64)
+    for shard, *heads, text, ordered in rows:
+        who, doc, place, size = (unpacked(x, k) for x, k in zip(heads, ("<i8", "<i4", "<i4", "<i4")))
+        who, doc = np.cumsum(who), np.cumsum(doc)
+        raw = np.frombuffer(zstandard.decompress(text), np.uint8)
         count = size - LENGTH + 1
         start = spread(np.cumsum(size) - size, count)
-        order = unpacked(ordered, len(start))
-        windows = np.lib.stride_tricks.as_strided(np.frombuffer(raw, np.uint8), (len(raw) - LENGTH + 1, LENGTH), (1, 1))
+        order = unpacked(ordered, "<u4")
+        windows = np.lib.stride_tricks.as_strided(raw, (len(raw) - LENGTH + 1, LENGTH), (1, 1))
         key = windows[start[order]].view(f"S{LENGTH}").ravel()  # both sides have LENGTH bytes, so no zero at the end is lost
-        run = np.repeat(np.arange(len(head)), count)
-        lists.append((key, head["who"].astype(np.int64)[run[order]]))
-        told.append((shard, head, run, order, count))
+        run = np.repeat(np.arange(len(size)), count)
+        lists.append((key, who[run[order]]))
+        told.append((shard, doc, place, run, order, count))
     least = least_owners(lists)
     out: list[tuple[int, bytes]] = []
     done = 0
-    for (shard, head, run, order, count), (_, who) in zip(told, lists):
+    for (shard, doc, place, run, order, count), (_, who) in zip(told, lists):
         bad = np.zeros(len(run), bool)
         bad[order] = who > least[done : done + len(order)]
         done += len(order)
@@ -407,8 +413,8 @@ def lost_in_bucket(table: pa.Table) -> pa.Table:
         gone = np.flatnonzero(bad)
         a, b = stretches(inside[gone], run[gone])
         a, b = gone[a], gone[b]
-        place = head["place"].astype(np.int64)[run[a]]
-        out.append((shard, np.stack([head["doc"].astype(np.int64)[run[a]], place + inside[a], place + inside[b] + LENGTH], 1).astype("<i4").tobytes()))
+        at = place[run[a]]
+        out.append((shard, np.stack([doc[run[a]], at + inside[a], at + inside[b] + LENGTH], 1).astype("<i4").tobytes()))
     return pa.table([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=names)
 
 
@@ -456,8 +462,8 @@ def without_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFram
     anchors = release(settle(docs.groupBy("shard").applyInArrow(lambda t: anchor_table(t, bits), wide), "anchors", "none"))
     keys = release(settle(anchors.groupBy("bucket").applyInArrow(merge_bucket, "shard long, keys binary"), "keys", "none"))
     discard(anchors)
-    found = release(settle(docs.groupBy("shard").cogroup(keys.groupBy("shard")).applyInArrow(lambda d, k: candidates(d, k, bits), wide + ", x1 binary, x2 binary"), "runs"))
-    judged = found.where("bucket >= 0").select("bucket", "shard", "x0", "x1", "x2").groupBy("bucket").applyInArrow(lost_in_bucket, "shard long, spans binary")
-    spans = release(settle(judged.unionByName(found.where("bucket < 0").select("shard", F.col("x2").alias("spans"))), "spans"))
-    discard(found)
+    sent = "bucket long, shard long, " + ", ".join(f"{x} binary" for x in SENT[2:])
+    found = docs.groupBy("shard").cogroup(keys.groupBy("shard")).applyInArrow(lambda d, k: candidates(d, k, bits), sent)
+    spans = release(settle(found.groupBy("bucket").applyInArrow(lost_in_bucket, "shard long, spans binary"), "spans"))
+    discard(keys)
     return docs.groupBy("shard").cogroup(spans.groupBy("shard")).applyInArrow(cleaned, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
