@@ -81,7 +81,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: learned scores, fingerprints and token ids are beyond SQL; tests hold every stage against a brute-force version
+#: learned scores, fingerprints and token ids are beyond SQL; tests hold the first four stages against their operators, which have tests of their own
 ORACLE_SQL = None
 
 
