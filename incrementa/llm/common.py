@@ -118,6 +118,28 @@ def heaps(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 5 <<
         yield from slices(joined[0], column, most_bytes)
 
 
+ROW = "__row"
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(``docs`` with a unique number ``__row`` of each row, whether that is its doc_id).
+
+    Where ids repeat or are missing, the number is the row's place by doc_id (null first) and text, in a settled copy.
+    """
+    number = F.col("doc_id").cast("long")
+    if docs.groupBy(number.alias("n")).count().where("n is null or count > 1").isEmpty():
+        return docs.withColumn(ROW, number), True
+    order = [number.asc_nulls_first(), F.xxhash64("text")]
+    placed = docs.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order, "text")
+    return settle(placed.withColumn(ROW, F.monotonically_increasing_id()), "rows"), False
+
+
+def placed(ranged: DataFrame) -> DataFrame:
+    """A settled copy of a range-partitioned, sorted table with ``__part`` and ``__at``, a row's place in its part."""
+    m = F.monotonically_increasing_id()
+    return settle(ranged.withColumns({"__part": F.shiftright(m, 33), "__at": m.bitwiseAND(F.lit((1 << 33) - 1))}), "placed")
+
+
 def numpy_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest reachable index of each of ``n`` nodes over undirected links (a, b)."""
     label = np.arange(n)

@@ -12,7 +12,10 @@ from incrementa.llm import pii, secrets
 from incrementa.llm.common import load
 from incrementa.llm.decontam import contamination
 from incrementa.llm.exact import exact_groups
+from incrementa.llm.importance import resample
+from incrementa.llm.minhash import Tables, minhash_groups
 from incrementa.llm.packing import pack_documents
+from incrementa.llm.prefixes import prefix_trie
 from incrementa.llm.quality import score_quality
 from incrementa.llm.repeats import without_repeats
 from incrementa.llm.simhash import exact_scheme, simhash_groups
@@ -79,6 +82,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), window=13, share=0.8)
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), buckets=10000, width=1, percent=10, least_words=20, seed=2024)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(load(spark, sf_dir, "conversations"))
+
+
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_groups(load(spark, sf_dir, "documents"), Tables(width=2, percent=80))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -108,6 +124,9 @@ def queries() -> dict[str, Query]:
         "op9_suffix_dedup": op9_suffix_dedup,
         "pipeline": pipeline,
         "op10_decontamination": op10_decontamination,
+        "op11_importance": op11_importance,
+        "op12_prefix_trie": op12_prefix_trie,
+        "op13_minhash": op13_minhash,
     }
 
 
