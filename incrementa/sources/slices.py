@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import json
+import os
 import re
 from collections.abc import Iterator
 from pathlib import Path
@@ -11,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from incrementa.sources.npz import BAND_BYTES, FORMAT, NpzSlices, opened
+
 #: fixed values: stored names and canonical ones
 FIELDS = {
     "dens": "rho", "velx": "v_x", "vely": "v_y", "velz": "v_z", "bcc1": "b_x", "bcc2": "b_y", "bcc3": "b_z",
@@ -82,6 +86,26 @@ def check_dense(df: DataFrame) -> tuple[int, int]:
     return rows, cols
 
 
+def shapes(slices: DataFrame) -> DataFrame:
+    """(slice_id, rows, columns, problem) of every slice of a table (slice_id, j, i[, error]), by one aggregate.
+
+    ``problem`` is null for a slice whose cells are there once each; see :func:`check_dense`.
+    """
+    j, i = (F.col(c).cast("decimal(38,0)") for c in "ji")
+    told = F.max("error") if "error" in slices.columns else F.lit(None).cast("string")
+    got = slices.groupBy("slice_id").agg(
+        F.count("j").alias("n"), (F.max("j") + 1).cast("long").alias("rows"), (F.max("i") + 1).cast("long").alias("columns"), F.min("j").alias("j0"), F.min("i").alias("i0"),
+        *(F.sum(x).alias(c) for c, x in {"sj": j, "si": i, "sjj": j * j, "sii": i * i, "sji": j * i}.items()), told.alias("told"),
+    )
+    m, n = (F.col(c).cast("decimal(12,0)") for c in ("rows", "columns"))
+    whole = lambda m: m * (m - 1) / 2
+    want = (F.col("n") == m * n) & (F.col("j0") == 0) & (F.col("i0") == 0)
+    want &= (F.col("sj") == whole(m) * n) & (F.col("si") == whole(n) * m) & (F.col("sji") == whole(m) * whole(n))
+    want &= (F.col("sjj") == m * (m - 1) * (2 * m - 1) / 6 * n) & (F.col("sii") == n * (n - 1) * (2 * n - 1) / 6 * m)
+    wrong = F.when(F.col("n") == 0, F.lit("the slice is empty")).when(~want, F.format_string("%d rows do not fill %d x %d cells", "n", "rows", "columns"))
+    return got.select("slice_id", "rows", "columns", F.coalesce("told", wrong).alias("problem"))
+
+
 def metadata(path: Column) -> tuple[Column, Column]:
     """(axis, beta) from a file name, null where it does not tell."""
     pattern = f"(?i){NAME}"
@@ -137,11 +161,55 @@ def latest_files(files: DataFrame, file_number: int | None = None) -> DataFrame:
     return files.withColumn("place", place).where(F.col("place") == file_number).select("rank", "path")
 
 
-def read_npz(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(slice_id, j, i, fields) of NPZ slices, read by Spark as binary files and unpacked a file at a time.
-
-    Only arrays are loaded, never pickled objects; a field absent from a file is NaN in its rows.
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package even where only the driver's path has it."""
+    root = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
+def npz_files(spark: SparkSession, paths: str | list[str]) -> list[str]:
+    """The NPZ files that paths, patterns and folders name, sorted; a name without a pattern stays even where nothing is there."""
+    out = []
+    for path in [paths] if isinstance(paths, str) else paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        found = store.globStatus(at) or ()
+        for f in found:
+            inside = store.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "*.npz")) if f.isDirectory() else [f]
+            out += [x.getPath().toString() for x in inside]
+        if not found and not re.search(r"[*?\[{]", path):
+            out.append(path)
+    return sorted(out)
+
+
+def read_npz(spark: SparkSession, paths: str | list[str], fields: list[str] | None = None, *, rows: tuple[int, int | None] = (0, None), band_bytes: int = BAND_BYTES, capture: bool = False) -> DataFrame:
+    """(slice_id, j, i, fields) of NPZ slices, in bands of rows of about ``band_bytes`` a task; only ``fields`` and ``rows`` (first, stop) are read.
+
+    Only arrays are loaded, never pickled objects; a field absent from a file is NaN in its rows. With ``capture`` a
+    file that can't be read is a row with its name and ``error``, all else null, and the column is null elsewhere. Files in
+    a store that only Spark reads come as binary files, unpacked whole.
     """
+    fields = list(FIELDS) if fields is None else fields
+    files = npz_files(spark, paths)
+    try:
+        for f in files[:1]:
+            opened(f).close()
+    except FileNotFoundError:
+        pass  # told of by the reader
+    except (OSError, pa.ArrowInvalid, NotImplementedError):
+        whole = read_npz_whole(spark, files).select("slice_id", "j", "i", *fields)
+        return whole.where(F.col("j").between(rows[0], (rows[1] or 1 << 31) - 1))
+    importable(spark)
+    spark.dataSource.register(NpzSlices)
+    schema = "slice_id string, j int, i int" + "".join(f", {c} double" for c in fields) + ", error string" * capture
+    return spark.read.format(FORMAT).schema(schema).options(paths=json.dumps(files), known=json.dumps(list(FIELDS)), rows=json.dumps(rows), band_bytes=band_bytes).load()
+
+
+def read_npz_whole(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(slice_id, j, i, fields) of NPZ slices, read by Spark as binary files and unpacked a file at a time; files under 2 GB."""
     import numpy as np
 
     schema = "slice_id string, j int, i int, " + ", ".join(f"{c} double" for c in FIELDS)
