@@ -71,8 +71,8 @@ class Binning:
         return logspace(math.log10(self.product_range[0]), math.log10(self.product_range[1]), self.n_value_edges)
 
 
-#: presets of the older variant: 500 bins
-LEGACY_VALUE, LEGACY_PRODUCT = (-6, 1, 501), (-10, 1, 501)
+#: edges up to which a bin is found by a tree of comparisons
+TREE = 40
 
 
 def centres(edges: list[float]) -> list[float]:
@@ -80,15 +80,38 @@ def centres(edges: list[float]) -> list[float]:
     return [0.5 * (a + b) for a, b in zip(edges[:-1], edges[1:])]
 
 
+def centre_of(bin_number: Column, edges: list[float]) -> Column:
+    """Centre of a bin by its number; null for -1."""
+    return F.get(F.array(*(F.lit(c) for c in centres(edges))), bin_number)
+
+
 def _literal(edges: list[float]) -> Column:
     return F.array(*(F.lit(float(e)) for e in edges))
 
 
 def bin_index(value: Column, edges: list[float]) -> Column:
-    """Any ascending edges: the number of edges at or below the value, less one."""
-    n = len(edges) - 1
-    k = F.size(F.filter(_literal(edges), lambda e: e <= value)) - 1
-    return F.when(F.isnan(value) | (k < 0) | (k > n - 1), F.lit(-1)).otherwise(k)
+    """Any ascending edges: the number of edges at or below the value, less one, by bisection.
+
+    Up to TREE edges are a tree of comparisons in generated code; more are searched step by step in an array, with
+    as many steps as their number has binary digits.
+    """
+    if len(edges) < 2:
+        raise ValueError("there has to be a bin")
+    inside = (value >= edges[0]) & (value < edges[-1]) & ~F.isnan(value)
+    if len(edges) <= TREE:
+
+        def below(lo: int, hi: int) -> Column:
+            """Bin of a value that lies in bins lo to hi."""
+            if lo == hi:
+                return F.lit(lo)
+            mid = (lo + hi + 1) // 2
+            return F.when(value < edges[mid], below(lo, mid - 1)).otherwise(below(mid, hi))
+
+        return F.when(inside, below(0, len(edges) - 2)).otherwise(F.lit(-1))
+    lit = _literal(edges)
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(edges).bit_length()))))
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(lit, at + step) <= value, at + step).otherwise(at))
+    return F.when(inside, found).otherwise(F.lit(-1))
 
 
 def _corrected(value: Column, guess: Column, edges: list[float]) -> Column:

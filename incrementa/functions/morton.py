@@ -66,3 +66,12 @@ def slice_index(value: float, n: int) -> int:
     if not 0 <= k < n:
         raise ValueError(f"slice value {value} is outside the box")
     return k
+
+
+def cell_of(value: Column, n: int) -> Column:
+    """As :func:`slice_index` for a column of values; null outside the box."""
+    face = lambda k: F.lit(-0.5) + k / F.lit(n)
+    k = F.ceil((value + 0.5) * n).cast("int") - 1
+    # the product may be a last digit off the face that it is compared with
+    k = k - F.when(face(k) >= value, 1).otherwise(0) + F.when(face(k + 1) < value, 1).otherwise(0)
+    return F.when(k.between(0, n - 1), k)

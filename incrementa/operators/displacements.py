@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 import warnings
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from incrementa.operators.sampling import MIX, PRIME, stirred
+
 
 def _rounded_geometric(lo: float, hi: float, n: int) -> list[float]:
     """Distinct half-even rounded points of a geometric sequence from lo to hi."""
@@ -54,6 +56,16 @@ def largest_scale(rows: int, stencil_width: int = 2) -> int:
     return rows // {2: 2, 3: 4}.get(stencil_width, 8)
 
 
+def largest_scale_of(rows: Column, stencil_width: Column) -> Column:
+    """As :func:`largest_scale` for columns."""
+    return F.floor(rows / F.when(stencil_width == 2, 2).when(stencil_width == 3, 4).otherwise(8)).cast("int")
+
+
+def quota_of(n_total: Column, n_bins: Column) -> Column:
+    """As :func:`quota` for columns; null where a number is not positive."""
+    return F.when((n_total > 0) & (n_bins > 0), F.greatest(F.lit(1), F.floor(n_total / n_bins).cast("int")))
+
+
 def quota(n_total: int, n_bins: int) -> int:
     """Candidates a scale bin."""
     if n_total <= 0:
@@ -64,16 +76,25 @@ def quota(n_total: int, n_bins: int) -> int:
     return each
 
 
+def draw(seed: int, *keys: Column) -> Column:
+    """A number in [0, 1) that depends on seed and keys alone: not on partitions, their order or the cluster."""
+    at = F.lit(seed % PRIME).cast("long")
+    for k, key in enumerate(keys):
+        at = stirred((key.cast("long") + 1) * MIX[k % len(MIX)] % PRIME, at)
+    return at / F.lit(float(PRIME))
+
+
 def candidates(spark: SparkSession, edges: list[float], n_total: int, seed: int = 0) -> DataFrame:
-    """(bin, dx, dy): radii geometric within each bin, both ends included, angles uniform in [0, pi)."""
+    """(bin, k, dx, dy): radii geometric within each bin, both ends included, angles uniform in [0, pi), drawn by seed, bin and k."""
     if len(edges) < 2 or any(b <= a for a, b in zip(edges[:-1], edges[1:])):
         raise ValueError("edges must be two or more and increase")
     q = quota(n_total, len(edges) - 1)
     lit = F.array(*(F.lit(float(e)) for e in edges))
-    rows = spark.range((len(edges) - 1) * q).select((F.col("id") / q).cast("int").alias("bin"), (F.col("id") % q).alias("k"), (F.rand(seed) * math.pi).alias("angle"))
+    rows = spark.range((len(edges) - 1) * q).select(F.floor(F.col("id") / q).cast("int").alias("bin"), (F.col("id") % q).cast("int").alias("k"))
+    rows = rows.select("bin", "k", (draw(seed, F.col("bin"), F.col("k")) * math.pi).alias("angle"))
     lo, hi = F.get(lit, F.col("bin")), F.get(lit, F.col("bin") + 1)
     r = lo * F.exp(F.log(hi / lo) * F.col("k") / F.lit(max(q - 1, 1)))
-    return rows.select("bin", F.rint(r * F.cos("angle")).cast("int").alias("dx"), F.rint(r * F.sin("angle")).cast("int").alias("dy"))
+    return rows.select("bin", "k", F.rint(r * F.cos("angle")).cast("int").alias("dx"), F.rint(r * F.sin("angle")).cast("int").alias("dy"))
 
 
 def distinct_in_bin(raw: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ def affine_samples(disp: DataFrame, rows: int, columns: int, n: int, step: int =
 PRIME, MIX, ROUNDS, SAMPLE_BLOCK = 2147483647, (48271, 16807, 69621, 40692), 4, 4096
 
 
-def _stirred(x: Column, key: Column) -> Column:
+def stirred(x: Column, key: Column) -> Column:
     """A number under PRIME that depends on x and key in a way hard to tell from chance; all products stay under 2 ^ 62."""
     y = (x * MIX[0] + key) % PRIME
     return (y * ((y * y + MIX[1]) % PRIME)) % PRIME
@@ -61,12 +61,12 @@ def permuted_samples(disp: DataFrame, rows: int, columns: int, n: int, seed: int
     if n > rows * columns:
         raise ValueError("more samples than cells")
     whole = F.col("disp_id").cast("long")
-    key = (_stirred(whole * MIX[2] % PRIME, F.lit(seed % PRIME).cast("long")) * MIX[3] + whole) % PRIME
+    key = (stirred(whole * MIX[2] % PRIME, F.lit(seed % PRIME).cast("long")) * MIX[3] + whole) % PRIME
 
     def turn(at: Column, t: Column) -> Column:
         k = (F.col("__key") + t * 1000003) % PRIME
-        j = (at["j"] + _stirred(at["i"], k)) % F.lit(rows)
-        return F.element_at(F.transform(F.array(j), lambda j: F.struct(j.alias("j"), ((at["i"] + _stirred(j, k)) % F.lit(columns)).alias("i"))), 1)
+        j = (at["j"] + stirred(at["i"], k)) % F.lit(rows)
+        return F.element_at(F.transform(F.array(j), lambda j: F.struct(j.alias("j"), ((at["i"] + stirred(j, k)) % F.lit(columns)).alias("i"))), 1)
 
     def place(k: Column) -> Column:
         begun = F.struct(F.floor(k / F.lit(columns)).cast("long").alias("j"), (k % F.lit(columns)).cast("long").alias("i"))

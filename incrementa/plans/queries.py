@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 import tempfile
 import uuid
@@ -107,34 +108,39 @@ def src_5(spark, sf):
     return sl.as_double(fx.plane(spark, sf).select("j", "i", (F.col("j") * F.col("i")).alias("rho")))
 
 
-#: fixed values: file names that tell axis and beta, and some that do not
-NAMES = ["slice_x1_-0.375_beta25_test.npz", "slice_x2_0.0_beta10.5_data.npz", "SLICE_X3_1.5_BETA0.1_final.npz", "slice_x4_0_beta1.npz", "slice_y1_0_beta1.npz", "slice_x1_0_test.npz", "run_axis1_slice0_file0000.npz", "run_axis2_slice0_file0001.npz"]
-NAME_ROWS = "(VALUES " + ", ".join(f"('{n}')" for n in NAMES) + ") AS t(path)"
+#: a file name for each supplier: axis 0 to 4, of which 1 to 3 are axes, some in capitals, some without beta, some with an extractor's name
+NAMED = """(SELECT CASE WHEN k % 6 = 0 THEN 'run_axis' || (1 + k % 3) || '_slice0_file' || lpad(CAST(k AS VARCHAR), 4, '0') WHEN k % 7 = 0 THEN 'slice_x' || (k % 5) || '_0_test' WHEN k % 4 = 0 THEN 'SLICE_X' || (k % 5) || '_' || nat || '.5_BETA' || (k % 11) || '.' || nat || '_final'
+ ELSE 'slice_x' || (k % 5) || '_-0.' || nat || '_beta' || (k % 13) || '_data' END || '.npz' AS path FROM (SELECT s_suppkey AS k, s_nationkey AS nat FROM supplier))"""
 
 
-def names(spark):
-    return spark.createDataFrame([(n,) for n in NAMES], "path string")
+def names(spark, sf):
+    k, nat = F.col("s_suppkey"), F.col("s_nationkey")
+    as_text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts), F.lit(".npz"))
+    path = F.when(k % 6 == 0, as_text("run_axis", 1 + k % 3, "_slice0_file", F.lpad(k.cast("string"), 4, "0")))
+    path = path.when(k % 7 == 0, as_text("slice_x", k % 5, "_0_test"))
+    path = path.when(k % 4 == 0, as_text("SLICE_X", k % 5, "_", nat, ".5_BETA", k % 11, ".", nat, "_final"))
+    return fx.table(spark, sf, "supplier").select(path.otherwise(as_text("slice_x", k % 5, "_-0.", nat, "_beta", k % 13, "_data")).alias("path"))
 
 
-@query("src_7", f"""WITH r AS (SELECT path, regexp_extract(path, 'slice_x([123])_.*?_beta([0-9]+(\\.[0-9]+)?)', 1, 'i') AS a, regexp_extract(path, 'slice_x([123])_.*?_beta([0-9]+(\\.[0-9]+)?)', 2, 'i') AS b FROM {NAME_ROWS})
+@query("src_7", f"""WITH r AS (SELECT path, regexp_extract(path, 'slice_x([123])_.*?_beta([0-9]+(\\.[0-9]+)?)', 1, 'i') AS a, regexp_extract(path, 'slice_x([123])_.*?_beta([0-9]+(\\.[0-9]+)?)', 2, 'i') AS b FROM {NAMED})
  SELECT path, CAST(CASE WHEN a <> '' THEN CAST(a AS INTEGER) ELSE -1 END AS INTEGER) AS axis, CASE WHEN b <> '' THEN CAST(b AS DOUBLE) ELSE -1e0 END AS beta FROM r""")
 def src_7(spark, sf):
     axis, beta = sl.metadata(F.col("path"))
-    return names(spark).select("path", F.coalesce(axis, F.lit(-1)).alias("axis"), F.coalesce(beta, F.lit(-1.0)).alias("beta"))
+    return names(spark, sf).select("path", F.coalesce(axis, F.lit(-1)).alias("axis"), F.coalesce(beta, F.lit(-1.0)).alias("beta"))
 
 
-@query("src_8", f"SELECT path FROM {NAME_ROWS}")
+@query("src_8", f"SELECT path FROM {NAMED}")
 def src_8(spark, sf):
     """Paths of a list file on disk, with blanks around them and empty lines between."""
-    lines = names(spark).select(F.explode(F.array(F.concat(F.lit("  "), "path", F.lit("\t ")), F.lit("   "), F.lit(""))).alias("value"))
+    lines = names(spark, sf).select(F.explode(F.array(F.concat(F.lit("  "), "path", F.lit("\t ")), F.lit("   "), F.lit(""))).alias("value"))
     path = work(spark, "list")
     lines.write.text(path)
     return sl.listed_paths(spark.read.text(path))
 
 
-@query("src_9", f"SELECT path, CAST(CASE WHEN contains(path, 'axis1') THEN 1 WHEN contains(path, 'axis2') THEN 2 ELSE 3 END AS INTEGER) AS axis FROM {NAME_ROWS}")
+@query("src_9", f"SELECT path, CAST(CASE WHEN contains(path, 'axis1') THEN 1 WHEN contains(path, 'axis2') THEN 2 ELSE 3 END AS INTEGER) AS axis FROM {NAMED}")
 def src_9(spark, sf):
-    return names(spark).select("path", sl.axis_by_name(F.col("path")).alias("axis"))
+    return names(spark, sf).select("path", sl.axis_by_name(F.col("path")).alias("axis"))
 
 
 #: files of ranks, made from suppliers: rank by nation, name by key
@@ -204,32 +210,33 @@ BLOCKS = f"""blocks AS (SELECT CAST({MORTON.replace('(a ', '(bi ').replace('(b '
  FROM (SELECT unnest(range(2)) AS bi) CROSS JOIN (SELECT unnest(range(2)) AS bj) CROSS JOIN (SELECT unnest(range(2)) AS bk))"""
 
 
-def blocks(spark):
-    ids = spark.range(8).select(F.col("id").cast("int").alias("gid"))
-    third, second, first = morton.decode(F.col("gid"))
-    out = ids
-    for c, index in ((1, first), (2, second), (3, third)):
-        lo, hi = morton.block_bounds(index, 1, 2)
-        out = out.withColumns({f"lo_{c}": lo, f"hi_{c}": hi})
-    return out
+def stored_volume(spark, sf) -> tuple[str, int, int]:
+    """(path, cells along a block, cells along the box) of the volume, stored by meshblock."""
+    n, path = fx.volume_size(spark, sf), work(spark, "volume")
+    vol.store_volume(fx.volume(spark, sf), path, n // 2, n)
+    return path, n // 2, n
 
 
 @query("vol_4", f"WITH {BLOCKS} SELECT * FROM blocks")
 def vol_4(spark, sf):
-    return blocks(spark)
+    """Extents of the volume's meshblocks."""
+    n = fx.volume_size(spark, sf)
+    return vol.layout(fx.volume(spark, sf).select("gid").distinct(), n // 2, n).drop("at_1", "at_2", "at_3")
 
 
-@query("vol_5", f"WITH {BLOCKS} SELECT * FROM blocks WHERE lo_2 <= -0.25e0 AND hi_2 >= -0.25e0")
+@query("vol_5", f"WITH {BLOCKS}, {VOLUME} SELECT gid, k, j, i, dens FROM vc JOIN blocks ON lo_1 = -0.5e0 + 0.5e0 * (i // (n // 2)) AND lo_2 = -0.5e0 + 0.5e0 * (j // (n // 2)) AND lo_3 = -0.5e0 + 0.5e0 * (k // (n // 2)) WHERE lo_2 <= -0.25e0 AND hi_2 >= -0.25e0")
 def vol_5(spark, sf):
-    return vol.blocks_of(blocks(spark), 2, -0.25)
-
-
-POSITIONS = [-0.4999, -0.375, -0.25, 0.0, 0.1, 0.3125, 0.5]
+    """Cells of the stored meshblocks whose extent holds a position; no other block is read."""
+    path, size, n = stored_volume(spark, sf)
+    wanted = vol.blocks_of(spark.read.parquet(f"{path}/layout"), 2, -0.25).select("gid")
+    return vol.stored_cells(spark, path).join(F.broadcast(wanted), "gid", "left_semi").select("gid", "k", "j", "i", "dens")
 
 
-@query("vol_6", "WITH faces AS (SELECT unnest(range(25)) AS f), p AS (SELECT unnest([" + ", ".join(map(o.num, POSITIONS)) + "]) AS value) SELECT value, CAST(count_if(-0.5e0 + f / 24e0 < value) - 1 AS INTEGER) AS idx FROM p CROSS JOIN faces GROUP BY value")
+@query("vol_6", "WITH v AS (SELECT o_orderkey AS id, (o_orderkey % 101) / 100e0 - 0.5e0 AS value FROM orders), f AS (SELECT list_transform(range(25), lambda k: -0.5e0 + k / 24e0) AS faces) SELECT id, value, CAST(CASE WHEN c BETWEEN 0 AND 23 THEN c END AS INTEGER) AS idx FROM (SELECT id, value, len(list_filter(faces, lambda x: x < value)) - 1 AS c FROM v CROSS JOIN f)")
 def vol_6(spark, sf):
-    return spark.createDataFrame([(v, morton.slice_index(v, 24)) for v in POSITIONS], "value double, idx int")
+    """The cell of 24 that holds a position, for as many positions as there are orders; faces are among them."""
+    rows = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), ((F.col("o_orderkey") % 101) / F.lit(100.0) - 0.5).alias("value"))
+    return rows.select("id", "value", morton.cell_of(F.col("value"), 24).alias("idx"))
 
 
 for _axis, (_n, _r, _c) in vol.LAYOUT.items():
@@ -270,6 +277,15 @@ def _part(name: str, axis: int, columns: list[str]) -> None:
     query(name, f"SELECT j, i, {', '.join(columns)} FROM ({full})")(lambda spark, sf: extracted(spark, sf, axis).select("j", "i", *columns))
 
 
+SLICE_FIELDS = [*vol.PRIMITIVES, *(f"{v}{c}" for v in ("vort", "curr", "curv", "grad_rho_") for c in "xyz")]
+
+
+def extracted_stored(spark, sf):
+    """The slice of a stored volume: only the meshblocks about the plane are read."""
+    path, size, n = stored_volume(spark, sf)
+    return vol.extract_stored(spark, path, 2, -0.5 + 3.5 / n, size, n).select("j", "i", *SLICE_FIELDS)
+
+
 _part("vol_9", 3, ["grad_rho_x", "grad_rho_y"])
 _part("vol_10", 3, ["grad_rho_z"])
 for _axis in (1, 2, 3):
@@ -277,7 +293,8 @@ for _axis in (1, 2, 3):
 _part("vol_12", 2, ["currx", "curry", "currz"])
 _part("vol_14", 1, ["curvx", "curvy", "curvz"])
 _part("vol_15", 1, ["grad_rho_x", "grad_rho_y", "grad_rho_z"])
-_part("vol_16", 2, [*vol.PRIMITIVES, *(f"{v}{c}" for v in ("vort", "curr", "curv", "grad_rho_") for c in "xyz")])
+_part("vol_16", 2, SLICE_FIELDS)
+query("vol_16_stored", f"SELECT j, i, {', '.join(SLICE_FIELDS)} FROM ({slice_sql(2)})")(extracted_stored)
 
 
 @query("vol_13", f"{V} SELECT j, i, " + ", ".join(f"bcc{k} / sqrt(bcc1 * bcc1 + bcc2 * bcc2 + bcc3 * bcc3 + 1e-10) AS unit{k}" for k in (1, 2, 3)) + " FROM vc WHERE k = 2")
@@ -340,25 +357,45 @@ def raw_vectors(spark, sf):
     return fx.table(spark, sf, "orders").select((key % 5).cast("int").alias("bin"), (key * 7919 % 41 - 20).cast("int").alias("dx"), (key * 104729 % 23 - 11).cast("int").alias("dy"))
 
 
-@query("dsp_1", "SELECT CAST(idx AS INTEGER) AS idx, edge FROM (SELECT generate_subscripts(e, 1) - 1 AS idx, unnest(e) AS edge FROM (SELECT [1e0, 2e0, 3e0, 5e0, 8e0, 11e0, 17e0, 25e0, 38e0] AS e))")
+#: fixed values: the scale edges of 1 to 38 in eight bins
+EIGHT = [1.0, 2.0, 3.0, 5.0, 8.0, 11.0, 17.0, 25.0, 38.0]
+
+
+@query("dsp_1", f"{P} SELECT ell_bin, ({o.edges_list(EIGHT)})[ell_bin + 1] AS edge, n FROM (SELECT ell_bin, count(*) AS n FROM (SELECT {o.bin_of('sqrt(CAST(j * j + i * i AS DOUBLE))', EIGHT)} AS ell_bin FROM plane) WHERE ell_bin >= 0 GROUP BY ell_bin)")
 def dsp_1(spark, sf):
-    return spark.createDataFrame(list(enumerate(ds.scale_edges(1, 38, 8))), "idx int, edge double")
+    """Cells of the plane by scale bin of their distance from its corner, with the bin's lower edge."""
+    edges = ds.scale_edges(1, 38, 8)
+    r = F.sqrt((F.col("j") * F.col("j") + F.col("i") * F.col("i")).cast("double"))
+    rows = fx.plane(spark, sf).select(binning.bin_index(r, edges).alias("ell_bin")).where("ell_bin >= 0").groupBy("ell_bin").agg(F.count("*").alias("n"))
+    return rows.select("ell_bin", F.get(F.array(*map(F.lit, edges)), F.col("ell_bin")).alias("edge"), "n")
 
 
 @query("dsp_2", "SELECT CAST(w AS INTEGER) AS width, CAST(n // d AS INTEGER) AS ell_max FROM (SELECT CAST(floor(sqrt(count(*))) AS BIGINT) AS n FROM orders) CROSS JOIN (VALUES (2, 2), (3, 4), (5, 8)) AS t(w, d)")
 def dsp_2(spark, sf):
-    n = fx.plane_size(spark, sf)
-    return spark.createDataFrame([(w, ds.largest_scale(n, w)) for w in (2, 3, 5)], "width int, ell_max int")
+    n = fx.table(spark, sf, "orders").agg(F.floor(F.sqrt(F.count("*"))).alias("n"))
+    return n.select("n", F.explode(F.array(*map(F.lit, (2, 3, 5)))).alias("width")).select("width", ds.largest_scale_of(F.col("n"), F.col("width")).alias("ell_max"))
 
 
-@query("dsp_3", "SELECT CAST(t AS INTEGER) AS n_total, CAST(b AS INTEGER) AS n_bins, CAST(greatest(1, t // b) AS INTEGER) AS quota FROM (VALUES (1000, 16), (500, 32), (4000, 128)) AS v(t, b)")
+@query("dsp_3", "SELECT o_orderkey, CAST(CASE WHEN t > 0 AND b > 0 THEN greatest(1, t // b) END AS INTEGER) AS quota FROM (SELECT o_orderkey, o_orderkey % 4001 AS t, o_custkey % 129 AS b FROM orders)")
 def dsp_3(spark, sf):
-    return spark.createDataFrame([(t, b, ds.quota(t, b)) for t, b in ((1000, 16), (500, 32), (4000, 128))], "n_total int, n_bins int, quota int")
+    rows = fx.table(spark, sf, "orders")
+    return rows.select("o_orderkey", ds.quota_of(F.col("o_orderkey") % 4001, F.col("o_custkey") % 129).alias("quota"))
 
 
-@query("dsp_4")
+def drawn_sql(seed: int) -> str:
+    """CTE ``cand``: as many candidates a scale bin as orders allow, by seed, bin and number."""
+    mix = (48271, 16807)
+    bin_key = o.stirred(f"(bin + 1) * {mix[0]} % 2147483647", str(seed))
+    e = o.edges_list(EDGES_DEFAULT)
+    return f"""q AS (SELECT greatest(1, count(*) // {len(EDGES_DEFAULT) - 1}) AS q FROM orders), b AS (SELECT bin, unnest(range(q)) AS k, q, {bin_key} AS drawn FROM q CROSS JOIN (SELECT unnest(range({len(EDGES_DEFAULT) - 1})) AS bin)),
+ a AS (SELECT bin, k, q, ({o.stirred(f"(k + 1) * {mix[1]} % 2147483647", "drawn")}) / 2147483647e0 * {math.pi!r}e0 AS angle, ({e})[bin + 1] AS lo, ({e})[bin + 2] AS hi FROM b),
+ cand AS (SELECT CAST(bin AS INTEGER) AS bin, CAST(k AS INTEGER) AS k, CAST(round_even(r * cos(angle), 0) AS INTEGER) AS dx, CAST(round_even(r * sin(angle), 0) AS INTEGER) AS dy FROM (SELECT *, lo * exp(ln(hi / lo) * k / greatest(q - 1, 1)) AS r FROM a))"""
+
+
+@query("dsp_4", f"WITH {drawn_sql(42)} SELECT bin, k, dx, dy FROM cand")
 def dsp_4(spark, sf):
-    return ds.candidates(spark, EDGES_DEFAULT, 4000, 42)
+    """As many candidates as there are orders."""
+    return ds.candidates(spark, EDGES_DEFAULT, fx.orders_count(spark, sf), 42)
 
 
 @query("dsp_5", f"WITH {RAW} SELECT DISTINCT bin, dx, dy FROM raw")
@@ -392,9 +429,9 @@ def dsp_10(spark, sf):
     return ds.numbered(dsp_9(spark, sf))
 
 
-@query("dsp_11")
+@query("dsp_11", f"WITH {drawn_sql(42)}, canon AS (SELECT DISTINCT {FLIP.format(c='dx')} AS dx, {FLIP.format(c='dy')} AS dy FROM cand WHERE dx <> 0 OR dy <> 0) SELECT CAST(row_number() OVER (ORDER BY dx * dx + dy * dy, dx, dy) - 1 AS INTEGER) AS disp_id, dx AS di, dy AS dj FROM canon")
 def dsp_11(spark, sf):
-    return ds.displacement_list(spark, EDGES_DEFAULT, 4000, 42)
+    return ds.displacement_list(spark, EDGES_DEFAULT, fx.orders_count(spark, sf), 42)
 
 
 # ---- samples and stencils ----------------------------------------------------------------------
@@ -462,18 +499,23 @@ for _w in (2, 3, 5):
     )
 
 
-@query("stn_7", f"WITH {o.DISP} " + " UNION ALL ".join(f"SELECT {a} AS axis, disp_id, CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y, CAST({z} AS DOUBLE) AS z FROM disp" for a, x, y, z in ((1, 0, "di", "dj"), (2, "di", 0, "dj"), (3, "di", "dj", 0))))
+#: the canonical displacements that the orders give
+OWN = f"WITH {RAW}, {CANON}, own AS (SELECT CAST(row_number() OVER (ORDER BY dx * dx + dy * dy, dx, dy) - 1 AS INTEGER) AS disp_id, dx AS di, dy AS dj FROM (SELECT DISTINCT dx, dy FROM canon))"
+OWN_SCALED = f"{OWN}, dr AS (SELECT *, sqrt(CAST(di * di + dj * dj AS DOUBLE)) AS r FROM own), scaled AS (SELECT *, {o.bin_of('r', EIGHT)} AS ell_bin FROM dr WHERE {o.bin_of('r', EIGHT)} >= 0)"
+
+
+@query("stn_7", f"{OWN} " + " UNION ALL ".join(f"SELECT {a} AS axis, disp_id, CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y, CAST({z} AS DOUBLE) AS z FROM own" for a, x, y, z in ((1, 0, "di", "dj"), (2, "di", 0, "dj"), (3, "di", "dj", 0))))
 def stn_7(spark, sf):
-    parts = [fx.displacements(spark).select(F.lit(a).alias("axis"), "disp_id", *(v.alias(c) for c, v in zip("xyz", sm.displacement_vector(a)))) for a in (1, 2, 3)]
+    parts = [dsp_10(spark, sf).select(F.lit(a).alias("axis"), "disp_id", *(v.alias(c) for c, v in zip("xyz", sm.displacement_vector(a)))) for a in (1, 2, 3)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 _stencil("stn_8", 2, o.FIELDS)
 
 
-@query("stn_9", f"WITH {o.DISP}, {o.SCALED} SELECT disp_id, r, ell_bin FROM scaled")
+@query("stn_9", f"{OWN_SCALED} SELECT disp_id, r, ell_bin FROM scaled")
 def stn_9(spark, sf):
-    return fx.scaled(spark).select("disp_id", "r", "ell_bin")
+    return sm.with_scale(dsp_10(spark, sf), EIGHT).select("disp_id", "r", "ell_bin")
 
 
 # ---- local frame and channels ------------------------------------------------------------------
@@ -572,9 +614,9 @@ def bin_1(spark, sf):
     return values(spark, sf).select("id", binning.bin_index(F.col("v"), [0.5, 1.0, 2.0, 7.5]).alias("bin"))
 
 
-@query("bin_2", f"WITH {o.DISP}, {o.SCALED} SELECT ell_bin, count(*) AS n FROM scaled GROUP BY ell_bin")
+@query("bin_2", f"{OWN_SCALED} SELECT ell_bin, count(*) AS n FROM scaled GROUP BY ell_bin")
 def bin_2(spark, sf):
-    return fx.scaled(spark).groupBy("ell_bin").agg(F.count("*").alias("n"))
+    return sm.with_scale(dsp_10(spark, sf), EIGHT).groupBy("ell_bin").agg(F.count("*").alias("n"))
 
 
 @query("bin_3", f"WITH {VALUES} SELECT id, {o.bin_of('v', binning.theta_edges())} AS theta_bin, {o.bin_of('v', binning.phi_edges())} AS phi_bin FROM vals")
@@ -587,9 +629,11 @@ def bin_4(spark, sf):
     return values(spark, sf).select("id", binning.log_bin(F.col("v"), binning.value_edges()).alias("sf_bin"), binning.log_bin(F.col("v"), binning.product_edges()).alias("product_bin"))
 
 
-@query("bin_5", f"SELECT CAST(k AS INTEGER) AS idx, round(0.5e0 * (e[k + 1] + e[k + 2]), 12) AS center FROM (SELECT {o.edges_list(binning.value_edges())} AS e) CROSS JOIN (SELECT unnest(range(127)) AS k)")
+@query("bin_5", f"WITH {VALUES} SELECT id, round(0.5e0 * (e[k + 1] + e[k + 2]), 12) AS center FROM (SELECT id, {o.bin_of('v', binning.value_edges())} AS k, {o.edges_list(binning.value_edges())} AS e FROM vals) WHERE k >= 0")
 def bin_5(spark, sf):
-    return rounded(spark.createDataFrame(list(enumerate(binning.centres(binning.value_edges()))), "idx int, center double"), 12)
+    """The centre of each value's bin."""
+    rows = values(spark, sf).select("id", binning.centre_of(binning.log_bin(F.col("v"), binning.value_edges()), binning.value_edges()).alias("center"))
+    return rounded(rows.where("center is not null"), 12)
 
 
 RAW_INC = f"rawinc AS (SELECT s.disp_id, s.r, " + ", ".join("sqrt(" + " + ".join(f"(g1.{v}_{c} - g0.{v}_{c}) * (g1.{v}_{c} - g0.{v}_{c})" for c in "xyz") + f") AS d{v}" for v in "vb") + f", abs(g1.rho - g0.rho) AS drho, s.k {o.stencil_joins(2)})"
@@ -670,7 +714,9 @@ def agg_7(spark, sf):
     return st.marginal(prod(spark, sf), "ell_bin")
 
 
-MIDDLE = 7
+#: the middle of the scale bins that the default displacements are in
+POPULATED = sorted({int(bisect.bisect_right(fx.ELL, math.hypot(di, dj))) - 1 for di, dj in fx.DISPLACEMENTS if fx.ELL[0] <= math.hypot(di, dj) < fx.ELL[-1]})
+MIDDLE = POPULATED[len(POPULATED) // 2]
 
 
 @query("agg_8", f"{FRAMED}, {o.hist(['D_V', 'D_B'])} SELECT channel, theta_bin, phi_bin, CAST(sum(count) AS BIGINT) AS count FROM hist WHERE ell_bin = {MIDDLE} GROUP BY ALL")
@@ -872,7 +918,7 @@ def src_13(spark, sf):
     return rounded(raw.groupBy("disp_id").agg(F.count("*").alias("n"), F.min("dv").alias("least"), F.max("dv").alias("most")))
 
 
-@query("api_6")
+@query("api_6", f"{RAWS} SELECT r_bin, count(*) AS n, round(avg(dv), 9) AS dv, round(avg(db), 9) AS db, round(avg(drho), 9) AS drho FROM (SELECT *, {o.bin_of('r', PLOT_EDGES)} AS r_bin FROM rawinc) WHERE r_bin >= 0 GROUP BY r_bin")
 def api_6(spark, sf):
     """Curves of the first stored simple result."""
     return rounded(jobs.simple_curves(spark, simple(spark, sf)))
