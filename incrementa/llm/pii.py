@@ -5,7 +5,9 @@ is such a value, the name part or the domain of an email, or the presence of a k
 corpus, counting equal texts once, it is estimated how strongly a term anywhere in a text reveals an
 entity of that text: pointwise mutual information, as a share of the entity's own information content.
 The text itself is left out of its evidence (else every word that stands once would give all away), and low
-counts are smoothed by ``support`` texts in which the entity is as frequent as anywhere. Terms at or over the disclosure threshold are spans of kind ``term`` and are removed wherever they stand in a
+counts are smoothed by ``support`` texts in which the entity is as frequent as anywhere. Entities, and terms, that stand
+in the same texts are counted as one class, so that what is paired grows with the different texts, not with the
+number of values in one. Terms at or over the disclosure threshold are spans of kind ``term`` and are removed wherever they stand in a
 text with the entity. Only DataFrame functions are used.
 
 Edge cases: null text is empty; a text without matches has no spans, whatever its terms; repeated rows are
@@ -68,38 +70,58 @@ def entities_of(kind: str) -> Column:
 
 
 def holdings(base: DataFrame) -> DataFrame:
-    """(rid, text_hash, entities, words) of every row with a span: its entities' names and the terms of its whole text."""
+    """(text_hash, entities, words) of every row with a span: its entities' names and the terms of its whole text."""
     entities = F.array_distinct(F.concat(*(entities_of(k) for k in PATTERNS)))
-    return settle(base.where("text is not null").select("rid", "text_hash", entities.alias("entities"), terms_of(F.col("text")).alias("words")), "holdings")
+    return settle(base.where("text is not null").select("text_hash", entities.alias("entities"), terms_of(F.col("text")).alias("words")), "holdings")
 
 
-def disclosing(docs: DataFrame, held: DataFrame, support: int, threshold: float) -> DataFrame:
-    """(entity, term) pairs in which the term gives the entity away."""
-    once = held.dropDuplicates(["text_hash"])
-    seen = once.select(F.explode("entities").alias("entity"), "words")
-    pairs = settle(seen.select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("both")).where("both > 1"), "pairs")  # one text alone is no evidence: its information is 0 or less
-    entities = seen.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    # document frequencies over the whole corpus, equal texts once; combined before the shuffle
+def frequencies(docs: DataFrame) -> tuple[DataFrame, float]:
+    """((term, n_term), number of texts) over the whole corpus, equal texts once; combined before the shuffle."""
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     total = float(max(texts.select("text_hash").distinct().count(), 2))
     words = texts.dropDuplicates(["text_hash"]).select(F.explode(terms_of(F.col("text"))).alias("term"))
     # written, so that no join is pushed below the counting
-    terms = settle(words.groupBy("term").agg(F.count("*").alias("n_term")), "frequencies")
-    scored = pairs.join(entities, "entity").join(terms, "term")
-    share = F.col("n_entity") / total
-    pmi = F.log2((F.col("both") - 1 + support * share) / (F.col("n_term") - 1 + support) / share)  # from the other texts
+    return settle(words.groupBy("term").agg(F.count("*").alias("n_term")), "frequencies"), total
+
+
+def standing(rows: DataFrame, name: str, *more: str) -> DataFrame:
+    """(``name``, class): what stands in exactly the same texts is one class (a digest of the texts, their number, and ``more``).
+
+    A name in one text alone is left out: it is no evidence, as its information there is 0 or less.
+    """
+    found = rows.groupBy(name).agg(*(F.bit_xor(F.xxhash64("text_hash", F.lit(k))).alias(f"x{k}") for k in (1, 2)), F.count("*").alias("n"), *(F.first(c).alias(c) for c in more))
+    return found.where("n > 1").select(name, F.struct("x1", "x2", "n", *more).alias("class"))
+
+
+def revealing(docs: DataFrame, held: DataFrame, support: int, threshold: float) -> DataFrame:
+    """(text_hash, term): the terms of each text with a span that give one of its entities away.
+
+    Entities are paired with terms by class, so a list of addresses that stands in the same texts is paired once, and
+    one that stands in a single text not at all.
+    """
+    once = settle(held.dropDuplicates(["text_hash"]).select("text_hash", "entities", "words"), "once")
+    seen = once.select("text_hash", F.explode("entities").alias("entity"))
+    named_terms = once.select("text_hash", F.explode("words").alias("term"))
+    entities = settle(standing(seen, "entity").withColumnRenamed("class", "ec"), "entity-classes")
+    terms, total = frequencies(docs)
+    words = settle(standing(named_terms.join(terms, "term"), "term", "n_term").withColumnRenamed("class", "wc"), "term-classes")
+    entity_of = settle(seen.join(entities, "entity").select("text_hash", "ec").distinct(), "entities-of")
+    word_of = named_terms.join(words, "term").select("text_hash", "wc").distinct()
+    pairs = entity_of.join(word_of, "text_hash").groupBy("ec", "wc").agg(F.count("*").alias("both")).where("both > 1")
+    share = F.col("ec.n") / total
+    pmi = F.log2((F.col("both") - 1 + support * share) / (F.col("wc.n_term") - 1 + support) / share)  # from the other texts
     content = -F.log2(share)
-    return settle(scored.where((content > 0) & (pmi >= threshold * content)).select("entity", "term"), "disclosing")
+    told = settle(pairs.where((content > 0) & (pmi >= threshold * content)).select("ec", "wc"), "disclosing")
+    # from the terms that tell anything to what they tell, and whether that is in the text
+    tellers = words.join(told, "wc").select("term", "ec")
+    return settle(named_terms.join(tellers, "term").join(entity_of, ["text_hash", "ec"], "left_semi").select("text_hash", "term").distinct(), "revealing")
 
 
-def revealed(base: DataFrame, held: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(rid, terms): places of the terms that give away an entity of their text, outside all base spans."""
-    told = pairs.groupBy("entity").agg(F.collect_list("term").alias("told"))
-    words = held.select("rid", F.explode("entities").alias("entity")).join(told, "entity").groupBy("rid").agg(F.flatten(F.collect_list("told")).alias("told"))
-    words = settle(words.join(held, "rid").select("rid", F.explode(F.array_intersect("words", "told")).alias("term")), "revealing")
-    rows = base.where("text is not null").join(words.select("rid").distinct(), "rid").select("rid", "text", F.concat(*PATTERNS).alias("spans"))
-    rows = rows.select("rid", F.explode(clear_of(placed(F.col("text"), found(F.col("text"), TERM), TERM), F.col("spans"))).alias("t"))
-    rows = rows.select("rid", F.lower("t.value").alias("term"), "t.start", "t.end").join(words, ["rid", "term"])
+def revealed(base: DataFrame, told: DataFrame) -> DataFrame:
+    """(rid, terms): places of the terms ``told(text_hash, term)``, outside all base spans."""
+    rows = base.where("text is not null").join(told.select("text_hash").distinct(), "text_hash").select("rid", "text_hash", "text", F.concat(*PATTERNS).alias("spans"))
+    rows = rows.select("rid", "text_hash", F.explode(clear_of(placed(F.col("text"), found(F.col("text"), TERM), TERM), F.col("spans"))).alias("t"))
+    rows = rows.select("rid", "text_hash", F.lower("t.value").alias("term"), "t.start", "t.end").join(told, ["text_hash", "term"])
     return settle(rows.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("terms")), "terms")
 
 
@@ -107,7 +129,7 @@ def sanitise(docs: DataFrame, support: int = 3, threshold: float = 0.8) -> DataF
     """One row per input row: doc_id, the base spans by kind, ``terms`` (start, end), ``clean``: the text without what it gives away (null where nothing was found)."""
     base = base_spans(docs)
     held = holdings(base)
-    terms = revealed(base, held, disclosing(docs, held, support, threshold))
+    terms = revealed(base, revealing(docs, held, support, threshold))
     rows = base.join(terms, "rid", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int>>")))
     kinds = [*PATTERNS, "terms"]
     every = F.concat(*(named(F.col(k), k.removesuffix("s")) for k in kinds))

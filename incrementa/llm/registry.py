@@ -20,6 +20,7 @@ from incrementa.llm.quality import score_quality
 from incrementa.llm.repeats import without_repeats
 from incrementa.llm.simhash import exact_scheme, simhash_groups
 from incrementa.llm.spans import marked
+from incrementa.llm.sql import ORACLES
 from incrementa.llm.tokenfile import read_token_file, write_token_file
 from incrementa.llm.toxicity import score_toxicity
 
@@ -101,16 +102,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-OP4_SQL = """
-SELECT doc_id,
-       max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
-       count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
-       doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
-       sha256(coalesce(text, '')) AS text_sha256
-FROM documents
-"""
-
-
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -131,4 +122,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL}
+    return dict(ORACLES)

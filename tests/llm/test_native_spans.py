@@ -263,3 +263,18 @@ def test_terms_anywhere_in_the_text(spark):
     assert all("Quendalina" in terms(i, t) for i, t in rows if 1000 <= i < 2000)
     assert all("Hiddenworks" in terms(i, t) for i, t in rows if 2000 <= i < 3000)
     assert terms(*rows[-1]) == set() and all(got[i].clean is None for i in range(900))
+
+
+def test_many_different_values_take_linear_time(spark):
+    """A text of 20,000 different addresses, and 4,000 that stand in two texts with thousands of words each."""
+    import time
+
+    lone = " ".join(f"person{k}@host{k}.example and word{k}" for k in range(20000))
+    both = " ".join(f"user{k}@site{k}.test with name{k}" for k in range(4000))
+    rows = [(1, lone), (2, both + " first"), (3, both + " second"), *((10 + k, f"plain text number{k}") for k in range(200))]
+    began = time.time()
+    got = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert time.time() - began < 90
+    assert len(got[1].email) == 20000 and got[1].terms == []
+    # each name stands with its two texts' addresses and nowhere else
+    assert len(got[2].email) == 4000 and len(got[2].terms) == len(got[3].terms)
