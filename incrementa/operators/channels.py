@@ -113,12 +113,20 @@ def channel_value(channel: str) -> Column:
     return norm(cross(left, right)) if kind.endswith("cross") else norm(left) * norm(right)
 
 
+def channel_values(framed: DataFrame, channels: list[str], keys: list[str]) -> DataFrame:
+    """(keys, k, value): a row for each sample and channel.
+
+    The values are an array column before they are exploded, and the row number keeps the two apart: generated into
+    one method, so many expressions pass the size up to which the JVM compiles, and run interpreted.
+    """
+    rows = with_perpendiculars(framed, channels).select(*keys, F.array(*(channel_value(c) for c in channels)).alias("__values"), F.monotonically_increasing_id().alias("__row"))
+    return rows.where("__row >= 0").select(*keys, F.posexplode("__values").alias("k", "value"))
+
+
 def _counted(framed: DataFrame, channels: list[str], keys: list[str], edges: list[float], out: str) -> DataFrame:
     """One posexplode of the channels' values, one bin search each, one hash aggregate combined map-side."""
-    values = F.array(*(channel_value(c) for c in channels))
     names = F.array(*(F.lit(c) for c in channels))
-    rows = with_perpendiculars(framed, channels).select(*keys, F.posexplode(values).alias("k", "value"))
-    rows = rows.select(*keys, "k", log_bin(F.col("value"), edges).alias(out)).where(F.col(out) >= 0)
+    rows = channel_values(framed, channels, keys).select(*keys, "k", log_bin(F.col("value"), edges).alias(out)).where(F.col(out) >= 0)
     counted = rows.groupBy("k", *keys, out).agg(F.count("*").alias("count"))
     return counted.select(F.get(names, F.col("k")).alias("channel"), *keys, out, "count")
 
@@ -138,7 +146,7 @@ def all_histograms(framed: DataFrame, sf_edges: list[float] | None = None, other
     channels, first = [*MAGNITUDES, *PRODUCTS], len(MAGNITUDES)
     names = F.array(*(F.lit(c) for c in channels))
     keys = [*extra, "ell_bin"]
-    rows = with_perpendiculars(framed, channels).select(*keys, "theta_bin", "phi_bin", F.posexplode(F.array(*(channel_value(c) for c in channels))).alias("k", "value"))
+    rows = channel_values(framed, channels, [*keys, "theta_bin", "phi_bin"])
     angled = F.col("k") < first
     bins = F.when(angled, log_bin(F.col("value"), sf_edges or value_edges())).otherwise(log_bin(F.col("value"), other_edges or product_edges()))
     rows = rows.select(*keys, "k", *(F.when(angled, F.col(c)).otherwise(F.lit(-1)).alias(c) for c in ("theta_bin", "phi_bin")), bins.alias("value_bin")).where("value_bin >= 0")

@@ -62,23 +62,21 @@ def permuted_samples(disp: DataFrame, rows: int, columns: int, n: int, seed: int
         raise ValueError("more samples than cells")
     whole = F.col("disp_id").cast("long")
     key = (stirred(whole * MIX[2] % PRIME, F.lit(seed % PRIME).cast("long")) * MIX[3] + whole) % PRIME
-
-    def turn(at: Column, t: Column) -> Column:
-        k = (F.col("__key") + t * 1000003) % PRIME
-        j = (at["j"] + stirred(at["i"], k)) % F.lit(rows)
-        return F.element_at(F.transform(F.array(j), lambda j: F.struct(j.alias("j"), ((at["i"] + stirred(j, k)) % F.lit(columns)).alias("i"))), 1)
-
-    def place(k: Column) -> Column:
-        begun = F.struct(F.floor(k / F.lit(columns)).cast("long").alias("j"), (k % F.lit(columns)).cast("long").alias("i"))
-        rounds = F.aggregate(F.array(*(F.lit(t) for t in range(ROUNDS))), begun, turn)
-        return F.element_at(F.transform(F.array(rounds), lambda x: F.struct(k.cast("int").alias("k"), x["j"].cast("int").alias("j"), x["i"].cast("int").alias("i"))), 1)
-
-    # places are made inside the generator, a bounded array at a time, so that no filter pushed down makes them twice
     blocks = disp.select("*", key.alias("__key"), F.explode(F.sequence(F.lit(0), F.lit((n - 1) // SAMPLE_BLOCK))).alias("__block"))
     # the list comes in one partition; its rows are few, what is made of them is not
     blocks = blocks.repartition(int(disp.sparkSession.conf.get("spark.sql.shuffle.partitions")), "disp_id", "__block")
     ks = F.sequence(F.col("__block") * SAMPLE_BLOCK, F.least(F.col("__block") * SAMPLE_BLOCK + (SAMPLE_BLOCK - 1), F.lit(n - 1)))
-    return blocks.select(*disp.columns, F.explode(F.transform(ks.cast("array<long>"), place)).alias("__at")).select(*disp.columns, "__at.k", "__at.j", "__at.i")
+    at = blocks.select(*disp.columns, "__key", F.explode(ks).alias("k")).withColumn("__k", F.col("k").cast("long"))
+    at = at.select(*disp.columns, "k", "__key", F.floor(F.col("__k") / F.lit(columns)).alias("j"), (F.col("__k") % columns).alias("i"))
+    # a column a step, so that each is computed once, in generated code
+    for t in range(ROUNDS):
+        for moved, by, size in (("j", "i", rows), ("i", "j", columns)):
+            y = (F.col(by) * MIX[0] + (F.col("__key") + t * 1000003) % PRIME) % PRIME
+            at = at.withColumn("__y", y).withColumn("__z", (F.col("__y") * F.col("__y") + MIX[1]) % PRIME)
+            at = at.withColumn(moved, (F.col(moved) + F.col("__y") * F.col("__z") % PRIME) % size)
+    # the row number keeps filters on the places above these steps, which they would run through twice
+    at = at.select(*disp.columns, "k", F.col("j").cast("int").alias("j"), F.col("i").cast("int").alias("i"), F.monotonically_increasing_id().alias("__row"))
+    return at.where("__row >= 0").drop("__row")
 
 
 def every_position(disp: DataFrame, grid: DataFrame) -> DataFrame:
@@ -104,23 +102,50 @@ def displacement_vector(axis: int) -> Vec:
     return {1: Vec(none, di, dj), 2: Vec(di, none, dj)}.get(axis, Vec(di, dj, none))
 
 
+def relation_bytes(cells: int, fields: int) -> int:
+    """Bytes of a broadcast relation of so many cells: rows of fixed width with two keys, their addresses and the hash table's slots."""
+    return cells * (8 * (fields + 2) + 8 * 4 + 16)
+
+
 def gather(samples: DataFrame, grid: DataFrame, fields: list[str], rows: int, columns: int, width: int = 2) -> DataFrame:
     """``samples`` with ``field__k`` for each field and stencil offset k, by equi-joins on wrapped coordinates.
 
-    A single slice whose fields take at most ``BROADCAST_BYTES``, known from its shape, is broadcast once for all
-    offsets; anything larger is left to the optimizer, which shuffles by coordinate.
+    A single slice whose relation takes at most ``BROADCAST_BYTES``, known from its shape, is broadcast once for all
+    offsets and read by a lookup each. Anything larger is joined once, whatever the width: see :func:`gather_points`.
     """
     by_slice = ["slice_id"] if "slice_id" in samples.columns and "slice_id" in grid.columns else []
-    small = not by_slice and rows * columns * (len(fields) + 2) * 8 <= BROADCAST_BYTES
-    every = grid.select(*by_slice, F.col("j").alias("__j"), F.col("i").alias("__i"), *fields)
+    if by_slice or relation_bytes(rows * columns, len(fields)) > BROADCAST_BYTES:
+        return gather_points(samples, grid, fields, rows, columns, width)
+    every = grid.select(F.col("j").alias("__j"), F.col("i").alias("__i"), *fields)
     out = samples
     for k in sorted(stencil(width)):
-        at = out.withColumns({"__j": F.pmod(F.col("j") + k * F.col("dj"), F.lit(rows)), "__i": F.pmod(F.col("i") + k * F.col("di"), F.lit(columns))})
-        met = at.join(F.broadcast(every) if small else every, [*by_slice, "__j", "__i"]).drop("__j", "__i")
+        met = at_offset(out, F.lit(k), rows, columns).join(F.broadcast(every), ["__j", "__i"]).drop("__j", "__i")
         out = met.withColumnsRenamed({f: f"{f}__{k}" for f in fields})
     return out
 
 
+def at_offset(samples: DataFrame, k: Column, rows: int, columns: int) -> DataFrame:
+    """``samples`` with the wrapped place __j, __i of the stencil's point ``k``."""
+    return samples.withColumns({"__j": F.pmod(F.col("j") + k * F.col("dj"), F.lit(rows)), "__i": F.pmod(F.col("i") + k * F.col("di"), F.lit(columns))})
+
+
+def gather_points(samples: DataFrame, grid: DataFrame, fields: list[str], rows: int, columns: int, width: int = 2) -> DataFrame:
+    """As :func:`gather`, with one join of the grid: samples go out as a row a point and come back together by sample.
+
+    The samples and the grid are shuffled once each to meet, and what was read once more to be put beside each other,
+    at any width; a join a point would shuffle ever wider samples once a point.
+    """
+    by_slice = ["slice_id"] if "slice_id" in samples.columns and "slice_id" in grid.columns else []
+    keys = [*by_slice, "disp_id", *(["k"] if "k" in samples.columns else []), "j", "i"]
+    rest = [c for c in samples.columns if c not in keys]
+    every = grid.select(*by_slice, F.col("j").alias("__j"), F.col("i").alias("__i"), *fields)
+    points = at_offset(samples.withColumn("__k", F.explode(F.array(*map(F.lit, sorted(stencil(width)))))), F.col("__k"), rows, columns)
+    met = points.join(every, [*by_slice, "__j", "__i"])
+    pick = [F.max(F.when(F.col("__k") == k, F.col(f))).alias(f"{f}__{k}") for k in sorted(stencil(width)) for f in fields]
+    back = met.groupBy(*keys).agg(*(F.first(c).alias(c) for c in rest), F.count("*").alias("__n"), *pick)
+    return back.where(F.col("__n") == len(stencil(width))).select(*samples.columns, *(f"{f}__{k}" for k in sorted(stencil(width)) for f in fields))
+
+
 def increment(field: str, width: int = 2) -> Column:
     """The stencil's un-normalised difference of a gathered field."""
     weights = stencil(width)
