@@ -103,8 +103,9 @@ def displacement_vector(axis: int) -> Vec:
 
 
 def relation_bytes(cells: int, fields: int) -> int:
-    """Bytes of a broadcast relation of so many cells: rows of fixed width with two keys, their addresses and the hash table's slots."""
-    return cells * (8 * (fields + 2) + 8 * 4 + 16)
+    """Most bytes of a broadcast relation of so many cells: rows of fixed width with their two keys and a link, and the table of their places, each grown by doubling."""
+    doubled = lambda n: 1 << max(n - 1, 1).bit_length()
+    return max(1 << 20, doubled(cells * 8 * (fields + 4))) + 16 * doubled(2 * cells)
 
 
 def gather(samples: DataFrame, grid: DataFrame, fields: list[str], rows: int, columns: int, width: int = 2) -> DataFrame:
