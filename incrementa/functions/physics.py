@@ -40,3 +40,12 @@ def finite_report(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def magnitude(name: str) -> Column:
     return norm(Vec.of(name))
+
+
+def quality_metrics() -> list[Column]:
+    """Aggregates that tell the quality of a slice's cells while something else is made of them: see ``DataFrame.observe``."""
+    vectors = [F.col(f"{v}_{c}") for v in "vb" for c in "xyz"]
+    any_of = lambda test: F.sum(sum((test(c).cast("long") for c in vectors), F.lit(0).cast("long")))
+    infinite = lambda c: F.abs(c) == float("inf")
+    rho = F.col("rho")
+    return [F.count("*").alias("n_cells"), F.count_if((rho <= 0) & ~F.isnan(rho)).alias("n_bad_density"), F.min(rho).alias("rho_min"), any_of(F.isnan).alias("n_nan"), any_of(infinite).alias("n_inf")]

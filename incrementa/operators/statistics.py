@@ -24,6 +24,23 @@ def marginal(hist: DataFrame, *keys: str) -> DataFrame:
     return hist.groupBy("channel", *keys).agg(F.sum("count").alias("count"))
 
 
+#: sets of bins over which :func:`marginals` sums
+MARGINALS = [("ell_bin",), ("ell_bin", "theta_bin", "phi_bin"), ("ell_bin", "sf_bin"), ()]
+
+
+def marginals(hist: DataFrame, sets: list[tuple[str, ...]] | None = None) -> DataFrame:
+    """(over, channel, bins, count): all marginals of a histogram from one pass over it, ``over`` naming the bins that are kept.
+
+    Sums by grouping sets: the histogram is made once from its samples, spread over the sets and summed in one
+    aggregate. Bins that a row is summed over are -1.
+    """
+    sets = MARGINALS if sets is None else sets
+    bins = [c for c in hist.columns if c not in ("channel", "count")]
+    keep = lambda s: F.struct(F.lit(",".join(s)).alias("over"), *(F.col(c) if c in s else F.lit(-1).alias(c) for c in bins))
+    spread = hist.select("channel", "count", F.explode(F.array(*map(keep, sets))).alias("__s")).select("channel", "count", "__s.*")
+    return spread.groupBy("over", "channel", *bins).agg(F.sum("count").alias("count"))
+
+
 def at_scale(hist: DataFrame, ell_bin: int, *keys: str) -> DataFrame:
     """Counts by channel and ``keys`` in one scale bin."""
     return marginal(hist.where(F.col("ell_bin") == ell_bin), *keys)
@@ -69,9 +86,9 @@ def scale_coverage(hist: DataFrame) -> DataFrame:
 
 
 def raw_increments(gathered: DataFrame) -> DataFrame:
-    """(disp_id, r, dv, db, drho) of a two-point gather; no frame, no bins."""
+    """([slice_id,] disp_id, r, dv, db, drho) of a two-point gather; no frame, no bins."""
     d = lambda name: norm(minus(Vec.of(name, "__1"), Vec.of(name, "__0")))
-    return gathered.select("disp_id", "r", d("v").alias("dv"), d("b").alias("db"), F.abs(F.col("rho__1") - F.col("rho__0")).alias("drho"))
+    return gathered.select(*(["slice_id"] if "slice_id" in gathered.columns else []), "disp_id", "r", d("v").alias("dv"), d("b").alias("db"), F.abs(F.col("rho__1") - F.col("rho__0")).alias("drho"))
 
 
 def raw_ranges(raw: DataFrame) -> DataFrame:

@@ -57,36 +57,51 @@ def check_fields(slices: DataFrame) -> None:
 
 def analyse_slices(
     slices: DataFrame, rows: int, columns: int, *, n_displacements: int = 1000, n_ell_bins: int = 128, n_random_subsamples: int = 1000, stencil_width: int = 2, axis: int = 3, seed: int = 0,
-    bins: Binning = Binning(), min_density: float = FLOOR, displacements: DataFrame | None = None, ell: list[float] | None = None,
+    bins: Binning = Binning(), min_density: float = FLOOR, displacements: DataFrame | None = None, ell: list[float] | None = None, slice_ids: list[str] | None = None,
 ) -> Result:
     """Both histogram families of a table of slices (slice_id, j, i, fields) of one shape, or of one slice without slice_id, in one job.
 
     Counts are summed over slices. ``seed`` draws the displacements and the sample positions; ``displacements(disp_id, di,
-    dj)`` and the edges ``ell`` of the scale bins may be given instead.
+    dj)`` and the edges ``ell`` of the scale bins may be given instead. ``slice_ids`` saves a scan for the slices there are.
     """
     check_fields(slices)
     ell = ell or scale_edges(1, largest_scale(rows, stencil_width), n_ell_bins)
     disp = displacements if displacements is not None else displacement_list(slices.sparkSession, ell, n_displacements, seed)
     scaled, extra = with_scale(disp, ell), ("slice_id",) if "slice_id" in slices.columns else ()
     if extra:
-        scaled = slices.select("slice_id").distinct().crossJoin(F.broadcast(scaled))  # the displacement list is bounded by its request
+        there = slices.select("slice_id").distinct() if slice_ids is None else _ids(slices, slice_ids)
+        scaled = there.crossJoin(F.broadcast(scaled))  # the displacement list is bounded by its request
     samples = permuted_samples(scaled, rows, columns, n_random_subsamples, seed)
     framed = framed_samples(with_derived(slices, min_density), samples, rows, columns, axis, stencil_width, extra=extra, bins=bins)
     parts = magnitude_histogram(framed, edges=bins.sf), product_histogram(framed, edges=bins.product)
     return Result(*parts, disp, edge_table(slices, ell, bins), all_histograms(framed, bins.sf, bins.product))
 
 
+def _ids(df: DataFrame, slice_ids: list[str]) -> DataFrame:
+    return df.sparkSession.createDataFrame([(s,) for s in slice_ids], "slice_id string")
+
+
 def analyse_slice(slices: DataFrame, *, axis: int = 1, **options: object) -> Result:
     """As :func:`analyse_slices` for one slice table (j, i, fields), whose shape is found and checked."""
     check_fields(slices)
     return analyse_slices(slices.drop("slice_id"), *check_dense(slices), axis=axis, **options)
 
 
-def simple_increments(slices: DataFrame, *, n_displacements: int = 1000, n_ell_bins: int = 128, n_samples: int = 100, first: int = 20, seed: int = 0, displacements: DataFrame | None = None) -> DataFrame:
-    """Raw increments of the ``first`` shortest displacements of one slice."""
+def simple_increments(slices: DataFrame, **options: object) -> DataFrame:
+    """Raw increments of the ``first`` shortest displacements of one slice; options as of :func:`simple_increments_of`."""
     rows, columns = check_dense(slices)
+    return simple_increments_of(slices.drop("slice_id"), rows, columns, **options)
+
+
+def simple_increments_of(
+    slices: DataFrame, rows: int, columns: int, slice_ids: list[str] | None = None, *, n_displacements: int = 1000, n_ell_bins: int = 128, n_samples: int = 100, first: int = 20, seed: int = 0, displacements: DataFrame | None = None
+) -> DataFrame:
+    """Raw increments (slice_id, disp_id, r, dv, db, drho) of the ``first`` shortest displacements of slices of one shape, or of one without slice_id."""
     ell = scale_edges(1, rows // 4, n_ell_bins)
     disp = displacements if displacements is not None else displacement_list(slices.sparkSession, ell, n_displacements, seed)
     r = F.sqrt((F.col("di") * F.col("di") + F.col("dj") * F.col("dj")).cast("double"))
-    samples = permuted_samples(disp.where(F.col("disp_id") < first).withColumn("r", r), rows, columns, n_samples, seed)
-    return raw_increments(gather(samples, slices.drop("slice_id"), vector_columns(["rho", "v", "b"]), rows, columns))
+    few = disp.where(F.col("disp_id") < first).withColumn("r", r)
+    if slice_ids is not None:
+        few = _ids(slices, slice_ids).crossJoin(F.broadcast(few))  # the displacement list is bounded by its request
+    samples = permuted_samples(few, rows, columns, n_samples, seed)
+    return raw_increments(gather(samples, slices, vector_columns(["rho", "v", "b"]), rows, columns))

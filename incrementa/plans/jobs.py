@@ -6,23 +6,30 @@ of Parquet datasets with one row of metadata; lists of slices are text files of
 
 from __future__ import annotations
 
+import hashlib
 import sys
+import uuid
 from datetime import datetime, timezone
 from functools import reduce
 from pathlib import PurePosixPath
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from incrementa.functions.morton import slice_index
+from incrementa.functions.physics import quality_metrics
 from incrementa.operators.channels import MAGNITUDES, PRODUCTS
 from incrementa.operators.displacements import largest_scale, scale_edges
 from incrementa.operators.statistics import binned_means, marginal, moments, plot_scales
-from incrementa.operators.volume import extract_slice
-from incrementa.plans.analysis import Result, analyse_slices, simple_increments
+from incrementa.operators.volume import LAYOUT, PRIMITIVES, check_axis, extract_slice
+from incrementa.plans.analysis import Result, analyse_slices, simple_increments_of
 from incrementa.sources.config import RunConfig, Settings, parse_run, read_result, write_result, write_slice_list
-from incrementa.sources.slices import check_dense, check_stride, listed_paths, load_slice, parse_name, read_npz, slice_name
+from incrementa.sources.slices import check_dense, check_stride, listed_paths, load_slice, parse_name, read_npz, shapes, slice_name
 
 #: fixed values: how the composed job analyses its three slices
+SIMPLE = "simple_sf"
+RAW_SCHEMA = "disp_id int, r double, dv double, db double, drho double"
 PIPELINE = {"stride": 2, "n_displacements": 500, "n_ell_bins": 32, "n_random_subsamples": 500}
 
 
@@ -58,14 +65,50 @@ def slice_paths(spark: SparkSession, run: RunConfig) -> list[str]:
     return found
 
 
+def read_slices(spark: SparkSession, paths: list[str], stride: int = 1, capture: bool = False) -> tuple[DataFrame, dict[str, tuple[int, int]], dict[str, str]]:
+    """(slices (slice_id, j, i, fields), strided; rows and columns by path; what is wrong by path) of NPZ files and Parquet folders.
+
+    All are read by one scan a format and checked by one aggregate; nothing loops over slices but the list itself. A
+    slice that is wrong is an error, or with ``capture`` is told of and left out.
+    """
+    names = {PurePosixPath(p).name: p for p in paths}
+    if len(names) < len(paths):
+        raise ValueError("slices of a run must have different names")
+    archives = [p for p in paths if p.endswith(".npz")]
+    folders = [p for p in paths if not p.endswith(".npz")]
+    wrong = {p: f"FileNotFoundError: {p}" for p in folders if not exists(spark, p)}
+    folders = [p for p in folders if p not in wrong]
+    cells, grids = [], []
+    if archives:
+        cells.append(read_npz(spark, archives, [], capture=True).select("slice_id", "j", "i", "error"))
+        grids.append(load_slice(read_npz(spark, archives, capture=capture).drop("error"), stride))
+    if folders:
+        stored = spark.read.option("mergeSchema", "true").parquet(*folders)
+        stored = stored.withColumn("slice_id", F.element_at(F.split(F.url_decode("_metadata.file_path"), "/"), -2))
+        cells.append(stored.select("slice_id", "j", "i", F.lit(None).cast("string").alias("error")))
+        # a field that another slice has and this one lacks
+        grids.append(load_slice(stored.fillna(float("nan"), [c for c, t in stored.dtypes if t in ("double", "float")]), stride))
+    found = shapes(reduce(DataFrame.unionByName, cells)).collect() if cells else []  # a row a slice of the list
+    sizes = {names[r.slice_id]: (r.rows, r.columns) for r in found}
+    wrong |= {names[r.slice_id]: r.problem for r in found if r.problem}
+    wrong |= {p: "ValueError: the slice is empty" for p in folders if p not in sizes}
+    for p in sizes.keys() - wrong.keys():
+        try:
+            check_stride(stride, *sizes[p])
+        except ValueError as error:
+            wrong[p] = f"ValueError: {error}"
+    if wrong and not capture:
+        path, text = sorted(wrong.items())[0]
+        raise (FileNotFoundError if text.startswith("FileNotFoundError") else ValueError)(f"{path}: {text}")
+    good = [PurePosixPath(p).name for p in paths if p not in wrong]
+    every = reduce(DataFrame.unionByName, grids).where(F.col("slice_id").isin(good)) if good else None
+    return every, {p: tuple(-(-n // stride) for n in sizes[p]) for p in paths if p not in wrong}, wrong
+
+
 def read_slice(spark: SparkSession, path: str, stride: int = 1) -> tuple[DataFrame, int, int]:
     """(slice, rows, columns): an NPZ file or a Parquet folder, strided; the stride must not pass the lesser dimension."""
-    if not exists(spark, path):
-        raise FileNotFoundError(path)
-    raw = (read_npz(spark, path) if path.endswith(".npz") else spark.read.parquet(path)).drop("slice_id")
-    check_stride(stride, *check_dense(raw))
-    grid = load_slice(raw, stride)
-    return grid, *check_dense(grid)
+    grid, sizes, _ = read_slices(spark, [path], stride)
+    return grid.drop("slice_id"), *sizes[path]
 
 
 def scales_of(rows: int, run: RunConfig) -> list[float]:
@@ -101,46 +144,66 @@ def run_batch(spark: SparkSession, run: RunConfig, settings: Settings | None = N
     settings = settings or Settings()
     paths = slice_paths(spark, run)
     named = [parse_name(PurePosixPath(p).name) for p in paths]
-    read = [read_slice(spark, p, run.stride) for p in paths]
-    if len({(rows, columns, axis) for (_, rows, columns), (axis, _) in zip(read, named)}) > 1:
+    grid, sizes, _ = read_slices(spark, paths, run.stride)
+    if len({(*sizes[p], axis) for p, (axis, _) in zip(paths, named)}) > 1:
         raise ValueError("slices of a run must have the same shape and axis")
-    _, rows, columns = read[0]
-    many = reduce(DataFrame.unionByName, [grid.withColumn("slice_id", F.lit(PurePosixPath(p).name)) for p, (grid, _, _) in zip(paths, read)]) if len(read) > 1 else read[0][0]
-    ell = ell or scales_of(rows, run)
+    rows, columns = sizes[paths[0]]
+    ids = [PurePosixPath(p).name for p in paths]
+    ell, seen = ell or scales_of(rows, run), Observation("quality")
+    watched = grid.observe(seen, *quality_metrics())
     result = analyse_slices(
-        many, rows, columns, n_displacements=run.n_disp_total, n_ell_bins=run.n_ell_bins, n_random_subsamples=run.n_random_subsamples, stencil_width=run.stencil_width,
-        axis=named[0][0], seed=seed, bins=settings.binning, min_density=settings.min_density, displacements=displacements, ell=ell,
+        watched if len(paths) > 1 else watched.drop("slice_id"), rows, columns, n_displacements=run.n_disp_total, n_ell_bins=run.n_ell_bins, n_random_subsamples=run.n_random_subsamples,
+        stencil_width=run.stencil_width, axis=named[0][0], seed=seed, bins=settings.binning, min_density=settings.min_density, displacements=displacements, ell=ell, slice_ids=ids,
     )
     meta = {"n_slices": len(paths), "stride": run.stride, "stencil_width": run.stencil_width, "N_random_subsamples": run.n_random_subsamples, "axis": named[0][0], "beta": named[0][1]}
     out = out or f"{settings.directory}/sf_results_{datetime.now(timezone.utc):%Y%m%d_%H%M%S}"
     store_result(spark, result, ell, settings, meta, out)
+    # gathered while the counts were written
+    quality = spark.createDataFrame([(k, float(v) if v is not None else None) for k, v in seen.get.items()], "name string, value double")
+    write_result({"quality": quality.coalesce(1)}, meta, out)
     return out
 
 
 def run_simple(spark: SparkSession, run: RunConfig, out: str, *, first: int = 20, seed: int = 0, displacements: DataFrame | None = None) -> dict[str, str]:
-    """Raw increments of the ``first`` shortest displacements of every slice, each stored as ``simple_sf_<name>``; a slice that fails leaves the others be.
+    """Raw increments of the ``first`` shortest displacements of every slice, stored by slice in one job; a slice that is wrong leaves the others be.
 
     Returns what went wrong, by path.
     """
-    failed = {}
+    failed, named = {}, {}
     for path in slice_paths(spark, run):
         try:
-            axis, beta = parse_name(PurePosixPath(path).name)
-            grid, _, _ = read_slice(spark, path, run.stride)
-            raw = simple_increments(grid, n_displacements=run.n_disp_total, n_ell_bins=run.n_ell_bins, n_samples=run.n_random_subsamples, first=first, seed=seed, displacements=displacements)
-            meta = {"slice": PurePosixPath(path).name, "axis": axis, "beta": beta, "stride": run.stride, "date": f"{datetime.now(timezone.utc):%Y-%m-%dT%H:%M:%S}"}
-            write_result({"increments": raw}, meta, f"{out}/simple_sf_{PurePosixPath(path).stem}")
-        except Exception as wrong:  # isolation of slices is the feature
-            failed[path] = f"{type(wrong).__name__}: {wrong}"
+            named[path] = parse_name(PurePosixPath(path).name)
+        except ValueError as wrong:
+            failed[path] = f"ValueError: {wrong}"
+    grid, sizes, wrong = read_slices(spark, list(named), run.stride, capture=True) if named else (None, {}, {})
+    failed |= wrong
+    parts = []
+    for shape in sorted(set(sizes.values())):
+        ids = [PurePosixPath(p).name for p in sizes if sizes[p] == shape]
+        alike = grid.where(F.col("slice_id").isin(ids))
+        try:
+            parts.append(simple_increments_of(alike, *shape, ids, n_displacements=run.n_disp_total, n_ell_bins=run.n_ell_bins, n_samples=run.n_random_subsamples, first=first, seed=seed, displacements=displacements))
+        except ValueError as error:  # a shape that admits no scales or too few samples
+            failed |= {p: f"ValueError: {error}" for p in sizes if sizes[p] == shape}
+    if not parts:
+        return failed
+    raw = reduce(DataFrame.unionByName, parts)
+    raw.withColumnRenamed("slice_id", "slice").write.mode("overwrite").partitionBy("slice").parquet(f"{out}/{SIMPLE}/increments")
+    when = f"{datetime.now(timezone.utc):%Y-%m-%dT%H:%M:%S}"
+    meta = [(PurePosixPath(p).name, {"axis": str(named[p][0]), "beta": str(named[p][1]), "stride": str(run.stride), "date": when}) for p in sizes if p not in failed]
+    spark.createDataFrame(meta, "slice string, meta map<string,string>").coalesce(1).write.mode("overwrite").parquet(f"{out}/{SIMPLE}/run_meta")
     return failed
 
 
 def read_simple(spark: SparkSession, out: str, name: str | None = None) -> DataFrame:
-    """Stored raw increments: of the named slice, or of the first by name."""
-    found = [f"{out}/simple_sf_{name}"] if name else discovered(spark, out, "simple_sf_*")
+    """Stored raw increments: of the named slice, or of the first by name; only its folder is read."""
+    path = f"{out}/{SIMPLE}/increments"
+    stored = discovered(spark, path, "slice=*") if exists(spark, path) else []
+    found = sorted(unquote(p.rsplit("slice=", 1)[1]) for p in stored)
+    found = [n for n in found if name is None or PurePosixPath(n).stem == PurePosixPath(name).stem or n == name]
     if not found:
-        raise FileNotFoundError(f"{out}/simple_sf_*")
-    return read_result(spark, found[0], "increments")
+        raise FileNotFoundError(f"{path}: {name or 'no slice'}")
+    return spark.read.schema(f"{RAW_SCHEMA}, slice string").parquet(path).where(F.col("slice") == found[0]).drop("slice")
 
 
 def simple_curves(spark: SparkSession, out: str, name: str | None = None) -> DataFrame:
@@ -149,11 +212,44 @@ def simple_curves(spark: SparkSession, out: str, name: str | None = None) -> Dat
     return binned_means(raw, plot_scales(raw))
 
 
+def fingerprint(volume: DataFrame, axis: int, value: float, n: int) -> str:
+    """Key of a slice by what it is made of: the cells of its plane and the two beside it, whatever their order, the axis, the place and the size."""
+    check_axis(axis)
+    normal, index = LAYOUT[axis][0], slice_index(value, n)
+    near = volume.where(F.col(normal).isin(sorted({(index + d) % n for d in (-1, 0, 1)})))
+    cell = [F.col(c).cast("int") for c in "kji"] + [F.col(f).cast("double") for f in PRIMITIVES]
+    got = near.agg(F.count("*"), *(F.sum(F.xxhash64(F.lit(seed), *cell).cast("decimal(38,0)")) for seed in (1, 2))).first()
+    return hashlib.sha256(repr((axis, index, n, *map(str, got))).encode()).hexdigest()[:32]
+
+
+def moved_once(spark: SparkSession, source: str, path: str) -> bool:
+    """Move a folder to where nothing is yet, in one step; False where another writer was first, whose folder stays."""
+    jvm = spark._jvm
+    a, b = (jvm.org.apache.hadoop.fs.Path(p) for p in (source, path))
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(a.toUri(), spark._jsc.hadoopConfiguration())
+    none = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        files.rename(a, b, none)
+        return True
+    except Exception:
+        if not exists(spark, f"{path}/_SUCCESS"):
+            raise
+        files.delete(a, True)
+        return False
+
+
 def extracted(spark: SparkSession, volume: DataFrame, axis: int, value: float, n: int, folder: str, sim: str = "run", file_number: int = 0) -> DataFrame:
-    """The stored slice, computed and written only where it is not there yet."""
-    path = f"{folder}/{slice_name(sim, axis, value, file_number)}"
+    """The stored slice, computed and written only where none of the same content is there.
+
+    It lies under its name in a folder named by its fingerprint; it is written aside and moved there whole, so that of
+    writers at the same time one wins and none is seen half done.
+    """
+    home = f"{folder}/{slice_name(sim, axis, value, file_number)}"
+    path = f"{home}/key={fingerprint(volume, axis, value, n)}"
     if not exists(spark, f"{path}/_SUCCESS"):
-        extract_slice(volume, axis, value, n).write.mode("overwrite").parquet(path)
+        aside = f"{home}/_writing-{uuid.uuid4().hex}"
+        extract_slice(volume, axis, value, n).write.parquet(aside)
+        moved_once(spark, aside, path)
     return spark.read.parquet(path)
 
 

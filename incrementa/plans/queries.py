@@ -24,6 +24,7 @@ from incrementa.plans import oracle as o
 from incrementa.plans.analysis import analyse_slice, framed_samples
 from incrementa.sources import config as cf
 from incrementa.sources import slices as sl
+from incrementa.streaming.accumulate import accumulate, totals
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -704,6 +705,32 @@ def agg_5(spark, sf):
     return st.merged([ch.magnitude_histogram(rows, ["D_V"], extra=("slice_id",))], extra=("slice_id",))
 
 
+@query("agg_5_incremental", f"{FRAMED}, {o.hist(['D_V'])} SELECT channel, ell_bin, theta_bin, phi_bin, sf_bin, count FROM hist")
+def agg_5_incremental(spark, sf):
+    """Histograms of the displacements, a slice each, added up as they arrive, a file a batch; half of them are delivered again by another query."""
+    rows = framed(spark, sf, ["D_V"]).withColumn("slice_id", F.concat(F.lit("slice-"), F.col("disp_id").cast("string")))
+    each = ch.magnitude_histogram(rows, ["D_V"], extra=("slice_id",))
+    folder = work(spark, "arrivals")
+    each.repartition("slice_id").write.partitionBy("slice_id").parquet(f"{folder}/first")
+    again = spark.read.parquet(f"{folder}/first").where(F.substring("slice_id", 7, 9).cast("int") % 2 == 0)
+    again.write.partitionBy("slice_id").parquet(f"{folder}/again")
+    for name, files in (("first", 3), ("again", 1)):
+        stream = spark.readStream.schema(each.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/{name}")
+        accumulate(stream, f"{folder}/totals", f"{folder}/log-{name}").trigger(availableNow=True).start().awaitTermination()
+    return totals(spark, f"{folder}/totals")
+
+
+def marginals_sql(bins: list[str], sets: list[tuple[str, ...]]) -> str:
+    parts = [f"SELECT '{','.join(s)}' AS over, channel, {', '.join(c if c in s else f'-1 AS {c}' for c in bins)}, CAST(sum(count) AS BIGINT) AS count FROM hist GROUP BY {', '.join(['channel', *s])}" for s in sets]
+    return " UNION ALL ".join(parts)
+
+
+@query("agg_marginals", f"{H} {marginals_sql(['ell_bin', 'theta_bin', 'phi_bin', 'sf_bin'], st.MARGINALS)}")
+def agg_marginals(spark, sf):
+    """Counts by scale, by scale and angles, by scale and value, and in all, for every magnitude channel from one histogram."""
+    return st.marginals(hist(spark, sf, list(ch.MAGNITUDES)))
+
+
 @query("agg_6", f"{H} SELECT channel, ell_bin, CAST(sum(count) AS BIGINT) AS count FROM hist GROUP BY ALL")
 def agg_6(spark, sf):
     return st.marginal(hist(spark, sf), "ell_bin")
@@ -885,6 +912,12 @@ def snk_2(spark, sf):
     return cf.read_result(spark, batch(spark, sf), "run_meta").select(F.explode("meta").alias("name", "value"))
 
 
+@query("phy_3_observed", f"{G} SELECT unnest(['n_cells', 'n_bad_density', 'rho_min', 'n_nan', 'n_inf']) AS name, unnest([count(*)::DOUBLE, count_if(rho <= 0)::DOUBLE, min(rho), 0e0, 0e0]) AS value FROM grid")
+def phy_3_observed(spark, sf):
+    """Quality of a batch run's cells, observed while its counts were written."""
+    return cf.read_result(spark, batch(spark, sf), "quality")
+
+
 @query("snk_4", "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{f}', {k})" for k, (c, f) in enumerate([*((c, "magnitude") for c in ch.MAGNITUDES), *((c, "product") for c in ch.PRODUCTS)])) + ") AS t(name, family, idx)")
 def snk_4(spark, sf):
     """The catalogue of channels in a stored result."""

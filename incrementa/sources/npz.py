@@ -27,6 +27,7 @@ from pyspark.sql.types import StructType
 
 FORMAT = "npz_slices"
 BAND_BYTES = 64 << 20
+OPENING = 1 << 20
 #: cells of a batch handed to Spark
 BATCH_CELLS = 1 << 16
 _KEYS = ("slice_id", "j", "i", "error")
@@ -58,6 +59,30 @@ class Band(InputPartition):
     def slice_id(self) -> str:
         return PurePosixPath(self.path).name
 
+    @property
+    def size(self) -> int:
+        """Bytes that reading it costs, counting the opening of a file as so many."""
+        return OPENING + (self.stop - self.first) * self.columns * sum(np.dtype(m.dtype).itemsize for _, m in self.members)
+
+
+@dataclass(frozen=True)
+class Bands(InputPartition):
+    """What a task reads: a band, or several small files."""
+
+    bands: tuple[Band, ...]
+
+
+def packed(found: list[Band], band_bytes: int) -> list[Bands]:
+    """Bands in order, joined up to about ``band_bytes``."""
+    out, held, size = [], [], 0
+    for band in found:
+        if held and size + band.size > band_bytes:
+            out.append(Bands(tuple(held)))
+            held, size = [], 0
+        held.append(band)
+        size += band.size
+    return [*out, *([Bands(tuple(held))] if held else [])]
+
 
 def opened(path: str) -> pa.NativeFile:
     """A file of a local path or URI, open at any place of it."""
@@ -118,7 +143,7 @@ class NpzReader(DataSourceReader):
         self.band_bytes = int(options.get("band_bytes", BAND_BYTES))
         self.rows = tuple(json.loads(options["rows"])) if "rows" in options else (0, None)
 
-    def partitions(self) -> list[Band]:
+    def partitions(self) -> list[Bands]:
         def of(path: str) -> list[Band]:
             try:
                 return bands(path, self.fields, self.known, self.band_bytes, *self.rows)
@@ -129,19 +154,19 @@ class NpzReader(DataSourceReader):
 
         with ThreadPoolExecutor(16) as pool:
             found = [b for some in pool.map(of, self.paths) for b in some]
-        return found or [Band("")]  # a scan has to have a partition
-
-    def read(self, partition: Band) -> Iterator[pa.RecordBatch]:
-        try:
-            if partition.error:
-                raise _Known(partition.error)
-            yield from self._cells(partition)
-        except Exception as wrong:
-            if not self.capture:
-                raise
-            text = str(wrong) if isinstance(wrong, _Known) else f"{type(wrong).__name__}: {wrong}"
-            given = {"slice_id": [partition.slice_id], "error": [text]}
-            yield self._batch(1, given)
+        return packed(found or [Band("")], self.band_bytes)  # a scan has to have a partition
+
+    def read(self, partition: Bands) -> Iterator[pa.RecordBatch]:
+        for band in partition.bands:
+            try:
+                if band.error:
+                    raise _Known(band.error)
+                yield from self._cells(band)
+            except Exception as wrong:
+                if not self.capture:
+                    raise
+                text = str(wrong) if isinstance(wrong, _Known) else f"{type(wrong).__name__}: {wrong}"
+                yield self._batch(1, {"slice_id": [band.slice_id], "error": [text]})
 
     def _batch(self, n: int, given: dict[str, object]) -> pa.RecordBatch:
         kinds = {"slice_id": pa.string(), "j": pa.int32(), "i": pa.int32(), "error": pa.string()}

@@ -414,15 +414,6 @@ def test_simple_run_isolates_slices(spark, slice_folder, tmp_path):
         jobs.read_simple(spark, str(tmp_path / "empty"))
 
 
-def test_extraction_is_reused(spark, sf, tmp_path):
-    volume, n = fx.volume(spark, sf), fx.volume_size(spark, sf)
-    one = jobs.extracted(spark, volume, 1, 0.0, n, str(tmp_path))
-    path = tmp_path / "run_axis1_slice0_file0000" / "_SUCCESS"
-    made = path.stat().st_mtime_ns
-    two = jobs.extracted(spark, volume.limit(0), 1, 0.0, n, str(tmp_path))
-    assert path.stat().st_mtime_ns == made and one.count() == two.count() == n * n
-
-
 def test_settings_are_honoured_or_refused(tmp_path, capsys):
     assert cf.parse_arguments(["--N_random_subsamples", "7", "--file_name", "x"], False).n_random_subsamples == 7
     p = tmp_path / "c.yaml"

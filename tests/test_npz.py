@@ -105,4 +105,4 @@ def test_a_slice_larger_than_a_binary_file(spark, tmp_path):
 def test_reader_options():
     schema = StructType.fromJson({"type": "struct", "fields": [{"name": n, "type": t, "nullable": True, "metadata": {}} for n, t in (("j", "integer"), ("dens", "double"))]})
     reader = NpzReader(schema, {"paths": json.dumps([])})
-    assert reader.partitions()[0].stop == 0 and not reader.capture
+    assert reader.partitions()[0].bands[0].stop == 0 and not reader.capture
