@@ -1,6 +1,6 @@
 """Runs from files to stored results (API-4..8, SNK-2..7, SRC-8, SRC-13, SRC-14).
 
-``python -m incrementa.plans.jobs batch|simple|show|pipeline ...`` with the flags of a run. Every result is a folder
+``python -m incrementa.plans.jobs batch|simple|show|list|demo|pipeline ...`` with the flags of a run. Every result is a folder
 of Parquet datasets with one row of metadata; lists of slices are text files of one path a line.
 """
 
@@ -9,6 +9,8 @@ from __future__ import annotations
 import hashlib
 import sys
 import uuid
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 from datetime import datetime, timezone
 from functools import reduce
 from pathlib import PurePosixPath
@@ -256,8 +258,9 @@ def extracted(spark: SparkSession, volume: DataFrame, axis: int, value: float, n
 def run_pipeline(spark: SparkSession, volume: DataFrame, n: int, folder: str, *, seed: int = 0, settings: Settings | None = None, displacements: DataFrame | None = None, ell: list[float] | None = None, **options: int) -> DataFrame:
     """Slices normal to all three axes through the middle, analysed and stored; returns counts by axis, channel, scale and value bin."""
     settings, options = settings or Settings(), PIPELINE | options
-    stride, parts = options.pop("stride"), []
-    for axis in (1, 2, 3):
+    stride = options.pop("stride")
+
+    def sliced(axis: int) -> DataFrame:
         grid = load_slice(extracted(spark, volume, axis, 0.0, n, f"{folder}/slices"), stride)
         rows, columns = check_dense(grid)
         edges = ell or scale_edges(1, largest_scale(rows, 2), options["n_ell_bins"])
@@ -265,12 +268,38 @@ def run_pipeline(spark: SparkSession, volume: DataFrame, n: int, folder: str, *,
         result = analyse_slices(grid, rows, columns, axis=axis, seed=seed, bins=settings.binning, min_density=settings.min_density, displacements=displacements, ell=edges, **few)
         out = f"{folder}/sf_results_axis{axis}"
         store_result(spark, result, edges, settings, {"axis": axis, "stride": stride, "stencil_width": 2, "N_random_subsamples": few["n_random_subsamples"], "n_slices": 1}, out)
-        parts.append(marginal(read_result(spark, out, "counts"), "ell_bin", "value_bin").withColumn("axis", F.lit(axis)))
-    return reduce(DataFrame.unionByName, parts)
+        return marginal(read_result(spark, out, "counts"), "ell_bin", "value_bin").withColumn("axis", F.lit(axis))
+
+    # the three don't depend on each other: their jobs share the cluster
+    with ThreadPoolExecutor(3) as pool:
+        return reduce(DataFrame.unionByName, pool.map(sliced, (1, 2, 3)))
+
+
+def run_demo(spark: SparkSession, folder: str, out: str, *, seed: int = 0, pattern: str = "*.npz", **options: int) -> dict[str, str]:
+    """All steps over a folder of slices: the list, raw increments of every slice, a batch run of each axis and shape, curves of the first slice.
+
+    Returns where each lies, by step, and ``failed:<path>`` for slices that were left out. ``options`` are a run's numbers.
+    """
+    places = {"list": f"{out}/slices.txt", "simple": f"{out}/simple", "curves": f"{out}/curves"}
+    list_slices(spark, folder, places["list"], pattern)
+    run = replace(RunConfig(slice_list=places["list"]), **options)
+    failed = run_simple(spark, run, places["simple"], seed=seed)
+    good = [p for p in slice_paths(spark, run) if p not in failed]
+    _, sizes, _ = read_slices(spark, good, run.stride, capture=True)
+    alike: dict[tuple, list[str]] = {}
+    for p in good:
+        alike.setdefault((parse_name(PurePosixPath(p).name)[0], *sizes[p]), []).append(p)
+    for (axis, rows, columns), paths in sorted(alike.items()):
+        part = f"{out}/slices_axis{axis}_{rows}x{columns}.txt"
+        write_slice_list(spark, paths, part)
+        few = min(run.n_random_subsamples, rows * columns)
+        places[f"batch_axis{axis}_{rows}x{columns}"] = run_batch(spark, replace(run, slice_list=part, n_random_subsamples=few), out=f"{out}/batch_axis{axis}_{rows}x{columns}", seed=seed)
+    simple_curves(spark, places["simple"]).write.mode("overwrite").parquet(places["curves"])
+    return places | {f"failed:{p}": why for p, why in failed.items()}
 
 
 def main(argv: list[str] | None = None) -> None:
-    """batch: analyse a slice or a list. simple: raw increments. show: curves of a simple result. list: write a folder's list. pipeline: a volume's three slices."""
+    """batch: analyse a slice or a list. simple: raw increments. show: curves of a simple result. list: write a folder's list. demo: all of these over a folder. pipeline: a volume's three slices."""
     command, *rest = sys.argv[1:] if argv is None else argv
     spark = SparkSession.builder.getOrCreate()
     if command == "list":
@@ -278,6 +307,10 @@ def main(argv: list[str] | None = None) -> None:
         print("\n".join(list_slices(spark, folder, path)))
     elif command == "show":
         simple_curves(spark, *rest).orderBy("r_bin").show(100, False)
+    elif command == "demo":
+        folder, out = rest
+        for step, where in run_demo(spark, folder, out).items():
+            print(f"{step}: {where}")
     elif command == "pipeline":
         path, n, folder = rest
         run_pipeline(spark, spark.read.parquet(path), int(n), folder).groupBy("axis", "channel").agg(F.sum("count").alias("count")).orderBy("axis", "channel").show(100, False)

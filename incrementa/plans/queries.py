@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -62,8 +63,8 @@ VB = [f"{v}_{c}" for v in "vb" for c in "xyz"]
 
 def work(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that all executors share; a temporary one only where all is one process."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local["):
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{(named or 'file://' + tempfile.mkdtemp(prefix='incrementa-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -253,8 +254,8 @@ def vol_8(spark, sf):
     return vol.with_neighbour_planes(fx.volume(spark, sf), 3, 0, fx.volume_size(spark, sf), ["dens"])
 
 
-def slice_sql(axis: int) -> str:
-    """The slice at cell 3 along ``axis`` with its derived fields, by six self-joins."""
+def slice_sql(axis: int, at: str = "3") -> str:
+    """The slice at cell ``at`` (3) along ``axis`` with its derived fields, by six self-joins."""
     normal, row, col = vol.LAYOUT[axis]
     which = dict(zip("xyz", "ijk"))
     steps = {"ip": ("i", 1), "im": ("i", -1), "jp": ("j", 1), "jm": ("j", -1), "kp": ("k", 1), "km": ("k", -1)}
@@ -265,7 +266,7 @@ def slice_sql(axis: int) -> str:
     out |= {f"curv{c}": f"a.unit1 * ({d(f'unit{k}', 'x')}) + a.unit2 * ({d(f'unit{k}', 'y')}) + a.unit3 * ({d(f'unit{k}', 'z')})" for k, c in enumerate("xyz", 1)}
     out |= {f"grad_rho_{c}": d("dens", c) for c in "xyz"}
     unit = ", ".join(f"bcc{k} / sqrt(bcc1 * bcc1 + bcc2 * bcc2 + bcc3 * bcc3 + 1e-10) AS unit{k}" for k in (1, 2, 3))
-    return f"{V}, u AS (SELECT *, {unit} FROM vc) SELECT a.{row} AS j, a.{col} AS i, {', '.join(f'a.{p} AS {p}' for p in vol.PRIMITIVES)}, {', '.join(f'{e} AS {c}' for c, e in out.items())} FROM u a {joins} WHERE a.{normal} = 3"
+    return f"{V}, u AS (SELECT *, {unit} FROM vc) SELECT a.{row} AS j, a.{col} AS i, {', '.join(f'a.{p} AS {p}' for p in vol.PRIMITIVES)}, {', '.join(f'{e} AS {c}' for c, e in out.items())} FROM u a {joins} WHERE a.{normal} = {at}"
 
 
 def extracted(spark, sf, axis):
@@ -957,12 +958,30 @@ def api_6(spark, sf):
     return rounded(jobs.simple_curves(spark, simple(spark, sf)))
 
 
-@query("api_7")
+def pipeline_sql() -> str:
+    """Counts of the three middle slices, of every second cell, by axis, channel, scale and value bin."""
+    parts = []
+    names = ", ".join(f"{k} AS {v}" for k, v in sl.FIELDS.items())
+    va = ", ".join(f"CASE WHEN rho > 0 AND NOT isnan(rho) THEN b_{c} * (1e0 / sqrt(greatest(rho, 1e-10))) ELSE 0e0 END AS va_{c}" for c in "xyz")
+    z = ", ".join(f"v_{c} {sign} va_{c} AS {name}_{c}" for name, sign in (("zp", "+"), ("zm", "-")) for c in "xyz")
+    for axis in (1, 2, 3):
+        ctes = [
+            f"sliced AS ({slice_sql(axis, 'a.n // 2 - 1')})",
+            f"nn AS (SELECT (n + 1) // 2 AS n FROM (WITH {VN} SELECT n FROM vn))",
+            f"alf AS (SELECT *, {va} FROM (SELECT j // 2 AS j, i // 2 AS i, {names} FROM sliced WHERE j % 2 = 0 AND i % 2 = 0))",
+            f"grid AS (SELECT *, {z} FROM alf)",
+            o.DISP, o.SCALED, o.permuted(f"least({jobs.PIPELINE['n_random_subsamples']}, n * n)"), o.frames(2, axis), o.hist(list(ch.MAGNITUDES)), o.prod(list(ch.PRODUCTS)),
+        ]
+        body = "SELECT channel, ell_bin, sf_bin AS value_bin, count FROM hist UNION ALL SELECT channel, ell_bin, product_bin AS value_bin, count FROM prod"
+        parts.append(f"SELECT {axis} AS axis, channel, ell_bin, value_bin, CAST(sum(count) AS BIGINT) AS count FROM ({o.with_(*ctes)} {body}) GROUP BY ALL")
+    return " UNION ALL ".join(parts)
+
+
+@query("api_7", pipeline_sql())
 def api_7(spark, sf):
     """Three slices of the volume, extracted, analysed and stored: counts by axis, channel, scale and value bin."""
     n = fx.volume_size(spark, sf)
-    folder = work(spark, "pipeline")
-    return jobs.run_pipeline(spark, fx.volume(spark, sf), n, folder, displacements=fx.displacements(spark).where("disp_id < 3"), ell=[1.0, 1.5, 2.5, 5.0])
+    return jobs.run_pipeline(spark, fx.volume(spark, sf), n, work(spark, "pipeline"), displacements=fx.displacements(spark), ell=fx.ELL)
 
 
 def all_queries() -> dict[str, Query]:

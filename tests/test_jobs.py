@@ -200,3 +200,16 @@ def test_marginals_in_one_aggregate(spark):
     for keys in st.MARGINALS:
         want = {tuple(r) for r in hist.groupBy("channel", *keys).agg(F.sum("count")).collect()}
         assert {tuple(r) for r in got.where(F.col("over") == ",".join(keys)).select("channel", *keys, "count").collect()} == want
+
+
+def test_demo_over_a_folder(spark, tmp_path):
+    rng, folder = np.random.default_rng(6), tmp_path / "in"
+    folder.mkdir()
+    for name, n in (("slice_x3_0_beta1", 16), ("slice_x3_1_beta1", 16), ("slice_x1_0_beta1", 12)):
+        np.savez(folder / f"{name}.npz", **{f: rng.normal(size=(n, n)) + 9 * (f == "dens") for f in SEVEN})
+    (folder / "slice_x2_0_beta1.npz").write_bytes(b"junk" * 40)
+    found = jobs.run_demo(spark, f"file://{folder}", str(tmp_path / "out"), n_disp_total=20, n_random_subsamples=20, n_ell_bins=2)
+    assert sorted(k for k in found if not k.startswith("failed")) == ["batch_axis1_12x12", "batch_axis3_16x16", "curves", "list", "simple"]
+    assert [k.rsplit("/", 1)[1] for k in found if k.startswith("failed")] == ["slice_x2_0_beta1.npz"]
+    assert cf.read_result(spark, found["batch_axis3_16x16"], "run_meta").first()["meta"]["n_slices"] == "2"
+    assert spark.read.parquet(found["curves"]).count() > 0 and jobs.read_simple(spark, found["simple"]).count() > 0
