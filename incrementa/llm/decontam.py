@@ -41,6 +41,8 @@ SHORT = 9
 LONG = 13
 #: bytes of benchmark text up to which its seeds (about 1.5 a byte at most) go to every task
 BLOCK_BYTES = 4 << 20
+#: places of pairs that are compared at once
+PLACES = 1 << 20
 #: upper bits of a seed that the bitmap of a larger benchmark looks at
 BITMAP_BITS = 24
 _STEP = np.random.default_rng(77).integers(1, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -156,13 +158,39 @@ def agreement(a: np.ndarray, b: np.ndarray, window: int, share: float) -> tuple[
     return (k, int(n[k])) if n[k] >= np.ceil(share * w) else None
 
 
-def matches(batches: Iterator[pa.RecordBatch], seeds: Seeds, window: int, share: float) -> Iterator[tuple[pa.RecordBatch, list[set]]]:
-    """Parts of the batches, with each document's set of (item id, first token, end, matches)."""
+def agreements(x: np.ndarray, y: np.ndarray, a: np.ndarray, q: np.ndarray, run: np.ndarray, w: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`agreement` for many pairs at once: runs of ``run`` places from ``a`` in x and ``q`` in y; (start, matches), start -1 where none agrees."""
+    start, same = np.full(len(a), -1), np.zeros(len(a), np.int64)
+    fit = np.flatnonzero((run >= w) & (w > 0))
+    ends = np.cumsum(run[fit])
+    cuts = np.searchsorted(ends, np.arange(PLACES, (ends[-1] if len(ends) else 0) + PLACES, PLACES))
+    for some in np.split(fit, np.unique(cuts[cuts > 0])):
+        if not len(some):
+            continue
+        n, at = run[some], np.cumsum(run[some]) - run[some]
+        place = np.arange(n.sum())
+        inside = place - np.repeat(at, n)
+        c = np.concatenate([[0], np.cumsum(x[np.repeat(a[some], n) + inside] == y[np.repeat(q[some], n) + inside])])
+        width = np.repeat(w[some], n)
+        agree = np.where(inside + width <= np.repeat(n, n), c[np.minimum(place + width, len(place))] - c[place], -1)
+        most = np.maximum.reduceat(agree, at)
+        first = np.minimum.reduceat(np.where(agree == np.repeat(most, n), inside, len(place)), at)
+        hit = most >= np.ceil(share * w[some])
+        start[some[hit]], same[some[hit]] = first[hit], most[hit]
+    return start, same
+
+
+def matches(batches: Iterator[pa.RecordBatch], seeds: Seeds, window: int, share: float) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Parts of the batches, with what was found in them: arrays of document, item, first token, end, matches."""
+    size = np.diff(seeds.first)
     for whole in batches:
         for batch in slices(whole, "text"):
             body, off = text_views(batch.column("text"))
             h, first = tokens(body, off)
-            pairs = []
+            pairs = [np.zeros(0, np.int64)]
+            # document, item and diagonal as one number: diagonals from -longest to the last token
+            longest, items = int(size.max(initial=0)), max(len(size), 1)
+            reach = int(np.diff(first).max(initial=0)) + longest + 1
             for mask in seeds.masks:
                 s = seed_hashes(h, mask)
                 at = np.flatnonzero(seeds.near[s >> np.uint64(44)])
@@ -171,16 +199,17 @@ def matches(batches: Iterator[pa.RecordBatch], seeds: Seeds, window: int, share:
                 if len(at):
                     hit = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
                     doc = np.searchsorted(first, at, side="right") - 1
-                    pairs.append(np.stack([np.repeat(doc, n), seeds.item[hit], np.repeat(at, n) - seeds.place[hit]], 1))
-            found: list[set] = [set() for _ in range(batch.num_rows)]
-            if pairs:
-                for doc, item, at in np.unique(np.concatenate(pairs), axis=0).tolist():
-                    a, b = max(at, int(first[doc])), min(at + int(seeds.first[item + 1] - seeds.first[item]), int(first[doc + 1]))
-                    q = int(seeds.first[item]) + a - at
-                    if b > a and (best := agreement(h[a:b], seeds.token[q : q + b - a], min(window, int(seeds.first[item + 1] - seeds.first[item])), share)):
-                        start = a - int(first[doc]) + best[0]
-                        found[doc].add((seeds.ids[item], start, start + min(window, b - a), best[1]))
-            yield batch, found
+                    there = np.repeat(at - first[doc], n) - seeds.place[hit] + longest
+                    pairs.append(np.unique((np.repeat(doc, n) * items + seeds.item[hit]) * reach + there))
+            rest, at = np.divmod(np.unique(np.concatenate(pairs)), reach)
+            doc, item = np.divmod(rest, items)
+            at += first[doc] - longest
+            a, b = np.maximum(at, first[doc]), np.minimum(at + size[item], first[doc + 1])
+            w = np.minimum(window, size[item])
+            start, same = agreements(h, seeds.token, a, seeds.first[item] + a - at, b - a, w, share)
+            hit = start >= 0
+            begin = (a - first[doc] + start)[hit]
+            yield batch, [doc[hit], item[hit], begin, begin + w[hit], same[hit]]
 
 
 def _order(found: tuple) -> tuple:
@@ -194,7 +223,10 @@ def _span(item: int | None, start: int, end: int, same: int) -> str:
 def match_batches(batches: Iterator[pa.RecordBatch], seeds: Seeds, window: int, share: float) -> Iterator[pa.RecordBatch]:
     """Rows of every document: found items (ids, sorted) and the spans that show them, in tokens."""
     for batch, found in matches(batches, seeds, window, share):
-        rows = [sorted(f, key=_order) for f in found]
+        each: list[set] = [set() for _ in range(batch.num_rows)]
+        for doc, item, *where in zip(*(c.tolist() for c in found)):
+            each[doc].add((seeds.ids[item], *where))
+        rows = [sorted(f, key=_order) for f in each]
         yield pa.record_batch(
             [batch.column("doc_id"), pa.array([list(dict.fromkeys(x[0] for x in f)) for f in rows], pa.list_(pa.int64())), pa.array([[_span(*x) for x in f] for f in rows], pa.list_(pa.string()))],
             ["doc_id", "item_ids", "spans"],
@@ -203,7 +235,9 @@ def match_batches(batches: Iterator[pa.RecordBatch], seeds: Seeds, window: int,
 
 def clean_batches(batches: Iterator[pa.RecordBatch], seeds: Seeds, window: int, share: float) -> Iterator[pa.RecordBatch]:
     for batch, found in matches(batches, seeds, window, share):
-        yield batch.filter(pa.array([not f for f in found], pa.bool_()))
+        clean = np.ones(batch.num_rows, bool)
+        clean[found[0]] = False
+        yield batch.filter(pa.array(clean))
 
 
 def item_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

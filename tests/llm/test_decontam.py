@@ -4,6 +4,7 @@ from itertools import combinations
 
 import numpy as np
 
+from incrementa.llm import decontam
 from incrementa.llm.decontam import SHORTEST, agreement, contamination, tokens, without_contaminated
 
 from .conftest import sentence
@@ -112,3 +113,29 @@ def test_every_length_to_forty(spark):
     assert 30 < sum(map(bool, want.values())) < len(rows) - 30
     for most in (1 << 20, 0):
         assert {r.doc_id: r.item_ids for r in contamination(docs, bench, block_bytes=most).collect()} == want
+
+
+def test_pairs_at_once_as_one_by_one(monkeypatch):
+    rng = np.random.default_rng(11)
+    x, y = rng.integers(0, 3, 4000).astype(np.uint64), rng.integers(0, 3, 4000).astype(np.uint64)
+    run = rng.integers(-2, 60, 500)
+    a, q, w = rng.integers(0, 3900, 500), rng.integers(0, 3900, 500), rng.integers(1, 14, 500)
+    for places in (1 << 20, 50):
+        monkeypatch.setattr(decontam, "PLACES", places)
+        start, same = decontam.agreements(x, y, a, q, run, w, 0.6)
+        for k in range(500):
+            want = decontam.agreement(x[a[k] : a[k] + run[k]], y[q[k] : q[k] + run[k]], int(w[k]), 0.6) if run[k] > 0 else None
+            assert (int(start[k]), int(same[k])) == (want or (-1, 0))
+    assert (start >= 0).sum() > 50
+
+
+def test_items_that_share_an_opening(spark):
+    """Every document begins as every item does, and agrees with it there: 1,000 documents, 500 items."""
+    import time
+
+    opening = "read the following passage with care and then answer the question below in your own words"
+    items = spark.createDataFrame([(k, f"{opening} item{k} " + " ".join(f"i{k}w{j}" for j in range(20))) for k in range(500)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"{opening} text{k}" if k % 2 else f"plain text{k}") for k in range(2000)], "doc_id long, text string").repartition(8)
+    began = time.time()
+    assert sorted(r.doc_id for r in decontam.without_contaminated(docs, items).select("doc_id").collect()) == list(range(0, 2000, 2))
+    assert time.time() - began < 60
