@@ -11,7 +11,7 @@ The model depends on the rows alone, not on their order.
 
 Edge cases: null text is empty; a text without matches, the empty one included, gets the
 calibrated score of no evidence; repeated rows score alike; labels without both classes give the
-base rate; an empty table gives an empty result. Other columns are ignored.
+base rate; without a labelled row every score is next to 0; an empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,6 +48,10 @@ SCORE = "__toxicity"
 _SIGN = re.compile(r"(?<=[^\W\d_])[@$!](?=[^\W\d_])")
 
 
+#: log odds of a score that rejects nothing
+UNLIKELY = -30.0
+
+
 def _table() -> dict[int, str]:
     table = {i: " " for i in range(128) if not chr(i).isalnum()}
     for code in [*range(0xA0, 0x250), *range(0xFF01, 0xFF5F)]:
@@ -190,7 +194,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...]
             yield pa.record_batch([batch.column("doc_id"), batch.column("label"), *(pa.array(x[:, k]) for k in range(3))], ["doc_id", "label", "a", "b", "c"])
 
     points = sample.select("doc_id", "label", "text").mapInArrow(measured, "doc_id long, label int, a double, b double, c double").toPandas().sort_values("doc_id")
-    return lexicon, exceptions, fit_logistic(points[["a", "b", "c"]].to_numpy(float), points["label"].to_numpy(float))
+    weights = fit_logistic(points[["a", "b", "c"]].to_numpy(float), points["label"].to_numpy(float))
+    if not len(points):
+        weights = np.append(weights[:-1], UNLIKELY)
+    return lexicon, exceptions, weights
 
 
 def score_batches(batches: Iterator[pa.RecordBatch], lexicon: dict[str, float], weights: np.ndarray, exceptions: tuple[str, ...], dropped: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
