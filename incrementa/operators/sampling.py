@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from incrementa.functions.binning import bin_index
@@ -44,6 +44,13 @@ def affine_samples(disp: DataFrame, rows: int, columns: int, n: int, step: int =
 
 #: fixed values: a prime, and the numbers that keys and rounds are mixed with
 PRIME, MIX, ROUNDS, SAMPLE_BLOCK = 2147483647, (48271, 16807, 69621, 40692), 4, 4096
+#: samples of a displacement for each task
+TASK_SAMPLES = 16 * SAMPLE_BLOCK
+
+
+def sample_tasks(spark: SparkSession, n: int) -> int:
+    """Tasks over ``n`` samples of each displacement: a task's share does not grow with ``n``, whatever the session's number of shuffle partitions."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // TASK_SAMPLES))
 
 
 def stirred(x: Column, key: Column) -> Column:
@@ -64,7 +71,7 @@ def permuted_samples(disp: DataFrame, rows: int, columns: int, n: int, seed: int
     key = (stirred(whole * MIX[2] % PRIME, F.lit(seed % PRIME).cast("long")) * MIX[3] + whole) % PRIME
     blocks = disp.select("*", key.alias("__key"), F.explode(F.sequence(F.lit(0), F.lit((n - 1) // SAMPLE_BLOCK))).alias("__block"))
     # the list comes in one partition; its rows are few, what is made of them is not
-    blocks = blocks.repartition(int(disp.sparkSession.conf.get("spark.sql.shuffle.partitions")), "disp_id", "__block")
+    blocks = blocks.repartition(sample_tasks(disp.sparkSession, n), "disp_id", "__block")
     ks = F.sequence(F.col("__block") * SAMPLE_BLOCK, F.least(F.col("__block") * SAMPLE_BLOCK + (SAMPLE_BLOCK - 1), F.lit(n - 1)))
     at = blocks.select(*disp.columns, "__key", F.explode(ks).alias("k")).withColumn("__k", F.col("k").cast("long"))
     at = at.select(*disp.columns, "k", "__key", F.floor(F.col("__k") / F.lit(columns)).alias("j"), (F.col("__k") % columns).alias("i"))

@@ -460,7 +460,9 @@ def smp_1_seeded(spark, sf):
 def smp_1_random(spark, sf):
     """Every cell once, whatever the displacement: what a draw without replacement comes to when all are drawn."""
     n = fx.plane_size(spark, sf)
-    drawn = sm.permuted_samples(fx.scaled(spark), n, n, n * n, 11)
+    drawn = sm.permuted_samples(fx.scaled(spark), n, n, n * n, 11).select("disp_id", "j", "i")
+    # no place recurs, so that combining within tasks saves nothing: rows go to as many tasks as they need before they are counted
+    drawn = drawn.repartition(sm.sample_tasks(spark, n * n), "disp_id", "j", "i")
     inside = F.min((F.col("j").between(0, n - 1)) & (F.col("i").between(0, n - 1)))
     return drawn.groupBy("disp_id").agg(F.count("*").alias("n"), F.countDistinct("j", "i").alias("cells"), inside.alias("inside"))
 

@@ -1,6 +1,7 @@
 """Driver-side pieces, edge cases and a brute-force histogram."""
 
 import math
+import re
 import warnings
 
 import numpy as np
@@ -15,6 +16,7 @@ from incrementa.operators import volume as vol
 from incrementa.plans import fixtures as fx
 from incrementa.plans import jobs
 from incrementa.plans.analysis import analyse_slice, analyse_slices, framed_samples, simple_increments, with_derived
+from incrementa.plans.queries import QUERIES
 from incrementa.sources import config as cf
 from incrementa.sources import slices as sl
 from incrementa.streaming.accumulate import running_counts, watch_histograms
@@ -360,6 +362,17 @@ def test_permuted_samples(spark):
     assert len(set(far.values())) > 14980
 
 
+def test_tasks_grow_with_samples(spark, sf, monkeypatch):
+    """A task's share of the samples, and of the places that are counted, stays as the slice grows."""
+    d = spark.createDataFrame([(k, 1, 0) for k in range(3)], "disp_id int, di int, dj int")
+    assert sm.permuted_samples(d, 9, 7, 63).rdd.getNumPartitions() == 8
+    assert sm.permuted_samples(d, 1024, 1024, 1024 * 1024).rdd.getNumPartitions() == 16
+    monkeypatch.setattr(sm, "TASK_SAMPLES", 500)
+    df = QUERIES["smp_1_random"](spark, sf)
+    assert re.findall(r"hashpartitioning\(disp_id#\d+, j#\d+, i#\d+, (\d+)\)", df._jdf.queryExecution().executedPlan().toString()) == ["30"]
+    assert sorted(map(tuple, df.collect())) == [(k, 14884, 14884, True) for k in range(8)]
+
+
 # ---- jobs
 
 
