@@ -36,9 +36,10 @@ def cuts(body: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         step = h.copy()
         step[k:] += h[:-k] << np.uint32(k)
         h = step
-    at = np.flatnonzero(h >> np.uint32(32 - MEAN_BITS) == 0) + 1
+    # the last byte is left out: all bytes end there anyway, and no document starts after it
+    at = np.flatnonzero(h[:-1] >> np.uint32(32 - MEAN_BITS) == 0) + 1
     doc = np.searchsorted(off, at, side="right") - 1
-    at = at[(at - off[doc] >= LEAST) & (at < off[doc + 1])] if len(at) and len(off) > 1 else at[:0]
+    at = at[at - off[doc] >= LEAST]
     starts = np.unique(np.concatenate([off[:-1], off[1:], at]))
     gap = np.diff(starts)
     if len(gap) and gap.max() > MOST:

@@ -9,6 +9,9 @@ from incrementa.llm.common import components, numpy_components
 from incrementa.llm.exact import exact_groups
 from incrementa.llm.simhash import close_pairs, exact_scheme, near_groups, shingle_hashes, similar_scheme, simhash_groups
 
+#: the rolling hash of its last 32 bytes asks for a cut
+CUT_AT_END = "hemqmxvtbdndfqpyoftzcvoyfulbztfsqqjulhvdcvwpgapdojcwdeqaywnidzvpxaebkaqpnpwjmuwt"
+
 
 def brute_groups(rows):
     groups = defaultdict(list)

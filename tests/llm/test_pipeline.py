@@ -4,6 +4,7 @@ from incrementa.llm.exact import exact_groups
 from incrementa.llm.simhash import similar_scheme, simhash_groups
 from incrementa.llm.toxicity import score_toxicity
 
+from .test_exact_simhash import CUT_AT_END
 from .test_tokens_packing import check_packing
 
 
@@ -71,3 +72,10 @@ def test_columns_of_clashing_names_are_carried(spark, tmp_path, edge_rows, sf):
     kept = docs.collect()
     assert len(kept) > 60 and all(texts[tuple(r)[2:]] == (r.doc_id, r.text) for r in kept)
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() >= len(kept)
+
+
+def test_exact_stage_where_a_batch_ends_in_a_cut(spark, sf):
+    rows = [(i, t, "en") for i, t in enumerate(["first", CUT_AT_END, "second", CUT_AT_END])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    got = corpus_pipeline.exact_dedup(spark, docs, sf).collect()
+    assert sorted(tuple(r) for r in got) == [rows[0], rows[2], rows[3]]
