@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 from incrementa.llm.common import components, numpy_components
-from incrementa.llm.exact import exact_groups
+from incrementa.llm.exact import cuts, exact_groups
 from incrementa.llm.simhash import close_pairs, exact_scheme, near_groups, shingle_hashes, similar_scheme, simhash_groups
 
 #: the rolling hash of its last 32 bytes asks for a cut
@@ -39,6 +39,27 @@ def test_exact_with_clashing_hashes(spark, edge_docs, edge_rows):
     assert got == brute_groups(rows)
 
 
+def test_exact_where_the_last_byte_is_a_cut(spark):
+    for after in ([], [(50, ""), (51, None)]):  # last in its batch, or followed by empty texts alone
+        rows = [(i, t) for i, t in enumerate([CUT_AT_END, "other", CUT_AT_END + "more", CUT_AT_END])] + after
+        for bits in (64, 1):
+            got = exact_groups(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), hash_bits=bits).collect()
+            assert sorted((tuple(r) for r in got), key=repr) == brute_groups(rows)
+
+
+def test_cuts_do_not_depend_on_neighbours():
+    rng = np.random.default_rng(9)
+    texts = [rng.integers(97, 123, n, dtype=np.uint8) for n in rng.integers(0, 9000, 300).tolist()] + [np.frombuffer(CUT_AT_END.encode(), np.uint8)]
+    size, alone = np.array([len(t) for t in texts]), []
+    off = np.concatenate([[0], np.cumsum(size)])
+    for k, t in enumerate(texts):
+        starts, doc = cuts(t, np.array([0, len(t)]))
+        assert starts[0] == 0 and starts[-1] == len(t) and not doc.any()
+        alone += [(k, a) for a in starts[:-1].tolist()]
+    starts, doc = cuts(np.concatenate(texts), off)
+    assert len(alone) > 600 and list(zip(doc.tolist(), (starts[:-1] - off[doc]).tolist())) == alone and starts[-1] == off[-1]
+
+
 def test_empty_tables(no_docs):
     assert exact_groups(no_docs).collect() == []
     assert simhash_groups(no_docs).collect() == []
